@@ -185,20 +185,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.withColumnRenamed("l", "component")
 
 
-def reduce_by_bloom(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 20) -> DataFrame:
+def bitmap(wanted: DataFrame, key: str, bits: int = 1 << 22):
+    """A broadcast bitmap of fixed size (bits / 8 bytes) in which each key's bit, key mod bits, is set."""
+    p = F.pmod(F.col(key), F.lit(bits))
+    words = wanted.select(F.shiftright(p, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({key}, {bits}) % 64 AS INT))").alias("b"))
+    full = np.zeros(bits // 64, np.int64)
+    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # no more than bits / 64 rows
+        full[w] = b
+    return wanted.sparkSession.sparkContext.broadcast(np.unpackbits(full.view(np.uint8), bitorder="little").astype(bool))
+
+
+def hits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return bits[key % len(bits)]
+
+
+def reduce_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
     """Drop rows of df whose key surely isn't in wanted(key), before a join that decides exactly.
 
-    A bitmap of fixed size (bits / 8 bytes) in the plan; with more keys it only passes more rows.
+    With more keys the bitmap only passes more rows. Null keys are dropped.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    pos = wanted.select(at(F.col(key)).alias("p"))
-    words = pos.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("b"))
-    full = np.zeros(bits // 64, np.int64)
-    for w, b in words.toLocalIterator():
-        full[w] = b
-    name = f"bloom_{uuid.uuid4().hex}"
-    # The bitmap goes in as one binary literal; a byte is fetched by substring, which is O(1) on binary.
-    blob = bytearray(full.astype("<i8").tobytes())
-    d = df.withColumn(name, at(F.col(key)))
-    byte = F.conv(F.hex(F.substring(F.lit(blob), F.expr(f"CAST({name} DIV 8 AS INT) + 1"), F.lit(1))), 16, 10).cast("int")
-    return d.where(byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({name} % 8 AS INT))")) != 0).drop(name)
+    sent = bitmap(wanted, key, bits)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            k = rb.column(rb.schema.get_field_index(key))
+            keep = k.is_valid().to_numpy(zero_copy_only=False) & hits(sent.value, k.fill_null(0).to_numpy(zero_copy_only=False))
+            yield rb.filter(pa.array(keep))
+
+    return df.mapInArrow(go, df.schema)

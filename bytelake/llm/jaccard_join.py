@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,94 +15,108 @@ from bytelake.llm import common as C
 
 #: Members of a block in the verification of large families.
 BLOCK = 64
-#: Counters of the order of shingles: a bounded table, 1 byte each when broadcast.
-ORDER_BUCKETS = 1 << 22
-_SLICE = 4096
+#: Parts that a set has beyond those that differences can touch, so that a part left alone isn't an empty one.
+SPARE = 2
 
 
-def shingle_order(docs: DataFrame, text: str, size: int, buckets: int = ORDER_BUCKETS) -> np.ndarray:
-    """Rarity classes of shingles, counted over all documents: class of a shingle h is order[h % buckets].
+class Parts:
+    """Size classes and prefixes of sets for a Jaccard threshold of percent / 100.
 
-    The counters are of fixed number, whatever the corpus; several shingles may share one, which changes only
-    the order in which a join looks at shingles, not its result.
+    Two sets that link have sizes in one class or in neighbouring ones, and differ in at most
+    (sizes) * (100 - percent) / (100 + percent) elements. Each class has one more part than that (and SPARE);
+    elements are dealt to the parts by their hash, so at least one part is equal in both sets. A set's prefix
+    is a digest of each of its parts, under its own class and the next one.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, some = C.WordHashes(), np.zeros(buckets, np.int64), False
-        for rb in batches:
-            parts = [C.shingle_set(C.hash_words(t, hashes), size) for t in rb.column(0).to_pylist()]
-            if parts:
-                h = np.concatenate(parts) % np.uint64(buckets)
-                total += np.bincount(h.astype(np.int64), minlength=buckets)
-                some = True
-        if some:
-            cut = np.minimum(total, 65535).astype("<u2").reshape(-1, _SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([x.tobytes() for x in cut], pa.binary())], ["slice", "n"])
-
-    def add(width: str, out: str):
-        def f(pdf):
-            total = np.zeros(_SLICE, np.int64)
-            for x in pdf["n"]:
-                total += np.frombuffer(x, width)
-            return pdf.head(1).assign(n=[np.minimum(total, np.iinfo(out).max).astype(out).tobytes()])
-
-        return f
-
-    parts = docs.select(text).mapInArrow(count, "slice int, n binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
-    parts = parts.groupBy("slice", "g").applyInPandas(add("<u2", "<u4"), "slice int, n binary, g int")
-    order = np.zeros((buckets // _SLICE, _SLICE), np.uint8)
-    for row in parts.groupBy("slice").applyInPandas(add("<u4", "<u4"), "slice int, n binary, g int").toLocalIterator():
-        order[row["slice"]] = (8 * np.log2(1.0 + np.frombuffer(bytes(row["n"]), "<u4"))).astype(np.uint8)
-    return order.reshape(-1)
-
-
-def _sets(docs: DataFrame, order, size: int, percent: int, whole: bool) -> DataFrame:
-    """Columns k, n, sig (128 bits), gid (hash of size and prefix), prefix; if whole, the set instead of the prefix."""
+    def __init__(self, percent: int):
+        self.percent, self.low = percent, [1]
+
+    def grow(self) -> None:
+        self.low.append(max(self.low[-1] + 1, 100 * (self.low[-1] - 1) // self.percent + 1))
+
+    def classes(self, n: int) -> int:
+        """Index of the class that n is in: class c holds low[c] .. low[c + 1] - 1."""
+        while self.low[-1] <= n:
+            self.grow()
+        return bisect_right(self.low, n) - 1
+
+    def count(self, c: int) -> int:
+        while len(self.low) < c + 2:
+            self.grow()
+        return 2 * (self.low[c + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return np.empty(0, np.uint64)
+        own, found, value = self.classes(len(s)), [], C.mix(s)
+        for c in (own, own + 1):
+            k = self.count(c)
+            k += SPARE * (k > 1)
+            part = (s % np.uint64(k)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-1))
+            digest = np.add.reduceat(value[order], at)
+            which = part[order][at]
+            if k - len(at) > SPARE:  # so many empty parts that the equal one may be among them
+                empty = np.setdiff1d(np.arange(k), which)
+                which, digest = np.concatenate([which, empty]), np.concatenate([digest, np.zeros(len(empty), np.uint64)])
+            found.append(C.mix(digest * np.uint64(0x9E3779B97F4A7C15) + which.astype(np.uint64) + np.uint64(c << 40)))
+        return np.concatenate(found)
+
+
+def _sets(docs: DataFrame, size: int, percent: int, whole: bool) -> DataFrame:
+    """From (k, t, ...): k, n, hi, lo (a 128-bit digest of the set) and its prefix; if whole, the set and the other columns."""
+    other = docs.columns[2:] if whole else []
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = C.WordHashes(), order.value
+        hashes, parts = C.WordHashes(), Parts(percent)
         for rb in batches:
-            ns, hi, lo, gid, pre = [], [], [], [], []
+            ns, hi, lo, out = [], [], [], []
             for t in rb.column(1).to_pylist():
                 s = C.shingle_set(C.hash_words(t, hashes), size)
-                ns.append(len(s))
                 sig = xxhash.xxh3_128_digest(s.tobytes())
+                ns.append(len(s))
                 hi.append(int.from_bytes(sig[:8], "little", signed=True))
                 lo.append(int.from_bytes(sig[8:], "little", signed=True))
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                p = s[np.argsort(rank[(s % np.uint64(len(rank))).astype(np.int64)], kind="stable")[:keep]]
-                gid.append(int.from_bytes(xxhash.xxh3_64_digest(len(s).to_bytes(8, "little") + p.tobytes()), "little", signed=True))
-                pre.append(s.tobytes() if whole else C.signed(p))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(ns, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(gid, pa.int64()), pa.array(pre, pa.binary() if whole else pa.list_(pa.int64()))],
-                ["k", "n", "hi", "lo", "gid", "prefix"],
-            )
+                out.append(s.tobytes() if whole else C.signed(parts.prefix(s)))
+            own = pa.array(out, pa.binary() if whole else pa.list_(pa.int64()))
+            columns = [rb.column(0), *(pa.array(x, pa.int64()) for x in (ns, hi, lo)), own, *(rb.column(c) for c in other)]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "n", "hi", "lo", "own_set" if whole else "prefix", *other])
 
-    return docs.mapInArrow(go, f"k long, n long, hi long, lo long, gid long, prefix {'binary' if whole else 'array<bigint>'}")
+    return docs.mapInArrow(go, f"k long, n long, hi long, lo long, {'own_set binary' if whole else 'prefix array<bigint>'}" + "".join(f", {c} long" for c in other))
+
+
+def _shared(prefixes: DataFrame, sent) -> DataFrame:
+    """Rows (gid, p) of prefix digests that may be in more than one group."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            p = rb.column(1).flatten().to_numpy()
+            gid = np.repeat(rb.column(0).to_numpy(), np.diff(rb.column(1).offsets.to_numpy()))
+            keep = C.hits(sent.value, p)
+            yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(p[keep])], ["gid", "p"])
+
+    return prefixes.mapInArrow(go, "gid long, p long")
 
 
 def _verify(percent: int):
     def f(tb: pa.Table) -> dict | None:
         if tb.num_rows < 2:
             return None
-        ids, n, gid, own = (tb.column(c).to_numpy() for c in ("k", "n", "gid", "own"))
-        # Groups are documents of one size and prefix. Pairs of groups are filtered by size, then expanded.
-        groups, first, member = np.unique(gid, return_index=True, return_inverse=True)
-        size = n[first]
-        fits = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-        fits = fits[np.ix_(member, member)]
+        ids, n, own = (tb.column(c).to_numpy() for c in ("k", "n", "own"))
+        fits = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
         if tb.column("bi")[0] != tb.column("bj")[0]:
             fits &= own[:, None] != own[None, :]
         np.fill_diagonal(fits, False)
         use = np.flatnonzero(fits.any(1))
         if not len(use):
             return None
-        sets = [np.frombuffer(tb.column("prefix")[int(i)].as_py(), np.uint64) for i in use]
-        token, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        sets = [np.frombuffer(tb.column("own_set")[int(i)].as_py(), np.uint64) for i in use]
+        _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(use)), [len(s) for s in sets])
         dense = np.cumsum(seen > 1) - 1
         row, col = row[seen[col] > 1], dense[col[seen[col] > 1]]
-        both = np.zeros((len(use), len(use)), np.float32)
+        both = np.zeros((len(use), len(use)), np.float64)
         for at in range(0, int(dense[-1]) + 1, 32768):
             here = (col >= at) & (col < at + 32768)
             m = np.zeros((len(use), min(32768, int(dense[-1]) + 1 - at)), np.float32)
@@ -127,36 +142,32 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Rows with a null doc_id keep their n_shingles and get a null component. Repeated rows come back repeated.
     Other columns are ignored, whatever their names. An empty table gives no rows.
 
-    Equal sets collapse to their smallest id. Shingles are ordered from rare to frequent; two sets that link
-    share one of their first n - ceil(percent * n / 100) + 1 shingles (the prefix). Sets of one size and prefix
-    are one group. Groups that share a prefix shingle are tied to the least of them (a star, no pairs), stars
-    join to families, and only inside a family are pairs of groups filtered by size, expanded and verified
-    exactly, in blocks of bounded size. A block gives a spanning forest of its links, never its pairs.
-    Shingles are compared by 64-bit hashes.
+    Documents with identical prefixes and size are one group, known by a digest; it stands for all copies. The
+    prefix holds digests of parts of a set, not single shingles (see Parts): sets that link share one of them,
+    while a passage that many documents share ties none of them together. Groups that share a digest are tied
+    to the least of them (a star, no pairs), stars join to families, and inside a family pairs are filtered by
+    size and verified exactly on the sets of one member of each group, in blocks of bounded size. A block gives
+    a spanning forest of its links, never its pairs. Shingles are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    order = spark.sparkContext.broadcast(shingle_order(base, "t", size))
-    sets = C.materialize(_sets(base, order, size, percent, whole=False))
+    sets = C.materialize(_sets(base, size, percent, whole=False))
     some = sets.where("n > 0 AND k IS NOT NULL")
-    reps = C.materialize(some.groupBy("hi", "lo").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix")))
-    posts = reps.groupBy("gid").agg(F.first("prefix").alias("prefix")).select("gid", F.explode("prefix").alias("t"))
-    heads = posts.groupBy("t").agg(F.min("gid").alias("head"), F.max("gid").alias("tail")).where("head < tail").select("t", "head")
-    stars = posts.join(heads, "t").where("gid != head").select("gid", "head").distinct()
-    families = C.components(stars, "gid", "head").select(F.col("id").alias("gid"), F.col("component").alias("fam"))
-    # A group of several sets is a family even if no other group touches it.
-    alone = reps.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid", F.col("gid").alias("fam")).join(families.select("gid"), "gid", "left_anti")
-    member = C.materialize(reps.select("rep", "gid").join(families.unionByName(alone), "gid"))
+    posts = some.select(F.col("hi").alias("gid"), F.explode("prefix").alias("p"))
+    heads = posts.groupBy("p").agg(F.min("gid").alias("head"), F.max("gid").alias("tail")).where("head < tail").select("p", "head")
+    heads = C.materialize(heads)
+    stars = _shared(some.select("hi", "prefix"), C.bitmap(heads, "p")).join(heads, "p").where("gid != head").select("gid", "head").distinct()
+    families = C.components(stars, "gid", "head").select(F.col("id").alias("hi"), F.col("component").alias("fam"))
+    reps = C.materialize(some.groupBy("hi", "lo").agg(F.min("k").alias("rep")))
+    member = reps.join(families, "hi").select("rep", "fam")
     count = member.groupBy("fam").agg(F.count("*").alias("c"))
-    member = C.materialize(member.select("rep", "fam").join(count, "fam"))
-    near = C.reduce_by_bloom(base.where("k IS NOT NULL"), "k", member.select(F.col("rep").alias("k")))
-    near = near.join(member.select("rep"), near.k == F.col("rep"), "left_semi")
-    full = _sets(near, order, size, percent, whole=True)
-    cells = C.block_pairs(full.join(member.withColumnRenamed("gid", "of"), full.k == member.rep), "fam", "c", "k", BLOCK)
-    cells = cells.select("fam", "bi", "bj", "own", "k", "n", "gid", "prefix")
+    member = C.materialize(member.join(count, "fam").select("rep", "fam", "c"))
+    near = C.reduce_by_bitmap(base, "k", member.select(F.col("rep").alias("k")))
+    near = near.join(member, near.k == member.rep).select("k", "t", "fam", "c")
+    cells = C.block_pairs(_sets(near, size, percent, whole=True), "fam", "c", "k", BLOCK)
+    cells = cells.select("fam", "bi", "bj", "own", "k", "n", "own_set")
     edges = C.run_groups(cells, ["fam", "bi", "bj"], _verify(percent), "a long, b long", ["a", "b"])
     comp = C.components(edges)
-    known = reps.select("hi", "lo", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
+    known = reps.join(comp, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     out = sets.select("k", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
     return out.select(
         F.col("k").alias("doc_id"),
@@ -166,11 +177,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component, with all its columns.
-
-    Rows with a null doc_id are kept. Rows that repeat a kept doc_id are kept once only if they are equal in
-    all columns; otherwise each of them stays.
-    """
+    """Keep of each component the rows with the smallest doc_id, with all columns. Rows with a null doc_id stay."""
     comp = jaccard_components(docs, doc_id, text, size, percent).where("doc_id IS NOT NULL AND doc_id != component_id")
     lost = comp.select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(lost, docs[doc_id] == F.col("_lost"), "left_anti")
