@@ -44,6 +44,13 @@ def materialize(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold no more than so many rows in this session: texts are long, and workers are small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to WORD_CACHE."""
 

@@ -149,6 +149,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     size and verified exactly on the sets of one member of each group, in blocks of bounded size. A block gives
     a spanning forest of its links, never its pairs. Shingles are compared by 64-bit hashes.
     """
+    C.small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     sets = C.materialize(_sets(base, size, percent, whole=False))
     some = sets.where("n > 0 AND k IS NOT NULL")
