@@ -112,6 +112,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     a spanning forest of its links, joined by distributed components.
     """
     spark = vectors.sparkSession
+    C.small_batches(spark)
     e = F.col(embedding)
     double = isinstance(vectors.schema[embedding].dataType.elementType, T.DoubleType)
     width = "<f8" if double else "<f4"
