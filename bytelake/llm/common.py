@@ -192,6 +192,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.withColumnRenamed("l", "component")
 
 
+#: Ids up to which a list of ids is broadcast (8 bytes each).
+BROADCAST_IDS = 1 << 20
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key isn't in ids (one column). A list of proven size is broadcast, a longer one shuffled."""
+    lost = ids.select(F.col(ids.columns[0]).alias("_lost")).where("_lost IS NOT NULL").distinct()
+    lost, seen = materialize(lost, F.count("*").alias("n"))
+    return df.join(F.broadcast(lost) if seen["n"] <= BROADCAST_IDS else lost, df[key] == F.col("_lost"), "left_anti")
+
+
 def bitmap(wanted: DataFrame, key: str, bits: int = 1 << 22):
     """A broadcast bitmap of fixed size (bits / 8 bytes) in which each key's bit, key mod bits, is set."""
     p = F.pmod(F.col(key), F.lit(bits))

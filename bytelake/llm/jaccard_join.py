@@ -180,5 +180,4 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Keep of each component the rows with the smallest doc_id, with all columns. Rows with a null doc_id stay."""
     comp = jaccard_components(docs, doc_id, text, size, percent).where("doc_id IS NOT NULL AND doc_id != component_id")
-    lost = comp.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[doc_id] == F.col("_lost"), "left_anti")
+    return C.drop_ids(docs, comp.select("doc_id"), doc_id)
