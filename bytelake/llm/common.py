@@ -173,22 +173,26 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (id, component), component the smallest reachable id.
 
-    Each round takes the smallest label among a vertex and its neighbours, then jumps to that label's own
-    label, so rounds grow with the logarithm of the longest chain. Both joins have one row a key on one side
-    and may be split on the other, so a hub with very many neighbours is no single task. Every round is
-    written to the shared folder; only one number a round reaches the driver. Vertices without edges are absent.
+    Each round points every vertex at its least neighbour, follows that pointer once, and contracts: edges are
+    drawn between what their ends point at, loops and repeats go. Edges shrink by a factor a round and rounds
+    grow with the logarithm of the longest chain. Joins have one row a key on one side and may be split on the
+    other, so a hub with very many neighbours is no single task. Every round is written to the shared folder;
+    only one number a round reaches the driver. Vertices without edges are absent.
     """
-    one = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    both = materialize(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
+    u, v = F.col(a).cast("long"), F.col(b).cast("long")
+    rest = materialize(edges.where(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct())
+    labels = None
     while True:
-        near = both.join(labels, both.v == labels.id).groupBy("u").agg(F.min("l").alias("m"))
-        low = labels.join(near, labels.id == near.u, "left").select("id", F.least("l", "m").alias("l1"), F.col("l").alias("was"))
-        of = low.select(F.col("id").alias("at"), F.col("l1").alias("l2"))
-        new = low.join(of, low.l1 == of.at, "left").select("id", F.least("l1", "l2").alias("l"), "was")
-        new, seen = materialize(new, F.count(F.when(F.col("l") != F.col("was"), 1)).alias("changed"))
-        labels = new.select("id", "l")
-        if not seen["changed"]:
+        both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        at = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
+        of = at.select(F.col("id").alias("by"), F.col("l").alias("to"))
+        at = materialize(at.join(of, at.l == of.by).select("id", F.col("to").alias("l")))
+        x, y = at.select(F.col("id").alias("u"), F.col("l").alias("x")), at.select(F.col("id").alias("v"), F.col("l").alias("y"))
+        new = rest.join(x, "u").join(y, "v").where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        rest, seen = materialize(new, F.count("*").alias("n"))
+        to = at.select(F.col("id").alias("by"), F.col("l").alias("to"))
+        labels = at if labels is None else materialize(labels.join(to, labels.l == to.by, "left").select("id", F.coalesce("to", "l").alias("l")))
+        if not seen["n"]:
             return labels.withColumnRenamed("l", "component")
 
 
