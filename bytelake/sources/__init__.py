@@ -30,7 +30,7 @@ def ok_ext(name: Column | str, denied=DENIED) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """All files below root: name, path, length, content. Names that begin with . or _ are skipped, as are files
-    that can't be read. Content is read only by queries that use it."""
+    that can't be read and, by Spark's reader, empty ones. Content is read only by queries that use it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "content")
 
