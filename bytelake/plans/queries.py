@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.functions import base64_decode, base64_encode, gram_key, hex_bytes
-from bytelake.operators import classifier, features, grams, hashing, inventory, signatures, stats
+from bytelake.operators import classifier, features, grams, hashing, inventory, machine, signatures, sniff, stats
 from bytelake.sources import blobs_from_column, filter_corpus, ok_ext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,5 +388,15 @@ def sample_per_class(spark, sf_dir):
     return inventory.sample_per_class(documents(spark, sf_dir), 2).groupBy("label").agg(F.count("*").alias("sampled"))
 
 
+@query(None)
+def file_types(spark, sf_dir):
+    return rounded(sniff.classify_type(sniff.sniffer_scores(pages_as_blobs(spark, sf_dir))), "score")
+
+
+@query(None)
+def instruction_mix(spark, sf_dir):
+    return machine.instruction_mix(machine.instruction_table(pages_as_blobs(spark, sf_dir))).where("mnemonic IS NOT NULL")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_ngrams(spark, sf_dir)
