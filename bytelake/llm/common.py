@@ -212,13 +212,14 @@ def bitmap(wanted: DataFrame, key: str, bits: int = 1 << 22):
     p = F.pmod(F.col(key), F.lit(bits))
     words = wanted.select(F.shiftright(p, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({key}, {bits}) % 64 AS INT))").alias("b"))
     full = np.zeros(bits // 64, np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # no more than bits / 64 rows
-        full[w] = b
-    return wanted.sparkSession.sparkContext.broadcast(np.unpackbits(full.view(np.uint8), bitorder="little").astype(bool))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # no more than bits / 64 rows
+    full[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return wanted.sparkSession.sparkContext.broadcast(full.astype("<i8").view(np.uint8))
 
 
 def hits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return bits[key % len(bits)]
+    at = key % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def reduce_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
