@@ -99,7 +99,7 @@ def _shared(prefixes: DataFrame, sent) -> DataFrame:
     return prefixes.mapInArrow(go, "gid long, p long")
 
 
-def _verify(percent: int):
+def verify(percent: int):
     def f(tb: pa.Table) -> dict | None:
         if tb.num_rows < 2:
             return None
@@ -166,7 +166,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     near = near.join(member, near.k == member.rep).select("k", "t", "fam", "c")
     cells = C.block_pairs(_sets(near, size, percent, whole=True), "fam", "c", "k", BLOCK)
     cells = cells.select("fam", "bi", "bj", "own", "k", "n", "own_set")
-    edges = C.run_groups(cells, ["fam", "bi", "bj"], _verify(percent), "a long, b long", ["a", "b"])
+    edges = C.run_groups(cells, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])
     comp = C.components(edges)
     known = reps.join(comp, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     out = sets.select("k", "n", "hi", "lo").join(known, ["hi", "lo"], "left")

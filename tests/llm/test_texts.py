@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
-from bytelake.llm import decontaminate, language_id, language_model, packing, quality, sharding, substring_dedup, url_filter
+from bytelake.llm import common, decontaminate, language_id, language_model, packing, quality, sharding, substring_dedup, url_filter
 from tests.llm.conftest import prose
 
 
@@ -163,6 +164,31 @@ def test_repeats(docs, rows, none):
     assert out[3].text == rows[3][1] and substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_unlike_head_hides_no_pair(spark):
+    """Two near paragraphs in buckets whose least paragraph is like neither, in small and in large buckets."""
+    rng = np.random.default_rng(8)
+    salt = np.random.default_rng(11).integers(1, 2**62, substring_dedup.BANDS).astype(np.uint64)
+    hashes = common.WordHashes()
+    digest = lambda h: np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    whole = lambda h: len(substring_dedup.paragraphs(h)) == 1
+    texts, like = [], []
+    for others in (3, 20):
+        core, found = new(12), []
+        while not whole(common.hash_words(" ".join(core), hashes)):
+            core = new(12)
+        least = lambda h: [int(common.mix(common.roll(h, 5) ^ s).argmin()) for s in salt]
+        while len(found) < others + 2:
+            words = [*found[0][:-1], *new(1)] if len(found) == 1 else [*core, *new(8)]
+            h = common.hash_words(" ".join(words), hashes)
+            if whole(h) and max(least(h)) < 8 and (len(found) < 2 or others + 2 - len(found) > 1 or min(map(digest, (common.hash_words(" ".join(w), hashes) for w in found[2:] + [words]))) < min(digest(common.hash_words(" ".join(w), hashes)) for w in found[:2])):
+                found.append(words)
+        like.append((len(texts), len(texts) + 1))
+        texts += [" ".join(w) for w in found]
+    got = {r.doc_id: r for r in substring_dedup.judge_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i in got if got[i].repeats] == [b for _, b in like] and all(got[b].removed_words == 20 for _, b in like)
+
+
 def test_paragraphs_stand_anywhere():
     rng = np.random.default_rng(4)
     for _ in range(200):
