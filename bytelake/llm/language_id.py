@@ -16,6 +16,8 @@ from bytelake.llm import common as C
 CELLS, LANGUAGES, WEIGHT = 8_192, 16, 60.0
 #: Pages that a level of the host hierarchy counts as much as the level above it.
 PRIOR = 5.0
+#: Chance, before it is read, that a text is in none of the languages: its trigrams are then evenly spread over CELLS.
+UNKNOWN = 0.01
 _TAGS = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;"
 
 
@@ -30,8 +32,8 @@ def cells(text: str | None) -> np.ndarray:
     return np.bincount(h.astype(np.int64), minlength=CELLS)
 
 
-def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages by falling number of documents, and log-probabilities of their trigrams, counted over all documents."""
+def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages by falling number of documents, log-probabilities of their trigrams, counted over all documents, and their sums."""
     named = docs.where(F.col(lang).isNotNull() & (F.trim(lang) != "")).select(F.lower(F.trim(lang)).alias("lang"), F.col(text).cast("string").alias("t"))
     langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()] or ["und"]
     at = {x: i for i, x in enumerate(langs)}
@@ -50,7 +52,7 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[l
     for p, c in rows:
         total[p] += c
     total = total.reshape(len(langs), CELLS)
-    return langs, np.log(total / total.sum(1, keepdims=True))
+    return langs, np.log(total / total.sum(1, keepdims=True)), total.sum(1)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -62,20 +64,28 @@ def _lists(a: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), a.reshape(-1))
 
 
-def _likelihoods(rows: DataFrame, logp) -> DataFrame:
-    """Adds ll (log-likelihoods by language), p (their shares; zero without trigrams) and n (trigrams) for column t, which goes."""
+def _likelihoods(rows: DataFrame, logp, langs: list[str], sums: np.ndarray | None = None) -> DataFrame:
+    """Adds ll (log-likelihoods by language), p (their shares; zero without trigrams) and n (trigrams) for column t, which goes.
+
+    With the sums of fit_text, rows are those it learned from, and a text doesn't count for its own declared language.
+    """
+    known = {x: i for i, x in enumerate(langs)}
     keep = [c for c in rows.columns if c != "t"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = logp.value.T.copy()
         for rb in batches:
             ll, n = np.zeros((rb.num_rows, table.shape[1])), np.zeros(rb.num_rows, np.int64)
+            own = [None if sums is None else known.get(x) for x in rb.column(rb.schema.get_field_index("declared")).to_pylist()]
             for i, t in enumerate(rb.column(rb.schema.get_field_index("t")).to_pylist()):
                 c = cells(t)
                 n[i] = c.sum()
                 if n[i]:
                     at = np.flatnonzero(c)
                     ll[i] = c[at] @ table[at] * (min(n[i], WEIGHT) / n[i])
+                    if (d := own[i]) is not None:
+                        others = np.maximum(np.exp(table[at, d]) * sums[d] - c[at], 0.5)
+                        ll[i, d] = c[at] @ np.log(others / (sums[d] - n[i])) * (min(n[i], WEIGHT) / n[i])
             p = _softmax(ll) * (n > 0)[:, None]
             yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in keep), _lists(ll), _lists(p), pa.array(n)], [*keep, "ll", "p", "n"])
 
@@ -83,13 +93,15 @@ def _likelihoods(rows: DataFrame, logp) -> DataFrame:
     return rows.mapInArrow(go, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", ll array<double>, p array<double>, n long")
 
 
-def identify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float = 0.0, sums: np.ndarray | None = None) -> DataFrame:
     """From (id, t, declared, host): id, lang, confidence, declared, host. See identify_pages for the cases.
 
     Evidence of a row: its text under each language; the declared language, by how often rows of each language
     (as their text says) declare it; the host's prior, from the sums of other rows' text evidence on that host,
     smoothed towards its domain, that towards the address suffix, and that towards all rows. All sums are
-    grouped aggregates; a host with very many rows is summed in parts, and its one row is joined back.
+    grouped aggregates; a host with very many rows is summed in parts, and its one row is joined back. With a chance `unknown` of a text
+    in no language, that competes too: its trigrams are even, it declares what rows declare on the whole, and where
+    it is likeliest the language is und with confidence 0. For sums, see _likelihoods.
     """
     spark, m = rows.sparkSession, range(len(langs))
     sent = spark.sparkContext.broadcast(logp)
@@ -97,21 +109,22 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     host = F.coalesce("host", F.lit(""))
     suffix_of = F.element_at(F.split("host", r"\."), -1)
     domain_of = F.array_join(F.slice(F.split(F.concat(F.lit("."), "host"), r"\."), -2, 2), ".")
-    seen = _likelihoods(rows.withColumn("host", host), sent)
+    seen = _likelihoods(rows.withColumn("host", host), sent, langs, sums)
     seen = C.materialize(seen.withColumns({"said": known, "suffix": suffix_of, "domain": domain_of}))
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in m]
+    parts = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in m]
 
     # Log-chance that a row of language i declares d, from at most LANGUAGES + 2 groups.
-    said = {r["said"]: np.array([r[f"s{i}"] for i in m]) for r in seen.groupBy("said").agg(*sums).collect()}
+    said = {r["said"]: np.array([r[f"s{i}"] for i in m]) for r in seen.groupBy("said").agg(*parts).collect()}
     total = sum(said.values(), np.full(len(langs), len(langs) + 2.0))
     declares = {d: np.log((v + 1.0) / total) for d, v in said.items()}
+    common = {d: float(np.log((v.sum() + 1.0) / (sum(x.sum() for x in said.values()) + len(langs) + 2.0))) for d, v in said.items()}
 
-    every = np.array([x or 0.0 for x in seen.agg(*sums).first()])
+    every = np.array([x or 0.0 for x in seen.agg(*parts).first()])
     share = (every + PRIOR / len(langs)) / (every.sum() + PRIOR)
     smooth = lambda up: [(F.col(f"s{i}") + PRIOR * up[i]) / (functools.reduce(lambda a, b: a + b, [F.col(f"s{j}") for j in m]) + PRIOR) for i in m]
-    suffix = seen.groupBy("suffix").agg(*sums).select("suffix", *(p.alias(f"u{i}") for i, p in enumerate(smooth([F.lit(float(s)) for s in share]))))
-    domain = seen.groupBy("suffix", "domain").agg(*sums).join(suffix, "suffix").select("domain", *(p.alias(f"d{i}") for i, p in enumerate(smooth([F.col(f"u{i}") for i in m]))))
-    hosts = seen.groupBy("domain", "host").agg(*sums).join(domain, "domain")
+    suffix = seen.groupBy("suffix").agg(*parts).select("suffix", *(p.alias(f"u{i}") for i, p in enumerate(smooth([F.lit(float(s)) for s in share]))))
+    domain = seen.groupBy("suffix", "domain").agg(*parts).join(suffix, "suffix").select("domain", *(p.alias(f"d{i}") for i, p in enumerate(smooth([F.col(f"u{i}") for i in m]))))
+    hosts = seen.groupBy("domain", "host").agg(*parts).join(domain, "domain")
     hosts = hosts.select("host", F.array(*(f"s{i}" for i in m)).alias("s"), F.array(*(f"d{i}" for i in m)).alias("d"))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +134,13 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
             others = np.maximum(s - p, 0)  # without the row itself
             prior = np.log((others + PRIOR * d) / (others.sum(1, keepdims=True) + PRIOR))
             says = col("said").to_pylist()
-            post = _softmax(ll + prior + np.array([declares[x] for x in says]).reshape(ll.shape))
+            score, n = ll + prior + np.array([declares[x] for x in says]).reshape(ll.shape), col("n").to_numpy()
+            if unknown:
+                none = np.log(unknown) - np.minimum(n, WEIGHT) * np.log(CELLS) + np.array([common[x] for x in says])
+                score = np.c_[score + np.log1p(-unknown), none]
+            post = _softmax(score)
             best = post.argmax(1)
-            blank = (col("n").to_numpy() == 0) & np.array([x == "none" for x in says], bool)
+            blank = (n == 0) & np.array([x == "none" for x in says], bool) | (best == len(langs))
             lang = ["und" if b else langs[i] for b, i in zip(blank, best, strict=True)]
             conf = np.where(blank, 0.0, post[np.arange(len(best)), best])
             yield pa.RecordBatch.from_arrays([col("id"), pa.array(lang, pa.string()), pa.array(conf), col("declared"), col("host")], ["id", "lang", "confidence", "declared", "host"])
@@ -141,7 +158,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     columns are ignored. With no labelled document every page is und.
     """
     C.small_batches(pages.sparkSession)
-    langs, logp = fit_text(docs)
+    langs, logp, _ = fit_text(docs)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("id"),
@@ -153,12 +170,15 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those in no known language: no letters, or a confidence below `least`. All columns stay.
+    """docs without those in no known language: no letters, whatever they declare, an unknown language more likely
+    than the known ones, or a confidence below `least`. All columns stay.
 
     lang is the declared language, source the host. Rows with a null doc_id stay.
     """
     C.small_batches(docs.sparkSession)
-    langs, logp = fit_text(docs)
+    langs, logp, sums = fit_text(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.lower(F.trim(F.col("lang"))).alias("declared"), F.col("source").cast("string").alias("host"))
-    found = identify(rows, langs, logp)
-    return C.drop_ids(docs, found.where((F.col("lang") == "und") | (F.col("confidence") < least)).select("id"))
+    found = identify(rows, langs, logp, UNKNOWN, sums)
+    lost = found.where((F.col("lang") == "und") | (F.col("confidence") < least)).select("id")
+    letterless = rows.where(~F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False))).select("id")
+    return C.drop_ids(docs, lost.unionByName(letterless))
