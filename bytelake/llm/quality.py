@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from bytelake.llm import common as C
 
-#: Labelled documents of each class that the model is fitted on (those with the smallest hash of their id), and
-#: chunks taken from each: half of them make the dictionaries, half the calibration.
+#: Labelled documents of each class that the model is fitted on (those with the smallest hash of their id): half of
+#: them make the dictionaries, by so many chunks of each, and half the calibration, by their whole texts.
 TRAIN_DOCS, TRAIN_CHUNKS = 2_000, 4
 CHUNK, DICTIONARY, LEVEL = 2_048, 65_536, 3
 THRESHOLD = 0.7
@@ -82,18 +82,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, tuple]:
                     part.append(parts[i][:CHUNK])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(q, pa.int32()), pa.array(part, pa.binary())], ["h", "quality", "part"])
 
-    got = rows.select("h", F.col("quality").cast("int"), "text").mapInArrow(cut, "h long, quality int, part binary").collect()
+    rows = rows.select("h", F.col("quality").cast("int").alias("quality"), "text").where("text != ''")
+    got = rows.where("pmod(h, 2) = 0").mapInArrow(cut, "h long, quality int, part binary").collect()
     got = sorted((r.h, r.quality, bytes(r.part)) for r in got)
     dicts = []
     for y in (1, 0):
-        parts = [p for h, q, p in got if q == y and h % 2 == 0 and p]
+        parts = [p for h, q, p in got if q == y and p]
         try:
             dicts.append(zstandard.train_dictionary(DICTIONARY, parts).as_bytes())
         except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself is the dictionary
             dicts.append(b"".join(parts)[-DICTIONARY:] or b"empty dictionary")
-    sizes = Sizes(*dicts)
-    rest = [(sizes(p.decode("utf-8", "replace")), q) for h, q, p in got if h % 2 and p] or [([0.0] * 6, 1)]
-    x, y = np.array([r[0] for r in rest]), np.array([r[1] for r in rest], float)
+    sent = docs.sparkSession.sparkContext.broadcast(dicts)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(*sent.value)
+        for rb in batches:
+            x = pa.array([sizes(t) for t in rb.column(2).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), x], ["h", "quality", "x"])
+
+    rest = rows.where("pmod(h, 2) = 1").mapInArrow(measure, "h long, quality int, x array<double>").collect()  # six numbers a row
+    rest = sorted((r.h, r.quality, r.x) for r in rest) or [(0, 1, [0.0] * 6)]
+    x, y = np.array([r[2] for r in rest]), np.array([r[1] for r in rest], float)
     return dicts[0], dicts[1], fit_logistic(x, y)
 
 

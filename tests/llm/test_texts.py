@@ -120,6 +120,17 @@ def test_quality(spark):
     assert quality.score_quality(docs, labels.where("false")).count() == 403
 
 
+def test_quality_is_calibrated_on_whole_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [(i, prose(rng, "en" if i % 2 else "fr", 2500), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    _, _, (mean, _, _) = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int"))
+    sizes = [len(t.encode()) for _, t, _ in texts]
+    assert min(sizes) > 4 * quality.CHUNK and math.log1p(min(sizes)) <= mean[5] <= math.log1p(max(sizes)) and mean[4] < mean[3]
+
+
 def test_language_id(spark, docs, rows, none):
     html = [(r[0], f"https://{'a' if r[2] == 'en' else 'b'}.site.org/x", f"<html><script>le de</script><body>{r[1]}</body></html>") for r in rows[:60]]
     html += [(100, "https://a.site.org/", None), (101, None, None), (102, "https://b.site.org", '<html lang="fr"></html>'), (103, "nonsense", "<p>the of and</p>")]
