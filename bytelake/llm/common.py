@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +16,18 @@ from pyspark.sql import functions as F
 #: Words kept in a worker's table of word hashes; others are hashed again each time.
 WORD_CACHE = 300_000
 
+#: Rows and bytes of a piece of an Arrow batch that a task works on at once.
+PIECE_ROWS, PIECE_BYTES = 1_000, 8 << 20
+
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that all machines see: spark.checkpoint.dir. In local mode, where it is unset, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="bytelake-")
@@ -36,19 +42,32 @@ def materialize(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    if not measures:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    seen = Observation()
-    df.observe(seen, *measures).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold no more than so many rows in this session: texts are long, and workers are small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    seen = Observation() if measures else None
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return (out, seen.get) if measures else out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._table)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows and about so many bytes (one row at least): texts may be long."""
+    for rb in batches:
+        at = 0
+        while at < rb.num_rows:
+            n = min(rows, rb.num_rows - at)
+            while n > 1 and rb.slice(at, n).nbytes > size:
+                n //= 2
+            yield rb.slice(at, n)
+            at += n
 
 
 class WordHashes(dict):
@@ -184,15 +203,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while True:
         both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        at = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
-        of = at.select(F.col("id").alias("by"), F.col("l").alias("to"))
-        at = materialize(at.join(of, at.l == of.by).select("id", F.col("to").alias("l")))
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
+        of = near.select(F.col("id").alias("by"), F.col("l").alias("to"))
+        at = materialize(near.join(of, near.l == of.by).select("id", F.col("to").alias("l")))
         x, y = at.select(F.col("id").alias("u"), F.col("l").alias("x")), at.select(F.col("id").alias("v"), F.col("l").alias("y"))
         new = rest.join(x, "u").join(y, "v").where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        rest, seen = materialize(new, F.count("*").alias("n"))
-        to = at.select(F.col("id").alias("by"), F.col("l").alias("to"))
-        labels = at if labels is None else materialize(labels.join(to, labels.l == to.by, "left").select("id", F.coalesce("to", "l").alias("l")))
+        left, seen = materialize(new, F.count("*").alias("n"))
+        release(near, rest)
+        if labels is None:
+            labels = at
+        else:
+            to = at.select(F.col("id").alias("by"), F.col("l").alias("to"))
+            moved = materialize(labels.join(to, labels.l == to.by, "left").select("id", F.coalesce("to", "l").alias("l")))
+            release(labels, at)
+            labels = moved
+        rest = left
         if not seen["n"]:
+            release(rest)
             return labels.withColumnRenamed("l", "component")
 
 
@@ -207,6 +234,12 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(lost) if seen["n"] <= BROADCAST_IDS else lost, df[key] == F.col("_lost"), "left_anti")
 
 
+def drop_rows(df: DataFrame, lost: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose keys, none of them null, aren't those of a row of lost. A list of proven size is broadcast, a longer one shuffled."""
+    lost, seen = materialize(lost.select(*keys).distinct(), F.count("*").alias("n"))
+    return df.join(F.broadcast(lost) if seen["n"] <= BROADCAST_IDS else lost, keys, "left_anti")
+
+
 def bitmap(wanted: DataFrame, key: str, bits: int = 1 << 22):
     """A broadcast bitmap of fixed size (bits / 8 bytes) in which each key's bit, key mod bits, is set."""
     p = F.pmod(F.col(key), F.lit(bits))

@@ -35,7 +35,7 @@ def _sign(reps: DataFrame, tables: int, bits: int, width: str) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weight = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
-        for rb in batches:
+        for rb in C.pieces(batches):
             vec = rb.column("vec")
             at = vec.offsets.to_numpy()
             flat = vec.values.to_numpy(zero_copy_only=False)
@@ -112,7 +112,6 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     a spanning forest of its links, joined by distributed components.
     """
     spark = vectors.sparkSession
-    C.small_batches(spark)
     e = F.col(embedding)
     double = isinstance(vectors.schema[embedding].dataType.elementType, T.DoubleType)
     width = "<f8" if double else "<f4"

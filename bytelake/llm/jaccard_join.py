@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,93 +12,128 @@ from pyspark.sql import functions as F
 
 from bytelake.llm import common as C
 
-#: Members of a block in the verification of large families.
-BLOCK = 64
-#: Parts that a set has beyond those that differences can touch, so that a part left alone isn't an empty one.
-SPARE = 2
+#: Shingles whose scrambled hash is below this part of the hash space are counted, and come first in the order.
+COUNTED = 0.5
+#: Documents behind a prefix shingle up to which its group pairs are listed; those behind more common ones are compared in blocks.
+LISTED, BLOCK = 64, 256
+#: Partners in a cell of verification.
+CELL = 64
+#: Bits of the bitmap that thins out shingles of one document before they are joined to the counts: 8 MB.
+SEEN_BITS = 1 << 26
+_COUNTED = np.uint64(int(COUNTED * 2.0**64))
+_ORDER = np.uint64(0x5851F42D4C957F2D)
 
 
-class Parts:
-    """Size classes and prefixes of sets for a Jaccard threshold of percent / 100.
+def prefix_size(n: int, percent: int) -> int:
+    """First shingles of a set of n, in an order common to all, of which a set that links holds one at least among its own first."""
+    return n - -(-percent * n // 100) + 1
 
-    Two sets that link have sizes in one class or in neighbouring ones, and differ in at most
-    (sizes) * (100 - percent) / (100 + percent) elements. Each class has one more part than that (and SPARE);
-    elements are dealt to the parts by their hash, so at least one part is equal in both sets. A set's prefix
-    is a digest of each of its parts, under its own class and the next one.
-    """
 
-    def __init__(self, percent: int):
-        self.percent, self.low = percent, [1]
-
-    def grow(self) -> None:
-        self.low.append(max(self.low[-1] + 1, 100 * (self.low[-1] - 1) // self.percent + 1))
-
-    def classes(self, n: int) -> int:
-        """Index of the class that n is in: class c holds low[c] .. low[c + 1] - 1."""
-        while self.low[-1] <= n:
-            self.grow()
-        return bisect_right(self.low, n) - 1
-
-    def count(self, c: int) -> int:
-        while len(self.low) < c + 2:
-            self.grow()
-        return 2 * (self.low[c + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1
-
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.empty(0, np.uint64)
-        own, found, value = self.classes(len(s)), [], C.mix(s)
-        for c in (own, own + 1):
-            k = self.count(c)
-            k += SPARE * (k > 1)
-            part = (s % np.uint64(k)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.flatnonzero(np.diff(part[order], prepend=-1))
-            digest = np.add.reduceat(value[order], at)
-            which = part[order][at]
-            if k - len(at) > SPARE:  # so many empty parts that the equal one may be among them
-                empty = np.setdiff1d(np.arange(k), which)
-                which, digest = np.concatenate([which, empty]), np.concatenate([digest, np.zeros(len(empty), np.uint64)])
-            found.append(C.mix(digest * np.uint64(0x9E3779B97F4A7C15) + which.astype(np.uint64) + np.uint64(c << 40)))
-        return np.concatenate(found)
-
-
-def _sets(docs: DataFrame, size: int, percent: int, whole: bool) -> DataFrame:
-    """From (k, t, ...): k, n, hi, lo (a 128-bit digest of the set) and its prefix; if whole, the set and the other columns."""
-    other = docs.columns[2:] if whole else []
+def _count_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(h, c): in how many of the texts (column t) each counted shingle is; only those in two or more."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts = C.WordHashes(), Parts(percent)
-        for rb in batches:
-            ns, hi, lo, out = [], [], [], []
+        hashes = C.WordHashes()
+        for rb in C.pieces(batches):
+            sets = [C.shingle_set(C.hash_words(t, hashes), size) for t in rb.column(0).to_pylist()]
+            if sets:
+                s = np.concatenate(sets)
+                h, c = np.unique(s[C.mix(s ^ _ORDER) < _COUNTED], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(c)], ["h", "c"])
+
+    return texts.select("t").mapInArrow(go, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+def _sets(texts: DataFrame, size: int, percent: int, sent) -> DataFrame:
+    """From (k, t, x, y): k, x, y, the set's size n and 128-bit digest (hi, lo). For sets that may link, also first
+    (the prefix's size), counted (how many are), seen (counted shingles that other sets may hold), rest (uncounted
+    ones as far as the prefix may reach) and own_set: a set with a whole prefix of shingles of its own can't link.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = C.WordHashes()
+        for rb in C.pieces(batches):
+            cols: list[list] = [[] for _ in range(8)]
             for t in rb.column(1).to_pylist():
                 s = C.shingle_set(C.hash_words(t, hashes), size)
-                sig = xxhash.xxh3_128_digest(s.tobytes())
-                ns.append(len(s))
-                hi.append(int.from_bytes(sig[:8], "little", signed=True))
-                lo.append(int.from_bytes(sig[8:], "little", signed=True))
-                out.append(s.tobytes() if whole else C.signed(parts.prefix(s)))
-            own = pa.array(out, pa.binary() if whole else pa.list_(pa.int64()))
-            columns = [rb.column(0), *(pa.array(x, pa.int64()) for x in (ns, hi, lo)), own, *(rb.column(c) for c in other)]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "n", "hi", "lo", "own_set" if whole else "prefix", *other])
+                sig, n = xxhash.xxh3_128_digest(s.tobytes()), len(s)
+                row = [n, int.from_bytes(sig[:8], "little", signed=True), int.from_bytes(sig[8:], "little", signed=True), None, None, None, None, None]
+                if n:
+                    order, first = C.mix(s ^ _ORDER), prefix_size(n, percent)
+                    counted = order < _COUNTED
+                    own, mine = s[counted], int(counted.sum())
+                    seen = own[C.hits(sent.value, C.signed(own))]
+                    if mine - len(seen) < first:
+                        rest = s[~counted][np.argsort(order[~counted], kind="stable")[: max(0, first - mine)]]
+                        row[3:] = [first, mine, C.signed(seen), C.signed(rest), s.tobytes()]
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(2), rb.column(3), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))],
+                ["k", "x", "y", "n", "hi", "lo", "first", "counted", "seen", "rest", "own_set"],
+            )
+
+    return texts.select("k", "t", "x", "y").mapInArrow(
+        go, "k long, x long, y long, n long, hi long, lo long, first long, counted long, seen array<bigint>, rest array<bigint>, own_set binary"
+    )
 
-    return docs.mapInArrow(go, f"k long, n long, hi long, lo long, {'own_set binary' if whole else 'prefix array<bigint>'}" + "".join(f", {c} long" for c in other))
 
+def _groups(near: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, n, g, own, prefix) of the sets that may link: the shingles of the prefix that other sets hold, by rising
+    frequency, after `own` ones of this set alone. Sets with identical prefixes and size have one g."""
+    rows = near.select("k", "n", "first", "counted", "rest", F.explode_outer("seen").alias("h")).join(counts, "h", "left")
+    keys = ["k", "n", "first", "counted", "rest"]
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col("c").isNotNull(), F.struct("c", "h")))).alias("seen"))
+    rows = rows.withColumn("own", F.col("counted") - F.size("seen")).where("own < first")
+    rows = rows.withColumn("prefix", F.slice(F.concat(F.col("seen.h"), "rest"), F.lit(1), (F.col("first") - F.col("own")).cast("int")))
+    alone = F.xxhash64(F.lit("alone"), "k")
+    return rows.select("k", "n", F.when(F.col("own") == 0, F.xxhash64("n", "prefix")).otherwise(alone).alias("g"), "own", "prefix").where(F.size("prefix") > 0)
 
-def _shared(prefixes: DataFrame, sent) -> DataFrame:
-    """Rows (gid, p) of prefix digests that may be in more than one group."""
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            p = rb.column(1).flatten().to_numpy()
-            gid = np.repeat(rb.column(0).to_numpy(), np.diff(rb.column(1).offsets.to_numpy()))
-            keep = C.hits(sent.value, p)
-            yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), pa.array(p[keep])], ["gid", "p"])
+def _fits(percent: int, both, na, nb):
+    """Whether an overlap of `both` is enough for sizes na and nb."""
+    return both * (100 + percent) >= percent * (na + nb)
 
-    return prefixes.mapInArrow(go, "gid long, p long")
+
+def _group_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (ga, gb) of groups that share a listed prefix shingle, filtered by size and position; a group of
+    several documents is a pair with itself.
+
+    Before a shared shingle no more than the shorter beginning can be shared, after it no more than the shorter
+    rest. Shingles shared up to the last one are counted, with a group's common shingles, which aren't listed here.
+    """
+    a = posts.select("h", *(F.col(c).alias(f"{c}a") for c in ("g", "n", "m", "pos", "common")))
+    b = posts.select("h", *(F.col(c).alias(f"{c}b") for c in ("g", "n", "m", "pos", "common")))
+    each = (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ma") > 1))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    after = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    near = a.join(b, (a["h"] == b["h"]) & each & sizes & _fits(percent, after + F.least("posa", "posb"), F.col("na"), F.col("nb")))
+    pairs = near.groupBy("ga", "gb", "na", "nb", "commona", "commonb").agg(F.count("*").alias("shared"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
+    most = F.col("shared") + F.least("commona", "commonb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
+    return pairs.where(_fits(percent, most, F.col("na"), F.col("nb"))).select("ga", "gb")
+
+
+def _verify_partners(percent: int):
+    """Links of a cell's first document (the row with role 0) to its partners."""
+
+    def f(tb: pa.Table) -> dict | None:
+        role, ids = tb.column("role").to_numpy(), tb.column("k").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in tb.column("own_set").to_pylist()]
+        found = []
+        for i in np.flatnonzero(role == 0):
+            for j in np.flatnonzero(role == 1):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both * (100 + percent) >= percent * (len(sets[i]) + len(sets[j])):
+                    found.append((ids[i], ids[j]))
+        return {"a": np.array([x[0] for x in found]), "b": np.array([x[1] for x in found])} if found else None
+
+    return f
 
 
 def verify(percent: int):
+    """Links among the documents of a cell of blocks (see common.block_pairs), as a forest."""
+
     def f(tb: pa.Table) -> dict | None:
         if tb.num_rows < 2:
             return None
@@ -117,9 +151,9 @@ def verify(percent: int):
         dense = np.cumsum(seen > 1) - 1
         row, col = row[seen[col] > 1], dense[col[seen[col] > 1]]
         both = np.zeros((len(use), len(use)), np.float64)
-        for at in range(0, int(dense[-1]) + 1, 32768):
-            here = (col >= at) & (col < at + 32768)
-            m = np.zeros((len(use), min(32768, int(dense[-1]) + 1 - at)), np.float32)
+        for at in range(0, int(dense[-1]) + 1, 8192):
+            here = (col >= at) & (col < at + 8192)
+            m = np.zeros((len(use), min(8192, int(dense[-1]) + 1 - at)), np.float32)
             m[row[here], col[here] - at] = 1
             both += m @ m.T
         k = n[use]
@@ -133,43 +167,76 @@ def verify(percent: int):
     return f
 
 
+def _links(near: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Verified edges (a, b) between sets, enough to join all that link, from near(k, ...), k the set's digest."""
+    members = C.materialize(_groups(near, counts))
+    groups = members.groupBy("g").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.count("*").alias("m"))
+    posts = groups.select("g", "n", "m", "own", F.posexplode("prefix").alias("i", "h")).select("g", "n", "m", "h", (F.col("own") + F.col("i")).alias("pos"))
+    lists = posts.groupBy("h").agg(F.sum("m").alias("w")).where("w > 1")
+    posts = C.materialize(posts.join(lists, "h"))
+    many = posts.where(F.col("w") > LISTED)
+    common = many.groupBy("g").agg(F.count("*").alias("common"))
+    listed = posts.where(F.col("w") <= LISTED).join(common, "g", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    pairs = C.materialize(_group_pairs(listed, percent))
+    of = members.select("g", "k")
+    expanded = pairs.join(of.select(F.col("g").alias("ga"), F.col("k").alias("ka")), "ga").join(of.select(F.col("g").alias("gb"), F.col("k").alias("kb")), "gb")
+    expanded = expanded.where("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    expanded = C.materialize(expanded)
+    sets = near.select("k", "n", "own_set")
+    chunks = F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("chunks")
+    size = expanded.groupBy("a").agg(chunks)
+    partner = expanded.join(size, "a").select("a", F.pmod(F.xxhash64("b", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("k"), F.lit(1).alias("role"))
+    first = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("k"), F.lit(0).alias("role"))
+    cells = partner.unionByName(first).join(sets, "k").select("a", "chunk", "role", "k", "own_set")
+    edges = C.run_groups(cells, ["a", "chunk"], _verify_partners(percent), "a long, b long", ["a", "b"])
+
+    heads = many.groupBy("h").agg(F.min("g").alias("head"))
+    stars = many.join(heads, "h").select("g", "head").distinct()
+    families = C.components(stars, "g", "head").select(F.col("id").alias("g"), F.col("component").alias("fam"))
+    families = many.select("g").distinct().join(families, "g", "left").select("g", F.coalesce("fam", "g").alias("fam"))
+    kin = of.join(families, "g").select("k", "fam").distinct()
+    kin = C.materialize(kin.join(kin.groupBy("fam").agg(F.count("*").alias("c")), "fam"))
+    blocks = C.block_pairs(kin, "fam", "c", "k", BLOCK).join(sets, "k").select("fam", "bi", "bj", "own", "k", "n", "own_set")
+    return edges.unionByName(C.run_groups(blocks, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"]))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set is its distinct `size`-word shingles (A-Z lower-cased, ASCII white space); with fewer words
     the whole sequence is one shingle; null or wordless text has an empty set and links with nothing. Two
     documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
-    Rows with a null doc_id keep their n_shingles and get a null component. Repeated rows come back repeated.
-    Other columns are ignored, whatever their names. An empty table gives no rows.
-
-    Documents with identical prefixes and size are one group, known by a digest; it stands for all copies. The
-    prefix holds digests of parts of a set, not single shingles (see Parts): sets that link share one of them,
-    while a passage that many documents share ties none of them together. Groups that share a digest are tied
-    to the least of them (a star, no pairs), stars join to families, and inside a family pairs are filtered by
-    size and verified exactly on the sets of one member of each group, in blocks of bounded size. A block gives
-    a spanning forest of its links, never its pairs. Shingles are compared by 64-bit hashes.
+    Rows with a null doc_id keep their n_shingles and get a null component. Repeated rows come back repeated; rows
+    of one doc_id with different texts are judged each, as if they were different documents. Other columns are ignored, whatever their names. An empty
+    table gives no rows.
+
+    Equal texts, then equal sets, are judged once. Shingles are ordered by rising number of sets that hold them
+    (half of the hash space is counted, over all documents; the other half comes after it by hash: any order that
+    is the same for all sets is sound). Sets that link share a shingle of their prefixes in that order, so a set
+    with a prefix of its own drops out. Sets with identical prefixes and size are one group; pairs of groups that
+    share a prefix shingle are filtered by size and position, then expanded to members and verified exactly.
+    Shingles that the prefixes of more than LISTED documents hold list no pairs: their documents, in families
+    held together by such shingles alone, are verified in blocks of bounded size, which give a spanning forest of
+    their links. Components are drawn over verified links only. Shingles are compared by 64-bit hashes.
     """
-    C.small_batches(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    sets = C.materialize(_sets(base, size, percent, whole=False))
-    some = sets.where("n > 0 AND k IS NOT NULL")
-    posts = some.select(F.col("hi").alias("gid"), F.explode("prefix").alias("p"))
-    heads = posts.groupBy("p").agg(F.min("gid").alias("head"), F.max("gid").alias("tail")).where("head < tail").select("p", "head")
-    heads = C.materialize(heads)
-    stars = _shared(some.select("hi", "prefix"), C.bitmap(heads, "p")).join(heads, "p").where("gid != head").select("gid", "head").distinct()
-    families = C.components(stars, "gid", "head").select(F.col("id").alias("hi"), F.col("component").alias("fam"))
-    reps = C.materialize(some.groupBy("hi", "lo").agg(F.min("k").alias("rep")))
-    member = reps.join(families, "hi").select("rep", "fam")
-    count = member.groupBy("fam").agg(F.count("*").alias("c"))
-    member = C.materialize(member.join(count, "fam").select("rep", "fam", "c"))
-    near = C.reduce_by_bitmap(base, "k", member.select(F.col("rep").alias("k")))
-    near = near.join(member, near.k == member.rep).select("k", "t", "fam", "c")
-    cells = C.block_pairs(_sets(near, size, percent, whole=True), "fam", "c", "k", BLOCK)
-    cells = cells.select("fam", "bi", "bj", "own", "k", "n", "own_set")
-    edges = C.run_groups(cells, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])
-    comp = C.components(edges)
-    known = reps.join(comp, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
-    out = sets.select("k", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
+    base = docs.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    base = base.withColumns({"x": F.xxhash64("t"), "y": F.xxhash64(F.lit(1), "t")})
+    rows = C.materialize(base.select("k", "x", "y"))
+    first = rows.where("k IS NOT NULL").groupBy("x", "y").agg(F.min("k").alias("rep"))
+    again = rows.join(first, ["x", "y"]).where("k != rep").select("k", "x")
+    texts = C.drop_rows(base, again, ["k", "x"])
+    counts = C.materialize(_count_shingles(texts.where("k IS NOT NULL"), size))
+    sets = C.materialize(_sets(texts, size, percent, C.bitmap(counts, "h", SEEN_BITS)))
+    reps = C.materialize(sets.where("n > 0 AND k IS NOT NULL").groupBy("hi", "lo").agg(F.min("k").alias("rep")))
+    near = sets.where("own_set IS NOT NULL AND k IS NOT NULL")
+    alike = near.select("k", "x", "hi", "lo").join(reps, ["hi", "lo"]).where("k != rep").select("k", "x")
+    near = C.drop_rows(near, alike, ["k", "x"])
+    comp = C.components(_links(near.withColumn("k", F.col("hi")), counts, percent)).withColumnRenamed("id", "hi")
+    linked = comp.join(reps.select("hi", "rep"), "hi")
+    linked = linked.select("hi", "component").join(linked.groupBy("component").agg(F.min("rep").alias("c")), "component").select("hi", "c")
+    known = reps.join(linked, "hi", "left").select("hi", "lo", F.coalesce("c", "rep").alias("c"))
+    of_text = sets.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("lo").alias("lo")).join(known, ["hi", "lo"], "left")
+    out = rows.join(of_text.select("x", "y", "n", "c"), ["x", "y"], "left")
     return out.select(
         F.col("k").alias("doc_id"),
         F.col("n").alias("n_shingles"),

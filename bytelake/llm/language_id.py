@@ -40,7 +40,7 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[l
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), CELLS), np.int64)
-        for rb in batches:
+        for rb in C.pieces(batches):
             for x, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 if x in at:
                     total[at[x]] += cells(t)
@@ -74,7 +74,7 @@ def _likelihoods(rows: DataFrame, logp, langs: list[str], sums: np.ndarray | Non
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = logp.value.T.copy()
-        for rb in batches:
+        for rb in C.pieces(batches):
             ll, n = np.zeros((rb.num_rows, table.shape[1])), np.zeros(rb.num_rows, np.int64)
             own = [None if sums is None else known.get(x) for x in rb.column(rb.schema.get_field_index("declared")).to_pylist()]
             for i, t in enumerate(rb.column(rb.schema.get_field_index("t")).to_pylist()):
@@ -128,7 +128,7 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float
     hosts = hosts.select("host", F.array(*(f"s{i}" for i in m)).alias("s"), F.array(*(f"d{i}" for i in m)).alias("d"))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in C.pieces(batches):
             col = lambda c: rb.column(rb.schema.get_field_index(c))
             ll, p, s, d = (col(c).flatten().to_numpy().reshape(rb.num_rows, len(langs)) for c in ("ll", "p", "s", "d"))
             others = np.maximum(s - p, 0)  # without the row itself
@@ -157,7 +157,6 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     share the empty host. Repeated rows and null ids are rows like others; an empty table gives no rows; other
     columns are ignored. With no labelled document every page is und.
     """
-    C.small_batches(pages.sparkSession)
     langs, logp, _ = fit_text(docs)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(
@@ -175,7 +174,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     lang is the declared language, source the host. Rows with a null doc_id stay.
     """
-    C.small_batches(docs.sparkSession)
     langs, logp, sums = fit_text(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.lower(F.trim(F.col("lang"))).alias("declared"), F.col("source").cast("string").alias("host"))
     found = identify(rows, langs, logp, UNKNOWN, sums)

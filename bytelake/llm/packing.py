@@ -82,7 +82,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(load_encoder(vocabulary))
         end = np.uint32(END).tobytes()
-        for rb in batches:
+        for rb in C.pieces(batches):
             doc, start, length, crc, tokens = [], [], [], [], []
             for k, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 raw = (ids.of(t) if t else b"") + end
@@ -189,7 +189,6 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its place up in the plan. No ids are kept or shuffled.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     pieces = C.materialize(pieces_of(base, vocabulary or tokenizer_path(), window))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows

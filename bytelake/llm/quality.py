@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, tuple]:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * TRAIN_DOCS rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in C.pieces(batches):
             h, q, part = [], [], []
             for k, y, t in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
                 parts = _chunks((t or "").encode("utf-8", "surrogatepass"))
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, tuple]:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(*sent.value)
-        for rb in batches:
+        for rb in C.pieces(batches):
             x = pa.array([sizes(t) for t in rb.column(2).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), x], ["h", "quality", "x"])
 
@@ -117,13 +117,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored each; null ids stay; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad, (mean, scale, w) = model.value
         sizes = Sizes(good, bad)
-        for rb in batches:
+        for rb in C.pieces(batches):
             texts = rb.column(2).to_pylist()
             x = np.array([sizes(t) if t else mean for t in texts]).reshape(len(texts), -1)
             s = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[1:] + w[0], -30, 30))) if len(texts) else np.zeros(0)

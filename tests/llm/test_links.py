@@ -46,17 +46,44 @@ def test_jaccard_empty(none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
-def test_prefixes_share_a_part():
-    """Sets at the threshold share a digest, whatever their sizes."""
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefixes_share_a_shingle(percent):
+    """Sets at the threshold share one of their first elements, whatever their sizes and the order."""
     rng = np.random.default_rng(3)
-    parts = jaccard_join.Parts(80)
     for n in [1, 2, 3, 5, 9, 10, 11, 40, 200, 999]:
-        for _ in range(20):
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            most = int((len(a) * 2 - 1) * 0.2 / 1.8) // 2
-            b = np.unique(np.concatenate([a[most:], rng.integers(0, 2**63, most).astype(np.uint64)]))
-            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-                assert len(np.intersect1d(parts.prefix(a), parts.prefix(b)))
+        for _ in range(30):
+            a = rng.permutation(5 * n)[:n]
+            most = rng.integers(0, n * (100 - percent) // 100 + 2)
+            b = np.unique(np.concatenate([a[most:], rng.integers(0, 5 * n, most)]))
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                first = [set(sorted(x.tolist())[: jaccard_join.prefix_size(len(x), percent)]) for x in (a, b)]
+                assert first[0] & first[1]
+
+
+def test_jaccard_of_common_prefixes(spark):
+    """More near copies than a prefix shingle lists, in two families, with groups of identical prefixes."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for f in range(2):
+        base = [f"f{f}w{i}" for i in range(60)]
+        for i in range(90):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.choice((3, 20, 40, 55))] = f"v{rng.randrange(3)}"
+            rows.append((100 * f + i, " ".join(w), "x"))
+    rows += [(500, "a b c d e f g h i j k l", "x"), (501, "a b c d e f g h i j k l m", "x"), (501, rows[0][1], "x"), (502, "A  b\tc d e f g h i j k l", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    sets = {i: shingles(t, 3) for i, (_, t, _) in enumerate(rows)}
+    ids = [r[0] for r in rows]
+    link = [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    linked = set(link)
+    comp = closure(list(sets), lambda a, b: (a, b) in linked)
+    least = {c: min(ids[i] for i in sets if comp[i] == c) for c in comp.values()}
+    got = [tuple(r) for r in jaccard_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted((ids[i], len(s), least[comp[i]]) for i, s in sets.items())
+    assert len(least) > 4
 
 
 def test_components_of_chains_and_hubs(spark):
