@@ -46,7 +46,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.listed_urls(pages))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelake.llm import common as C
+
 #: Rules: (verdict, host and path). The longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Hosts, with their subdomains, whose pages make up the list of blocked urls.
-LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+#: Words that put the url of a page which shows one of them, in any case, on the list of blocked urls.
+LISTED_WORDS = ("disgusting", "idiot", "moron", "scum", "worthless")
 #: Bits of the filter for each listed url, bits of one block (four longs), bits set for one url.
 BITS_A_URL, BLOCK_BITS, PROBES = 12, 256, 6
 #: Blocks up to which the filter is broadcast: 40 bytes each, about 40 MB.
@@ -57,14 +59,29 @@ def _probe(h: Column, blocks: int) -> list[Column]:
     return [F.pmod(h, F.lit(blocks)).alias("block"), *(word(w).alias(f"w{w}") for w in range(4))]
 
 
+def listed_urls(pages: DataFrame, url: str = "url", html: str = "html", words=LISTED_WORDS) -> DataFrame:
+    """canonical: canonical urls of the pages whose html holds one of the words as a whole word, in any case.
+
+    Other pages of the same canonical url (other scheme, www., slash, tracking parameters) are blocked with them.
+    Null html has no words; urls that are null or without :// aren't listed; an empty table gives no rows.
+    """
+    bad = F.coalesce(F.col(html).cast("string").rlike(_any_word(words)), F.lit(False))
+    return pages.where(bad).select(canonical(F.col(url).cast("string")).alias("canonical")).where("canonical IS NOT NULL").distinct()
+
+
+def _any_word(words) -> str:
+    return rf"(?i)\b({'|'.join(words)})\b"
+
+
 def block_listed(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
     """urls with a boolean column listed: whether their canonical url is in listed(canonical). Nulls aren't.
 
     A Bloom filter with one block for each url (all its bits in one row of four longs, so one probe a url) lets
-    through every listed url and few others; these go on to an exact join on the url's hash and text. The filter
-    is broadcast up to BROADCAST_BLOCKS blocks and joined by a shuffle beyond.
+    through every listed url and few others. Only those go on to an exact join on the url's hash and text; what the
+    filter stops is done, and isn't shuffled. The filter is broadcast up to BROADCAST_BLOCKS blocks and joined by
+    a shuffle beyond. Equal urls, however many, meet one row of the list.
     """
-    rows = listed.select(F.col(url).alias("_u")).where("_u IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_u"))
+    rows = C.materialize(listed.select(F.col(url).alias("_u")).where("_u IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_u")))
     blocks = max(1, math.ceil(rows.count() * BITS_A_URL / BLOCK_BITS))
     filled = rows.select(*_probe(F.col("_h"), blocks)).groupBy("block").agg(*(F.bit_or(f"w{w}").alias(f"f{w}") for w in range(4))).withColumnRenamed("block", "_b")
     small = blocks <= BROADCAST_BLOCKS
@@ -73,26 +90,25 @@ def block_listed(urls: DataFrame, listed: DataFrame, url: str = "canonical") ->
     asked = asked.withColumns({"_block": b} | {f"_w{i}": w for i, w in enumerate(words)})
     asked = asked.join(F.broadcast(filled) if small else filled, F.col("_block") == F.col("_b"), "left")
     may = functools.reduce(lambda x, y: x & y, [F.col(f"_w{i}").bitwiseAND(F.col(f"f{i}")) == F.col(f"_w{i}") for i in range(4)])
-    asked = asked.withColumn("_may", F.coalesce(may & F.col(url).isNotNull(), F.lit(False)))
-    key = F.when(F.col("_may"), F.col("_h"))
+    asked = asked.withColumn("_may", F.coalesce(may & F.col(url).isNotNull(), F.lit(False))).select(*urls.columns, "_h", "_may")
+    stopped = asked.where(~F.col("_may")).select(*urls.columns, F.lit(False).alias("listed"))
     found = rows.select(F.col("_h").alias("_lh"), "_u", F.lit(True).alias("_in"))
-    out = asked.join(found, (key == F.col("_lh")) & (F.col(url) == F.col("_u")), "left")
-    return out.select(*urls.columns, F.coalesce("_in", F.lit(False)).alias("listed"))
+    passed = asked.where("_may").join(found, (F.col("_h") == F.col("_lh")) & (F.col(url) == F.col("_u")), "left")
+    return stopped.unionByName(passed.select(*urls.columns, F.coalesce("_in", F.lit(False)).alias("listed")))
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
-    The longest rule that fits host and path decides; where none fits, urls whose canonical form is in the list
-    are blocked and others allowed. The list is the canonical urls of all pages on the listed hosts. A null url
-    or one without :// has empty host and path, fits no rule and is allowed. Repeated rows are judged each;
-    null ids stay; an empty table gives no rows; other columns are ignored.
+    The longest rule that fits host and path decides; where none fits, urls whose canonical form is in
+    listed(canonical) are blocked and others allowed. A null url or one without :// has empty host and path, fits no
+    rule and is allowed. Repeated rows are judged each; null ids stay; an empty table gives no rows; other columns
+    are ignored.
     """
     host, path = host_and_path(F.col("_url"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("_url"))
     rows = rows.withColumns({"host": host, "path": path, "canonical": canonical(F.col("_url"))}).drop("_url")
-    bad = functools.reduce(lambda a, b: a | b, [on_host(F.col("host"), h) for h in listed_hosts])
-    judged = block_listed(rows, rows.where(bad)).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = block_listed(rows, listed).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     return judged.select(
         "page_id",
         "host",
@@ -115,7 +131,7 @@ def _fits(rule: str) -> str:
 _LONGEST = sorted(RULES, key=lambda r: -len(r[1]))
 SQL = f"""
 WITH p AS (
-  SELECT page_id, {_HOST} AS host, {_PATH} AS path, url,
+  SELECT page_id, {_HOST} AS host, {_PATH} AS path, url, html,
     list_aggregate(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), 'string_agg', '&') AS q
   FROM pages),
@@ -123,7 +139,7 @@ c AS (
   SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '')
     || regexp_replace(regexp_replace(path, '(\\.html)?/*$', ''), '/+$', '')
     || CASE WHEN coalesce(q, '') <> '' THEN '?' || q ELSE '' END END AS canonical FROM p),
-l AS (SELECT DISTINCT canonical FROM c WHERE {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in LISTED_HOSTS)}),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(html, '{_any_word(LISTED_WORDS)}')),
 j AS (SELECT c.*, l.canonical IS NOT NULL AS listed,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in _LONGEST)} END AS rule FROM c LEFT JOIN l ON c.canonical = l.canonical)
 SELECT page_id, host, path, rule,
