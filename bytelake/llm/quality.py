@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from bytelake.llm import common as C
 
-#: Labelled documents of each class that the model is fitted on (those with the smallest hash of their id): half of
-#: them make the dictionaries, by so many chunks of each, and half the calibration, by their whole texts.
-TRAIN_DOCS, TRAIN_CHUNKS = 2_000, 4
+#: Labelled documents of each class that the model is fitted on (those with the smallest hash of their id), by their
+#: whole texts: half of them make the dictionaries, half the calibration.
+TRAIN_DOCS = 2_000
 CHUNK, DICTIONARY, LEVEL = 2_048, 65_536, 3
 THRESHOLD = 0.7
 
@@ -25,23 +25,31 @@ def _chunks(raw: bytes) -> list[bytes]:
     return [raw[i * CHUNK : (i + 1) * CHUNK if i < n - 1 else len(raw)] for i in range(n)]
 
 
-class Sizes:
-    """Features of a text: its sizes under each dictionary, under none and whole, by its own length."""
+class Difference:
+    """The dealt quantity of a text: its size under the dictionary of bad text less that under the one of good text,
+    by its length in bytes. 0 for a text without bytes."""
 
     def __init__(self, good: bytes, bad: bytes):
         dicts = [zstandard.ZstdCompressionDict(d) for d in (good, bad)]
         for d in dicts:
             d.precompute_compress(level=LEVEL)
         self.under = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False) for d in dicts]
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
-    def __call__(self, text: str | None) -> list[float]:
+    def __call__(self, text: str | None) -> float:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return [0.0] * 6
-        parts = _chunks(raw)
-        good, bad, none = (sum(len(z.compress(p)) for p in parts) / len(raw) for z in (*self.under, self.plain))
-        return [bad - good, good, bad, none, len(self.plain.compress(raw)) / len(raw), float(np.log1p(len(raw)))]
+            return 0.0
+        good, bad = (sum(len(z.compress(p)) for p in _chunks(raw)) for z in self.under)
+        return (bad - good) / len(raw)
+
+
+def make_dictionary(texts: list[bytes]) -> bytes:
+    """A zstandard dictionary of whole texts; of too little text to train on, the text itself."""
+    parts = [p for t in texts for p in _chunks(t)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(parts)[-DICTIONARY:] or b"empty dictionary"
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,39 +78,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, tuple]:
     own = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id", 4)).select("doc_id", "quality").withColumn("h", F.xxhash64("doc_id", F.lit("fit")))
     chosen = own.where("quality = 1").orderBy("h").limit(TRAIN_DOCS).unionByName(own.where("quality = 0").orderBy("h").limit(TRAIN_DOCS))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * TRAIN_DOCS rows
+    rows = rows.select("h", F.col("quality").cast("int").alias("quality"), "text").where("text != ''")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in C.pieces(batches):
-            h, q, part = [], [], []
-            for k, y, t in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
-                parts = _chunks((t or "").encode("utf-8", "surrogatepass"))
-                for i in sorted({round(x) for x in np.linspace(0, len(parts) - 1, TRAIN_CHUNKS)}):
-                    h.append(k)
-                    q.append(y)
-                    part.append(parts[i][:CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(q, pa.int32()), pa.array(part, pa.binary())], ["h", "quality", "part"])
+    def train(tb: pa.Table) -> dict:
+        texts = sorted(zip(tb.column("h").to_pylist(), (t.encode("utf-8", "surrogatepass") for t in tb.column("text").to_pylist()), strict=True))
+        return {"quality": np.array([tb.column("quality")[0].as_py()], np.int32), "dictionary": np.array([make_dictionary([t for _, t in texts])], object)}
 
-    rows = rows.select("h", F.col("quality").cast("int").alias("quality"), "text").where("text != ''")
-    got = rows.where("pmod(h, 2) = 0").mapInArrow(cut, "h long, quality int, part binary").collect()
-    got = sorted((r.h, r.quality, bytes(r.part)) for r in got)
-    dicts = []
-    for y in (1, 0):
-        parts = [p for h, q, p in got if q == y and p]
-        try:
-            dicts.append(zstandard.train_dictionary(DICTIONARY, parts).as_bytes())
-        except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself is the dictionary
-            dicts.append(b"".join(parts)[-DICTIONARY:] or b"empty dictionary")
+    half = rows.where("pmod(h, 2) = 0").select("quality", "h", "text")
+    got = {r.quality: bytes(r.dictionary) for r in C.run_groups(half, ["quality"], train, "quality int, dictionary binary", ["quality", "dictionary"]).collect()}  # two rows
+    dicts = [got.get(y) or make_dictionary([]) for y in (1, 0)]
     sent = docs.sparkSession.sparkContext.broadcast(dicts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(*sent.value)
+        difference = Difference(*sent.value)
         for rb in C.pieces(batches):
-            x = pa.array([sizes(t) for t in rb.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), x], ["h", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array([difference(t) for t in rb.column(2).to_pylist()], pa.float64())], ["h", "quality", "x"])
 
-    rest = rows.where("pmod(h, 2) = 1").mapInArrow(measure, "h long, quality int, x array<double>").collect()  # six numbers a row
-    rest = sorted((r.h, r.quality, r.x) for r in rest) or [(0, 1, [0.0] * 6)]
-    x, y = np.array([r[2] for r in rest]), np.array([r[1] for r in rest], float)
+    rest = rows.where("pmod(h, 2) = 1").mapInArrow(measure, "h long, quality int, x double").collect()  # a number a row
+    rest = sorted((r.h, r.quality, r.x) for r in rest) or [(0, 1, 0.0)]
+    x, y = np.array([[r[2]] for r in rest]), np.array([r[1] for r in rest], float)
     return dicts[0], dicts[1], fit_logistic(x, y)
 
 
@@ -111,8 +105,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score is the chance, 0 to 1, that the label is 1; predicted is 1 from 0.7 on. It depends on the text alone.
     Whole texts are compressed, in chunks, under a dictionary of good and one of bad text; the difference of the
-    sizes, by the text's length, is calibrated together with the sizes themselves. Null and empty texts get the
-    score of an all-average text. Labels that are null or other than 0 and 1 are passed over, as are those whose
+    sizes, by the text's length, is calibrated by a logistic curve fitted on whole texts. Null and empty texts
+    have no difference (0). Labels that are null or other than 0 and 1 are passed over, as are those whose
     crc32(doc_id) modulo 4 is 2. Without labels of a class the scores are near the other one. Repeated rows are
     scored each; null ids stay; an empty table gives no rows; other columns are ignored.
     """
@@ -121,11 +115,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad, (mean, scale, w) = model.value
-        sizes = Sizes(good, bad)
+        difference = Difference(good, bad)
         for rb in C.pieces(batches):
             texts = rb.column(2).to_pylist()
-            x = np.array([sizes(t) if t else mean for t in texts]).reshape(len(texts), -1)
-            s = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[1:] + w[0], -30, 30))) if len(texts) else np.zeros(0)
+            x = np.array([[difference(t)] for t in texts])
+            s = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[1:] + w[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 4).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -121,14 +121,26 @@ def test_quality(spark):
 
 
 def test_quality_is_calibrated_on_whole_texts(spark):
+    """The logistic's inputs are the differences of whole texts, computed here one by one."""
     import random
 
     rng = random.Random(4)
     texts = [(i, prose(rng, "en" if i % 2 else "fr", 2500), i % 2) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
-    _, _, (mean, _, _) = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int"))
-    sizes = [len(t.encode()) for _, t, _ in texts]
-    assert min(sizes) > 4 * quality.CHUNK and math.log1p(min(sizes)) <= mean[5] <= math.log1p(max(sizes)) and mean[4] < mean[3]
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int")
+    good, bad, (mean, scale, w) = quality.fit(docs, labels)
+    half = [r.doc_id for r in labels.where(~quality.held_out("doc_id", 4)).where("pmod(xxhash64(doc_id, 'fit'), 2) = 1").collect()]
+    x = np.array([quality.Difference(good, bad)(texts[i][1]) for i in half])
+    assert mean[0] == pytest.approx(x.mean()) and scale[0] == pytest.approx(x.std(), rel=1e-6)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    assert all(got[i] == pytest.approx(1 / (1 + math.exp(-((d - mean[0]) / scale[0] * w[1] + w[0])))) for i, d in zip(half, x, strict=True))
+
+
+def test_quality_of_long_and_repeated_rows(spark):
+    rows = [(i, ("good words here " if i % 2 else "BAD | STUFF ! ") * 30, i % 2) for i in range(80)] + [(200, "good words here " * 20_000, 1), (1, "good words here " * 30, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = quality.score_quality(docs, spark.createDataFrame([(i, q) for i, _, q in rows[:80]], "doc_id long, quality int")).collect()
+    assert len(got) == 82 and len({r.score for r in got if r.doc_id == 1}) == 1 and all((r.score > 0.5) == (r.doc_id % 2 == 1 or r.doc_id == 200) for r in got)
 
 
 def test_language_id(spark, docs, rows, none):
@@ -220,15 +232,21 @@ def test_urls(spark):
         ("http://www.example.com/de/", "www.example.com", "/de/", "example.com/de/", "block"),
         ("x.org/fr/", "", "", None, "allow"),
         ("http://y.org/fr/#a", "y.org", "/fr/", "org/fr/", "allow"),
-        ("http://spam-farm.example.org/en/1?utm_source=a#b", "spam-farm.example.org", "/en/1", None, "block"),
+        ("http://www.some.example.org/en/1/?utm_source=a#b", "www.some.example.org", "/en/1/", None, "block"),
+        ("https://some.example.org/en/1.html", "some.example.org", "/en/1.html", None, "block"),
+        ("https://some.example.org/en/2", "some.example.org", "/en/2", None, "allow"),
         ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
         (None, "", "", None, "allow"),
+        ("http://long.example.org/" + "a" * 50_000, "long.example.org", "/" + "a" * 50_000, None, "allow"),
     ]
-    df = spark.createDataFrame([(i, u[0], "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
-    for i, (_, host, path, rule, verdict) in enumerate(urls):
-        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
-    assert url_filter.judge_urls(df.where("false")).count() == 0
+    html = {6: "<p>What an IDIOT.</p>", 8: "<p>idiotic</p>", 9: None, 10: "worthless"}
+    df = spark.createDataFrame([(i, u[0], "h", html.get(i, "fine"), "x") for i, u in enumerate(urls)] + [(6, urls[6][0], "h", None, "x")], "page_id long, url string, host string, html string, canonical string")
+    got = url_filter.judge_urls(df, url_filter.listed_urls(df)).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == tuple("" if x is None and i < 2 else x for i, x in enumerate(urls[r.page_id][1:])), r.page_id
+    assert url_filter.judge_urls(df.where("false"), url_filter.listed_urls(df)).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(df, url_filter.listed_urls(df.where("false"))).collect()} == {"block", "allow"}
 
 
 def test_bloom_passes_every_listed_url(spark):
