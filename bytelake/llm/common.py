@@ -58,6 +58,14 @@ def release(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = PIECE_ROWS) -> None:
+    """For applications, not operators: let Arrow batches of this session hold no more rows than that (Spark's own limit
+    is 64 MB each), so that workers stay small where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most so many rows and about so many bytes (one row at least): texts may be long."""
     for rb in batches:
@@ -245,8 +253,8 @@ def bitmap(wanted: DataFrame, key: str, bits: int = 1 << 22):
     p = F.pmod(F.col(key), F.lit(bits))
     words = wanted.select(F.shiftright(p, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({key}, {bits}) % 64 AS INT))").alias("b"))
     full = np.zeros(bits // 64, np.int64)
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # no more than bits / 64 rows
-    full[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # no more than bits / 64 rows
+    full[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return wanted.sparkSession.sparkContext.broadcast(full.astype("<i8").view(np.uint8))
 
 

@@ -13,98 +13,122 @@ WINDOW, PART, PLAIN = 8, 0.5, 3
 BROADCAST_WINDOWS = 1 << 19
 # Units, as they follow numbers.
 UNITS = "km m cm mm mi miles mile ft feet inches kg g mg lb lbs pounds oz l ml s sec seconds minutes hours days weeks months years mph kmh usd eur gbp dollars euros cents percent % $ € £ °".split()
-_TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[%$€£°]"
+_NAMES = r"\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+_TOKEN = rf"\p{{N}}+(?:[.,]\p{{N}}+)*|{_NAMES}(?:\s+{_NAMES})*|[\p{{L}}\p{{M}}]+|[%$€£°]"
 _NUMBER, _NAME, _UNIT = "<number>", "<name>", "<unit>"
 
 
 def tokens(text: Column) -> Column:
-    """Numbers, words and currency or unit signs of a text; null counts as empty."""
+    """Numbers, words and currency or unit signs of a text; capitalised words with only white space between them
+    (a name of several words) are one token. Null counts as empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
 def template(word: Column) -> Column:
-    """A placeholder for numbers, units and capitalised words (a capital, then small letters); else lower case."""
+    """A placeholder for numbers, units and names (words of a capital, then small letters); else lower case."""
     first, low = F.substring(word, 1, 1), F.lower(word)
     rest = F.substring(word, 2, 1 << 30)
     return (
         F.when((first >= "0") & (first <= "9"), _NUMBER)
-        .when((F.lower(first) != first) & (rest != "") & (F.lower(rest) == rest), _NAME)
+        .when((F.lower(first) != first) & (rest != "") & ((F.lower(rest) == rest) | rest.rlike(r"\s")), _NAME)
         .when(low.isin(UNITS), _UNIT)
         .otherwise(low)
     )
 
 
-def _windows(words: Column, size: Column) -> Column:
-    """Hashes of all runs of `size` templates; those with fewer than PLAIN plain words give null."""
-    runs = F.sequence(F.lit(1), F.size(words) - size + 1)
+def _windows(words: Column, kind: str, size: int) -> Column:
+    """Array of (w, i, h): hashes of all runs of `size` words, apart by kind."""
 
     def one(i: Column) -> Column:
-        return F.xxhash64(F.slice(words, i, size))
+        return F.struct(F.lit(size).alias("w"), (i - 1).alias("i"), F.xxhash64(F.lit(kind), F.slice(words, i, F.lit(size))).alias("h"))
 
-    return F.when(F.size(words) >= size, F.transform(runs, one)).otherwise(F.array().cast("array<bigint>"))
+    runs = F.sequence(F.lit(1), F.size(words) - size + 1)
+    return F.when(F.size(words) >= size, F.transform(runs, one)).otherwise(F.array().cast("array<struct<w:int,i:int,h:bigint>>"))
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, j, h, w, n): windows of benchmark items that hold PLAIN plain words, and their number n.
+    """(item, item_id, kind, j, h, w, n): windows of benchmark items that hold PLAIN plain words, and their number n.
 
-    An item shorter than a window is one window of its own size; one without a plain window keeps them all.
+    item tells texts of one item_id apart. An item shorter than a window is one window of its own size. An item
+    without such a window is nothing but placeholders: it keeps all its windows, of the words as they are
+    (kind "word" instead of "template"), so that they don't fit every table of figures.
     """
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.transform(tokens(F.col(text).cast("string")), template).alias("words"))
-    rows = rows.where(F.col("item").isNotNull() & (F.size("words") > 0)).distinct().withColumn("w", F.least(F.lit(WINDOW), F.size("words")))
-    cut = rows.select("item", "w", "words", F.posexplode(_windows(F.col("words"), F.col("w"))).alias("j", "h"))
-    plain = F.size(F.filter(F.slice("words", F.col("j") + 1, F.col("w")), lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(F.col(text).cast("string")).alias("raw")).where("item_id IS NOT NULL")
+    rows = rows.where(F.size("raw") > 0).distinct().withColumn("item", F.xxhash64("item_id", "raw"))
+    rows = rows.withColumns({"template": F.transform("raw", template), "word": F.transform("raw", F.lower), "w": F.least(F.lit(WINDOW), F.size("raw"))})
+    cut = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("w"))))
+    plain = F.size(F.filter(F.slice("template", F.col("j") + 1, F.col("w")), lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
     cut = cut.withColumn("plain", plain >= PLAIN)
     some = cut.groupBy("item").agg(F.max("plain").alias("some"), F.count(F.when(F.col("plain"), 1)).alias("p"), F.count("*").alias("a"))
-    cut = cut.join(some, "item").where("plain OR NOT some")
-    return cut.select("item", "j", "h", "w", F.when(F.col("some"), F.col("p")).otherwise(F.col("a")).alias("n"))
+    cut = cut.join(some, "item").where("plain OR NOT some").withColumn("kind", F.when(F.col("some"), "template").otherwise("word"))
+    h = F.when(F.col("some"), F.xxhash64(F.lit("template"), F.slice("template", F.col("j") + 1, F.col("w")))).otherwise(F.xxhash64(F.lit("word"), F.slice("word", F.col("j") + 1, F.col("w"))))
+    return cut.select("item", "item_id", "kind", "j", h.alias("h"), "w", F.when(F.col("some"), F.col("p")).otherwise(F.col("a")).alias("n"))
+
+
+def _agree(slots: Column) -> Column:
+    """Whether distinct slots (type, q, d) map one to one between question and document."""
+    side = lambda x: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["type"], s[x]))))
+    return (side("q") == F.size(slots)) & (side("d") == F.size(slots))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", part: float = PART) -> DataFrame:
     """Rows (doc_id, item_id, share): documents that hold at least `part` of a benchmark item's template windows
-    in one reading with consistent slots.
+    with consistent slots.
 
-    Text is cut to words and numbers; numbers, units and capitalised words become typed placeholders, other words
-    are lower-cased. Windows of eight are joined by hash to the items'. Matches of one document and item at one
+    Text is cut to words and numbers; numbers, units and names become typed placeholders, other words are
+    lower-cased. Windows of eight are joined by hash to the items'. Matches of one document and item at one
     distance are a reading; a reading is consistent if its placeholders map one to one between the two texts, so
-    a question with other numbers and names is caught, and a chance likeness is not. Null or empty texts match
-    nothing; null ids are passed over; repeated rows give one result; empty tables give no rows; other columns
-    are ignored. A passage repeated in a document counts once.
-
-    The items' windows are broadcast up to BROADCAST_WINDOWS, else joined by a shuffle.
+    a question with other numbers and names is caught, and a chance likeness is not. Readings of one item (its
+    text broken by inserted words) count together as far as their slots agree, the largest first. A name that a
+    document writes with further capitalised words before or after it counts as that name. Null or empty texts
+    match nothing; null ids are passed over; repeated rows give one result, as do rows of one doc_id with several
+    texts, each judged for itself; texts of one item_id are items of their own; empty tables give no rows; other
+    columns are ignored. A passage repeated in a document counts once.
+
+    Each text is cut and hashed in one pass. The items' windows are broadcast up to BROADCAST_WINDOWS, else joined
+    by a shuffle.
     """
     items = C.materialize(item_windows(benchmark))
-    sizes = sorted(r["w"] for r in items.select("w").distinct().collect()) or [WINDOW]  # at most WINDOW sizes
+    kinds = sorted((r["kind"], r["w"]) for r in items.select("kind", "w").distinct().collect())  # at most 2 * WINDOW
     small = items.count() <= BROADCAST_WINDOWS
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).where("doc_id IS NOT NULL")
-    words = base.select("doc_id", F.transform(tokens(F.col("t")), template).alias("words"))
-    found = None
-    for w in sizes:
-        own = items.where(F.col("w") == w)
-        cut = words.select("doc_id", F.posexplode(_windows(F.col("words"), F.lit(w))).alias("i", "h"))
-        hit = cut.join(F.broadcast(own) if small else own, "h").select("doc_id", "item", (F.col("i") - F.col("j")).alias("at"), "j", "w", "n")
-        found = hit if found is None else found.unionByName(hit)
-    read = found.groupBy("doc_id", "item", "at").agg(F.collect_set("j").alias("js"), F.max("w").alias("w"), F.max("n").alias("n"))
-    read = read.where(F.size("js") >= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)))
-    read = C.materialize(read)
+    base = base.withColumn("x", F.xxhash64("t"))
+    words = base.select("doc_id", "x", tokens(F.col("t")).alias("raw"))
+    words = words.select("doc_id", "x", F.transform("raw", template).alias("template"), *([F.transform("raw", F.lower).alias("word")] if any(k == "word" for k, _ in kinds) else []))
+    all_windows = F.concat(*[_windows(F.col(k), k, w) for k, w in kinds]) if kinds else F.array().cast("array<struct<w:int,i:int,h:bigint>>")
+    cut = words.select("doc_id", "x", F.inline(all_windows))
+    own = items.select("h", "w", "item", "j", "n")
+    read = cut.join(F.broadcast(own) if small else own, ["h", "w"]).groupBy("doc_id", "x", "item", (F.col("i") - F.col("j")).alias("at"))
+    read = C.materialize(read.agg(F.collect_set("j").alias("js"), F.max("w").alias("w"), F.max("n").alias("n")))
 
     # The words themselves, of candidate documents only.
-    named = C.materialize(read.select("doc_id").distinct())
+    named = C.materialize(read.select("doc_id", "x").distinct())
     few = named.count() <= C.BROADCAST_IDS
-    own = base.join(F.broadcast(named) if few else named, "doc_id", "left_semi").select("doc_id", tokens(F.col("t")).alias("d"))
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item"), tokens(F.col("text").cast("string")).alias("q")).where("item IS NOT NULL").distinct()
-    pair = read.join(own, "doc_id").join(asked, "item")
+    own = base.join(F.broadcast(named) if few else named, ["doc_id", "x"], "left_semi").dropDuplicates(["doc_id", "x"]).select("doc_id", "x", tokens(F.col("t")).alias("d"))
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("q")).where("item_id IS NOT NULL").distinct()
+    asked = asked.withColumn("item", F.xxhash64("item_id", "q"))
+    pair = read.join(own, ["doc_id", "x"]).join(asked, "item")
     spots = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("w") - 1))))
 
     def slot(p: Column) -> Column:
         q, d = F.get("q", p), F.get("d", p + F.col("at"))
-        return F.struct(template(q).alias("type"), F.lower(q).alias("q"), F.lower(d).alias("d"))
+        low, long = F.lower(q), F.lower(d)
+        same = (template(q) == _NAME) & (F.endswith(long, F.concat(F.lit(" "), low)) | F.startswith(long, F.concat(low, F.lit(" "))))
+        return F.struct(template(q).alias("type"), low.alias("q"), F.when(same, low).otherwise(long).alias("d"))
 
     slots = F.array_distinct(F.filter(F.transform(spots, slot), lambda s: s["type"].isin(_NUMBER, _NAME, _UNIT)))
-    pair = pair.withColumn("slots", slots)
-    side = lambda x: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s[x]))))
-    pair = pair.where((side("q") == F.size("slots")) & (side("d") == F.size("slots")))
-    share = pair.groupBy("doc_id", "item").agg((F.size(F.array_distinct(F.flatten(F.collect_set("js")))) / F.max("n")).alias("share"))
-    return share.where(F.col("share") >= part).select("doc_id", F.col("item").alias("item_id"), "share")
+    pair = pair.withColumn("slots", slots).where(_agree(F.col("slots")))
+    reading = F.struct((-F.size("js")).alias("less"), "at", "js", "slots")
+    whole = pair.groupBy("doc_id", "x", "item", "item_id").agg(F.sort_array(F.collect_list(reading)).alias("readings"), F.max("n").alias("n"))
+
+    def join(seen: Column, r: Column) -> Column:
+        both = F.array_union(seen["slots"], r["slots"])
+        return F.when(_agree(both), F.struct(F.array_union(seen["js"], r["js"]).alias("js"), both.alias("slots"))).otherwise(seen)
+
+    first = F.struct(F.get("readings", F.lit(0))["js"].alias("js"), F.get("readings", F.lit(0))["slots"].alias("slots"))
+    found = F.size(F.aggregate("readings", first, join)["js"]) / F.col("n")
+    share = whole.select("doc_id", "item_id", found.alias("share")).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    return share.where(F.col("share") >= part)
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

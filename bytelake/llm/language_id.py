@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,10 @@ from pyspark.sql import functions as F
 
 from bytelake.llm import common as C
 
-#: Cells of hashed byte trigrams, the most languages, and the trigrams' weight: so many count in full.
-CELLS, LANGUAGES, WEIGHT = 8_192, 16, 60.0
+#: Cells of hashed byte trigrams, and the trigrams' weight: so many count in full.
+CELLS, WEIGHT = 8_192, 60.0
+#: Languages that a model may have (64 KB each, in every task); with more, fit_text raises an error.
+MOST_LANGUAGES = 512
 #: Pages that a level of the host hierarchy counts as much as the level above it.
 PRIOR = 5.0
 #: Chance, before it is read, that a text is in none of the languages: its trigrams are then evenly spread over CELLS.
@@ -32,10 +33,15 @@ def cells(text: str | None) -> np.ndarray:
     return np.bincount(h.astype(np.int64), minlength=CELLS)
 
 
-def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages by falling number of documents, log-probabilities of their trigrams, counted over all documents, and their sums."""
+def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All languages by falling number of documents, log-probabilities of their trigrams, counted over all documents, and their sums.
+
+    None is left out: where there are more than `most`, it raises a ValueError.
+    """
     named = docs.where(F.col(lang).isNotNull() & (F.trim(lang) != "")).select(F.lower(F.trim(lang)).alias("lang"), F.col(text).cast("string").alias("t"))
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()] or ["und"]
+    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()] or ["und"]
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages in {lang}; clean the column or raise `most`")
     at = {x: i for i, x in enumerate(langs)}
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +53,7 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[l
         p = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(total.reshape(-1)[p])], ["p", "c"])
 
-    rows = named.mapInArrow(go, "p int, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()  # at most LANGUAGES * CELLS rows
+    rows = named.mapInArrow(go, "p int, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()  # at most most * CELLS rows
     total = np.full(len(langs) * CELLS, 0.5)
     for p, c in rows:
         total[p] += c
@@ -93,7 +99,7 @@ def _likelihoods(rows: DataFrame, logp, langs: list[str], sums: np.ndarray | Non
     return rows.mapInArrow(go, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", ll array<double>, p array<double>, n long")
 
 
-def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float = 0.0, sums: np.ndarray | None = None) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float = 0.0, learned: np.ndarray | None = None) -> DataFrame:
     """From (id, t, declared, host): id, lang, confidence, declared, host. See identify_pages for the cases.
 
     Evidence of a row: its text under each language; the declared language, by how often rows of each language
@@ -101,38 +107,40 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float
     smoothed towards its domain, that towards the address suffix, and that towards all rows. All sums are
     grouped aggregates; a host with very many rows is summed in parts, and its one row is joined back. With a chance `unknown` of a text
     in no language, that competes too: its trigrams are even, it declares what rows declare on the whole, and where
-    it is likeliest the language is und with confidence 0. For sums, see _likelihoods.
+    it is likeliest the language is und with confidence 0. learned: the sums of fit_text, see _likelihoods.
     """
     spark, m = rows.sparkSession, range(len(langs))
     sent = spark.sparkContext.broadcast(logp)
     known = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNull(), "none").otherwise("other")
     host = F.coalesce("host", F.lit(""))
     suffix_of = F.element_at(F.split("host", r"\."), -1)
-    domain_of = F.array_join(F.slice(F.split(F.concat(F.lit("."), "host"), r"\."), -2, 2), ".")
-    seen = _likelihoods(rows.withColumn("host", host), sent, langs, sums)
+    labels = F.split(F.concat(F.lit(".."), "host"), r"\.")
+    short = (F.length(F.element_at(labels, -1)) == 2) & (F.length(F.element_at(labels, -2)) <= 3)  # such as co.uk
+    domain_of = F.array_join(F.when(short, F.slice(labels, -3, 3)).otherwise(F.slice(labels, -2, 2)), ".")
+    seen = _likelihoods(rows.withColumn("host", host), sent, langs, learned)
     seen = C.materialize(seen.withColumns({"said": known, "suffix": suffix_of, "domain": domain_of}))
     parts = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in m]
 
-    # Log-chance that a row of language i declares d, from at most LANGUAGES + 2 groups.
+    # Log-chance that a row of language i declares d, from at most MOST_LANGUAGES + 2 groups.
     said = {r["said"]: np.array([r[f"s{i}"] for i in m]) for r in seen.groupBy("said").agg(*parts).collect()}
     total = sum(said.values(), np.full(len(langs), len(langs) + 2.0))
     declares = {d: np.log((v + 1.0) / total) for d, v in said.items()}
     common = {d: float(np.log((v.sum() + 1.0) / (sum(x.sum() for x in said.values()) + len(langs) + 2.0))) for d, v in said.items()}
 
     every = np.array([x or 0.0 for x in seen.agg(*parts).first()])
-    share = (every + PRIOR / len(langs)) / (every.sum() + PRIOR)
-    smooth = lambda up: [(F.col(f"s{i}") + PRIOR * up[i]) / (functools.reduce(lambda a, b: a + b, [F.col(f"s{j}") for j in m]) + PRIOR) for i in m]
-    suffix = seen.groupBy("suffix").agg(*parts).select("suffix", *(p.alias(f"u{i}") for i, p in enumerate(smooth([F.lit(float(s)) for s in share]))))
-    domain = seen.groupBy("suffix", "domain").agg(*parts).join(suffix, "suffix").select("domain", *(p.alias(f"d{i}") for i, p in enumerate(smooth([F.col(f"u{i}") for i in m]))))
-    hosts = seen.groupBy("domain", "host").agg(*parts).join(domain, "domain")
-    hosts = hosts.select("host", F.array(*(f"s{i}" for i in m)).alias("s"), F.array(*(f"d{i}" for i in m)).alias("d"))
+    sums = lambda keys, name: seen.groupBy(*keys).agg(*parts).select(*keys, F.array(*(f"s{i}" for i in m)).alias(name))
+    hosts = sums(["suffix", "domain", "host"], "at_host").join(sums(["suffix", "domain"], "at_domain"), ["suffix", "domain"]).join(sums(["suffix"], "at_suffix"), "suffix")
+    hosts = hosts.select("host", "at_host", "at_domain", "at_suffix")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in C.pieces(batches):
             col = lambda c: rb.column(rb.schema.get_field_index(c))
-            ll, p, s, d = (col(c).flatten().to_numpy().reshape(rb.num_rows, len(langs)) for c in ("ll", "p", "s", "d"))
-            others = np.maximum(s - p, 0)  # without the row itself
-            prior = np.log((others + PRIOR * d) / (others.sum(1, keepdims=True) + PRIOR))
+            ll, p, *levels = (col(c).flatten().to_numpy().reshape(rb.num_rows, len(langs)) for c in ("ll", "p", "at_suffix", "at_domain", "at_host"))
+            prior = np.full(len(langs), 1 / len(langs))
+            for level in (every, *levels):  # each without the row itself, smoothed towards the one above
+                others = np.maximum(level - p, 0)
+                prior = (others + PRIOR * prior) / (others.sum(1, keepdims=True) + PRIOR)
+            prior = np.log(prior)
             says = col("said").to_pylist()
             score, n = ll + prior + np.array([declares[x] for x in says]).reshape(ll.shape), col("n").to_numpy()
             if unknown:
@@ -145,7 +153,7 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float
             conf = np.where(blank, 0.0, post[np.arange(len(best)), best])
             yield pa.RecordBatch.from_arrays([col("id"), pa.array(lang, pa.string()), pa.array(conf), col("declared"), col("host")], ["id", "lang", "confidence", "declared", "host"])
 
-    out = seen.join(hosts, "host").select("id", "declared", "host", "said", "n", "ll", "p", "s", "d")
+    out = seen.join(hosts, "host").select("id", "declared", "host", "said", "n", "ll", "p", "at_suffix", "at_domain", "at_host")
     return out.mapInArrow(fuse, "id long, lang string, confidence double, declared string, host string")
 
 

@@ -32,17 +32,18 @@ def _bytes_of() -> dict[str, int]:
 
 
 def load_encoder(path: str):
-    """Ids of ordinary text under a tokenizer file, by the same vocabulary as ranks: equal ids, many times faster."""
+    """(encode, added) of a tokenizer file: ids of ordinary text by the same vocabulary as ranks (equal ids, many times
+    faster), and the ids of added tokens by their text."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)
-    special = {x["content"] for x in vocab.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in vocab.get("added_tokens", [])}
     at = _bytes_of()
-    ranks = {bytes(at[c] for c in word): i for word, i in vocab["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(at[c] for c in word): i for word, i in vocab["model"]["vocab"].items() if word not in added}
+    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -54,9 +55,11 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 class Ids(dict):
     """Ids, as little-endian 32-bit bytes, of a piece of text that begins at a single space (or a text's start)."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, added: dict[str, int]):
         super().__init__()
         self.encode = encode
+        self.added = {t: np.asarray([i], "<u4").tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.asarray(self.encode(piece), "<u4").tobytes()
@@ -65,6 +68,12 @@ class Ids(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        """Ids of a whole text. Added tokens in it are cut out first, as the tokenizer does; each part stands alone."""
+        if not self.cut or not self.cut.search(text):
+            return self.plain(text)
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.cut.split(text) if part)
+
+    def plain(self, text: str) -> bytes:
         """The split never joins a letter, digit or sign to a space after it, so a text falls apart before each
         single space between two others than white space. Texts with other white space around spaces go whole."""
         if _RUNS.search(text) or text[:1] == " " or text[-1:] == " ":
@@ -80,7 +89,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document and what is left."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(load_encoder(vocabulary))
+        ids = Ids(*load_encoder(vocabulary))
         end = np.uint32(END).tobytes()
         for rb in C.pieces(batches):
             doc, start, length, crc, tokens = [], [], [], [], []
@@ -185,8 +194,9 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others; an empty table gives no rows; other columns are ignored.
 
     The histogram of rest lengths has at most `window` entries, so the plan made from it is small whatever the
-    corpus. Each rest then gets its rank among those of its length, counted in cells of bounded size, and looks
-    its place up in the plan. No ids are kept or shuffled.
+    corpus; it alone reaches the driver. Each rest then gets its rank among those of its length, counted in cells
+    of bounded size, and looks its place up in the plan. No ids are kept or shuffled. Added tokens of the tokenizer
+    file are single ids, as there.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
@@ -197,13 +207,11 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())
     cells = F.array(*[F.lit(1 + c // CELL) for c in [0, *(({window: full} | counts).get(n, 0) for n in range(1, window + 1))]])
     pieces = C.materialize(pieces.withColumn("cell", F.pmod(F.xxhash64("row"), F.get(cells, F.col("length").cast("int"))).cast("int")))
-    base_rank, before = [], {}
-    for n, cell, count in sorted(map(tuple, pieces.groupBy("length", "cell").count().collect())):  # a row for 5,000 pieces or a length
-        base_rank.append((n, cell, before.get(n, 0)))
-        before[n] = before.get(n, 0) + count
-    base_rank = spark.createDataFrame(base_rank, "length long, cell int, ahead long")
+    sizes = pieces.groupBy("length", "cell").agg(F.count("*").alias("c"))  # a row for 5,000 pieces or a length
+    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("length", "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("length", "cell").orderBy("row")) - 1
-    ranked = pieces.withColumn("rank", rank).join(base_rank, ["length", "cell"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    ranked = pieces.withColumn("rank", rank).join(ahead, ["length", "cell"]).withColumn("rank", F.col("rank") + F.col("ahead"))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelake.llm import decontaminate, embedding_dedup, jaccard_join, language_id, language_model, packing, quality, sharding, substring_dedup, url_filter
+from bytelake.llm import common, decontaminate, embedding_dedup, jaccard_join, language_id, language_model, packing, quality, sharding, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

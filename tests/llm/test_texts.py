@@ -16,7 +16,6 @@ def test_packing_round_trip(docs, rows, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = packing.tokenizer_path()
     tk = tokenizers.Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     got = packing.pack_documents(docs).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in got:
@@ -37,15 +36,25 @@ def test_packing_round_trip(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "x <|endoftext|> y", "don't  it's", "é ü z", "a  b", "\t", "1 2,3", "é 日本 語", "a \x1c b"])
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>a", "<|endoftext |> <|endoftext|", "don't  it's", "é ü z", "a  b", "\t", "1 2,3", "é 日本 語", "a \x1c b"])
 def test_pieces_of_text_give_the_tokenizers_ids(text):
     tokenizers = pytest.importorskip("tokenizers")
     tk = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
-    tk.encode_special_tokens = True
-    ids = packing.Ids(packing.load_encoder(packing.tokenizer_path()))
+    ids = packing.Ids(*packing.load_encoder(packing.tokenizer_path()))
     assert np.frombuffer(ids.of(text), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
+def test_random_texts_give_the_tokenizers_ids():
+    tokenizers = pytest.importorskip("tokenizers")
+    tk = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    ids = packing.Ids(*packing.load_encoder(packing.tokenizer_path()))
+    rng = np.random.default_rng(12)
+    parts = [" ", "  ", "\n", "\t", "a", "Don't", "é", "日本", "12", "3.5", "!?", "<|endoftext|>", "\u00a0", "\u0301", "<|", "|>", "'ll", "\r\n", "😀"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids, text
+
+
 def test_plan_uses_every_length():
     rng = np.random.default_rng(2)
     for hist in ({2047: 5}, {1: 10_000}, {1024: 7, 1000: 9, 24: 3}, dict(Counter(rng.integers(1, 2048, 20_000).tolist())), {}):
@@ -173,6 +182,22 @@ def test_leaks(spark, none):
     assert not any(r.contaminated for r in decontaminate.judge_documents(docs, bench.where("false")).collect())
 
 
+def test_leaks_by_readings_names_and_figures(spark):
+    q = "Tom has 12 red apples and his friend gives some more to him before the long walk to Paris with his old dog"
+    items = [(1, q), (1, "what is the sum of all prime numbers below twenty"), (2, "12 + 34 = 46"), (3, "Anna bought 5 kg of the best flour in New York")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = q.replace("Paris", "New York").replace("Tom", "Mary Jane Watson").replace("12", "9")
+    broken = q.replace("his friend", "his very good friend")
+    clash = "Ann has 12 red apples and his friend gives some filler more to him before the long walk to Ann with his old dog"
+    texts = [(10, names), (11, broken), (12, clash), (13, "it was 12 + 34 = 46"), (14, "1 2 3 4 5 6 " * 20), (15, "say: what is the sum of all prime numbers below twenty?"), (16, "Question Anna bought 5 kg of the best flour in Rome"), (17, f"{q} " * 400), (18, q), (18, "nothing here"), (18, q)]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, x long")
+    got = {(r.doc_id): r for r in decontaminate.judge_documents(docs, bench).collect()}
+    assert {k for k, r in got.items() if r.contaminated} == {10, 11, 13, 15, 16, 17, 18}
+    assert got[15].item_ids == got[10].item_ids == [1] and got[13].item_ids == [2] and got[16].item_ids == [3]
+    share = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert share[10, 1] == share[18, 1] == 1 and 0.5 <= share[11, 1] < 1
+
+
 def test_repeats(docs, rows, none):
     got = {r.doc_id: r for r in substring_dedup.judge_documents(docs).collect()}
     assert not got[75].repeats and all(got[i].repeats and 30 <= got[i].removed_words <= 80 for i in range(76, 80))
