@@ -212,6 +212,43 @@ def test_repeats(docs, rows, none):
     assert out[3].text == rows[3][1] and substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_near_paragraphs_equal_brute_force(spark):
+    """Clusters of the lines of real documents with near variants, against all pairs."""
+    rng = np.random.default_rng(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text]
+    own = [x for t in texts for x in t.split("\n") if len(x.split()) >= substring_dedup.LEAST]
+    for x in own[:150]:
+        w = x.split()
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, len(w)))] = f"v{rng.integers(0, 10**6)}"
+        own.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.lower().split() for x in own)]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.judge_documents(df).collect()}
+    later = {max(p) for p in near}
+    whole = {i for i in got if got[i].removed_words == len(own[i].split())}
+    assert len(later) > 60 and len(later & whole) >= 0.98 * len(later)
+    comp = list(range(len(own)))
+    for a, b in sorted(near, key=min):
+        x, y = comp[a], comp[b]
+        comp = [min(x, y) if c in (x, y) else c for c in comp]
+    grams = [Counter(zip(*(x.lower().split()[k:] for k in range(5)), strict=False)) for x in own]
+    total = sum(grams, Counter())
+    for i in (i for i in got if got[i].repeats and comp[i] == i):  # not a near paragraph: repeated pieces, found elsewhere
+        w = own[i].lower().split()
+        for x in got[i].spans:
+            runs = [tuple(w[j : j + 5]) for j in range(x.a, x.b - 4)]
+            assert sum(total[g] > 1 for g in runs) >= 0.6 * len(runs)
+
+
+def test_repeats_of_one_id_with_two_texts(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    df = spark.createDataFrame([(1, line), (2, line), (2, "short"), (3, line + "\nrest"), (3, line + "\nrest"), (4, None)], "doc_id long, text string")
+    out = substring_dedup.remove_repeats(df).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, line), (2, line), (2, "short"), (3, "rest"), (3, "rest"), (4, "")]
+
+
 def test_unlike_head_hides_no_pair(spark):
     """Two near paragraphs in buckets whose least paragraph is like neither, in small and in large buckets."""
     rng = np.random.default_rng(8)
@@ -219,7 +256,7 @@ def test_unlike_head_hides_no_pair(spark):
     hashes = common.WordHashes()
     digest = lambda h: np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)
     new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
-    whole = lambda h: len(substring_dedup.paragraphs(h)) == 1
+    whole = lambda h: len(substring_dedup.pieces(h)) == 1
     texts, like = [], []
     for others in (3, 20):
         core, found = new(12), []
@@ -244,7 +281,7 @@ def test_paragraphs_stand_anywhere():
         cuts = []
         for _ in range(2):
             ahead = rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64)
-            at = substring_dedup.paragraphs(np.concatenate([ahead, passage, ahead[:9]])) - len(ahead)
+            at = substring_dedup.pieces(np.concatenate([ahead, passage, ahead[:9]])) - len(ahead)
             cuts.append(set(at[(at >= 6) & (at < 49)].tolist()))
         assert cuts[0] == cuts[1]
 
