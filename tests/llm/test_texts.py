@@ -101,16 +101,49 @@ def test_lm_scores(docs, rows, none):
     assert language_model.score_texts(none).count() == 0
 
 
-def test_lm_table_is_normalised():
-    pairs = np.random.default_rng(1).integers(0, 30, (language_model.WORDS + 2,) * 2)
-    assert np.allclose(np.exp(language_model.train(pairs)).sum(1), 1)
-    assert np.allclose(np.exp(language_model.train(pairs * 0)).sum(1), 1)
+def test_lm_is_normalised():
+    """Probabilities of all symbols add up to 1 after any context, before and after training."""
+    rng = np.random.default_rng(1)
+    counts = np.sort(rng.integers(1, 500, 70))[::-1].astype(float)
+    model = language_model.Model(counts)
+    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.params]
+    for steps in range(2):
+        for context in rng.integers(0, 70, (5, 2)):
+            p = np.exp(model.log_probabilities(np.arange(70), np.repeat(context[:, None], 70, 1)))
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+            assert steps or np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+        for _ in range(50):
+            model.train(rng.integers(0, 70, 500), rng.integers(0, 70, (2, 500)), seen, rng)
+
+
+def test_lm_contexts():
+    got = language_model.contexts(np.array([1, 2, 3, 9, 4, 9, 9]), np.array([0, 4, 6]), 9)
+    assert got.tolist() == [[9, 1, 2, 3, 9, 4, 9], [9, 9, 1, 2, 9, 9, 9]]
 
 
 def test_lm_learns_order(spark):
-    rows = [(i, "red blue " * 60) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert all(r.score > r.base_score + 10 for r in language_model.score_texts(df).collect())
+    """Held-out text with the same order scores better than its base by far, the words in another order worse."""
+    import random
+
+    rng = random.Random(2)
+    names = [f"w{i}" for i in range(40)]
+    then = {x: rng.sample(names, 2) for x in names}
+
+    def text():
+        w = [rng.choice(names)]
+        while len(w) < 300:
+            w.append(rng.choice(then[w[-1]]))
+        return w
+
+    rows = [(i, " ".join(text())) for i in range(300)]
+    mixed = [" ".join(sorted(t.split(), key=lambda _: rng.random())) for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in language_model.score_texts(df).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+    out = df.unionByName(spark.createDataFrame([(i, t) for i, t in enumerate(mixed, 10_000) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string"))
+    got = {r.doc_id: r for r in language_model.score_texts(out).collect()}
+    assert all(r.score < r.base_score for k, r in got.items() if k >= 10_000)
 
 
 def test_quality(spark):
