@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,25 +17,35 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 def ngram_extractor(n: int, k: int, strategy: str = "frequency", frequencies: DataFrame | None = None, documents: int = 0) -> Extractor:
     """ngram_total_count, _unique_count, _diversity, _distribution and the k n-grams that the strategy (frequency,
-    entropy or tfidf) selects: ngram_<key> and, but for tfidf, ngram_<key>_norm."""
+    entropy or tfidf) selects: ngram_<key> and, but for tfidf, ngram_<key>_norm. Blobs shorter than n have none."""
+    if strategy not in ("frequency", "entropy", "tfidf"):
+        raise ValueError(f"unknown strategy: {strategy}")
+
+    def values(raw: bytes) -> tuple[list[str], list[float]]:
+        u, c, first = grams.counted(raw, n)
+        if not len(u):
+            return [], []
+        total, (best, score, norm) = c.sum(), grams.ranked(u, c, first, k, strategy)
+        names = ["ngram_total_count", "ngram_unique_count", "ngram_diversity", "ngram_distribution"]
+        out = [float(total), float(len(u)), len(u) / total, float(((c / total) ** 2).sum())]
+        for g, x, y in zip(u[best].tolist(), score.tolist(), norm.tolist(), strict=True):
+            key = "ngram_" + g.to_bytes(n, "big").hex("_")
+            names += [key, f"{key}_norm"]
+            out += [x, y]
+        return names, out
 
     def extract(blobs: DataFrame) -> DataFrame:
+        if strategy != "tfidf":
+            return stats.feature_rows(blobs, [(0, values)]).drop("extractor_idx")
         counts = grams.gram_counts(blobs, n)
         names = ["ngram_total_count", "ngram_unique_count", "ngram_diversity", "ngram_distribution"]
         head = grams.ngram_summary(counts).select("blob_id", F.expr("stack(4, " + ", ".join(f"{i}, '{c}', {c}" for i, c in enumerate(names)) + ") AS (emit_idx, feature, value)"))
-        if strategy == "frequency":
-            best = grams.select_frequency(counts, k)
-        elif strategy == "entropy":
-            best = grams.select_entropy(counts, k)
-        elif strategy == "tfidf":
-            best = grams.select_tfidf(counts, frequencies, documents, k).withColumn("norm", F.lit(None).cast("double"))
-        else:
-            raise ValueError(f"unknown strategy: {strategy}")
-        key = F.concat(F.lit("ngram_"), gram_key("packed", n))
-        both = F.array(F.struct((2 + 2 * F.col("rank")).cast("int").alias("emit_idx"), key.alias("feature"), F.col("score").alias("value")), F.struct((3 + 2 * F.col("rank")).cast("int").alias("emit_idx"), F.concat(key, F.lit("_norm")).alias("feature"), F.col("norm").alias("value")))
-        return head.unionByName(best.select("blob_id", F.inline(both)).where("value IS NOT NULL"))
+        best = grams.select_tfidf(counts, frequencies, documents, k)
+        return head.unionByName(best.select("blob_id", (3 + F.col("rank")).cast("int").alias("emit_idx"), F.concat(F.lit("ngram_"), gram_key("packed", n)).alias("feature"), F.col("score").alias("value")))
 
     extract.__name__ = f"ngram({n}, {k}, {strategy})"
+    if strategy != "tfidf":
+        extract.values = values
     return extract
 
 
@@ -48,13 +59,30 @@ class FeaturePipeline:
         return FeaturePipeline([*self.extractors, extractor])
 
     def extract(self, blobs: DataFrame) -> DataFrame:
-        out = None
-        for i, f in enumerate(self.extractors):
-            rows = f(blobs).select("blob_id", F.lit(i).alias("extractor_idx"), F.col("emit_idx").cast("int").alias("emit_idx"), "feature", F.col("value").cast("double").alias("value"))
-            out = rows if out is None else out.unionByName(rows)
-        if out is None:
+        """blob_id, extractor_idx, emit_idx, feature, value of all extractors.
+
+        Those that have `values` (a function of a blob's bytes) share one pass of a helper, those that have `array` (a
+        column of rows) one projection; content is read twice at most, and nothing is shuffled. Others run by themselves.
+        """
+        if not self.extractors:
             raise ValueError("a pipeline needs an extractor")
-        return out
+        parts, helped, arrays = [], [], []
+        for i, f in enumerate(self.extractors):
+            if hasattr(f, "values"):
+                helped.append((i, f.values))
+            elif hasattr(f, "array"):
+                arrays.append((i, f.array))
+            else:
+                parts.append(f(blobs).select("blob_id", F.lit(i).alias("extractor_idx"), F.col("emit_idx").cast("int").alias("emit_idx"), "feature", F.col("value").cast("double").alias("value")))
+        if helped:
+            parts.append(stats.feature_rows(blobs, helped))
+        if arrays:
+            rows = blobs.select("blob_id", "length", "content")
+            for i, f in arrays:
+                rows = f(rows, f"_rows{i}")
+            all_rows = F.concat(*[F.transform(f"_rows{i}", lambda r, i=i: F.struct(F.lit(i).alias("extractor_idx"), r["emit_idx"].alias("emit_idx"), r["feature"].alias("feature"), r["value"].alias("value"))) for i, _ in arrays])
+            parts.append(rows.select("blob_id", F.inline(all_rows)))
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def describe(self) -> str:
         return "\n".join(f"{i + 1}. {f.__name__}" for i, f in enumerate(self.extractors))

@@ -80,10 +80,46 @@ def _best(counts: DataFrame, k: int, *order) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def counted(raw: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of one blob, packed, with their counts and first positions."""
+    u, first, c = np.unique(packed_grams(raw or b"", n), return_index=True, return_counts=True)
+    return u, c, first
+
+
+def ranked(u: np.ndarray, c: np.ndarray, first: np.ndarray, k: int, strategy: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the k best n-grams of a blob, their scores and norms, by strategy: frequency or entropy."""
+    p = c / max(c.sum(), 1)
+    if strategy == "frequency":
+        best = np.lexsort((first, -c))[:k]
+        return best, c[best].astype(float), p[best]
+    score = -p * np.log2(np.where(p > 0, p, 1)) + 0.0
+    best = np.lexsort((first, -np.round(score, 12)))[:k]  # equal shares tie, whatever the last bits
+    return best, score[best], score[best] / np.log2(c.sum()) if c.sum() > 1 else np.zeros(len(best))
+
+
+def best_grams(blobs: DataFrame, n: int, k: int, strategy: str = "frequency") -> DataFrame:
+    """blob_id, packed, cnt, first_pos, rank, score, norm of the k best n-grams of each blob, picked where it is read:
+    only they leave the helper, and nothing is shuffled. The same rows as select_frequency or select_entropy."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            ids, cols = [], [[] for _ in range(6)]
+            for i, raw in enumerate(rb.column(1).to_pylist()):
+                u, c, first = counted(raw, n)
+                best, score, norm = ranked(u, c, first, k, strategy)
+                ids.append(np.full(len(best), i))
+                for col, x in zip(cols, (u[best], c[best], first[best], np.arange(1, len(best) + 1), score, norm), strict=True):
+                    col.append(x)
+            if ids:
+                cat = [pa.array(np.concatenate(x).astype(t)) for x, t in zip([ids, *cols], [np.int64] * 5 + [float] * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([rb.column(0).take(cat[0]), *cat[1:]], ["blob_id", "packed", "cnt", "first_pos", "rank", "score", "norm"])
+
+    return blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, packed long, cnt long, first_pos long, rank long, score double, norm double").withColumn("rank", F.col("rank").cast("int"))
+
+
 def top_ngrams(blobs: DataFrame, n: int, k: int) -> DataFrame:
     """The k most frequent n-grams of each blob; ties by first occurrence."""
-    best = _best(gram_counts(blobs, n), k, F.desc("cnt"))
-    return best.select("blob_id", gram_key("packed", n).alias("gram"), "cnt", "first_pos", "rank")
+    return best_grams(blobs, n, k).select("blob_id", gram_key("packed", n).alias("gram"), "cnt", "first_pos", "rank")
 
 
 def ngram_summary(counts: DataFrame) -> DataFrame:

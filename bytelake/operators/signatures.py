@@ -50,8 +50,12 @@ def match_signature(s: Signature, content: Column | str = "content") -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _array(pairs: list[tuple[str, Column]], first: int = 0) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("emit_idx"), F.lit(n).alias("feature"), v.cast("double").alias("value")) for i, (n, v) in enumerate(pairs, first)])
+
+
 def _rows(pairs: list[tuple[str, Column]]) -> Column:
-    return F.inline(F.array(*[F.struct(F.lit(i).alias("emit_idx"), F.lit(n).alias("feature"), v.cast("double").alias("value")) for i, (n, v) in enumerate(pairs)]))
+    return F.inline(_array(pairs))
 
 
 def signature_features(blobs: DataFrame, signatures: tuple[Signature, ...] = BASIC) -> DataFrame:
@@ -60,10 +64,15 @@ def signature_features(blobs: DataFrame, signatures: tuple[Signature, ...] = BAS
     return blobs.select("blob_id", _rows([*((f"signature_{s.name}", h) for s, h in zip(signatures, hits, strict=True)), ("signature_match_count", sum(hits[1:], hits[0]))]))
 
 
+def _found(signatures: tuple[Signature, ...]) -> Column:
+    """Array of (sig_idx, name, platform, confidence) of the signatures that match."""
+    found = F.array(*[F.when(match_signature(s), F.struct(F.lit(i).alias("sig_idx"), F.lit(s.name).alias("name"), F.lit(s.platform).alias("platform"), F.lit(s.confidence).alias("confidence"))) for i, s in enumerate(signatures)])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def matches(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
     """blob_id, sig_idx, name, platform, confidence of signatures that match. Content is read once and not moved."""
-    found = F.array(*[F.when(match_signature(s), F.struct(F.lit(i).alias("sig_idx"), F.lit(s.name).alias("name"), F.lit(s.platform).alias("platform"), F.lit(s.confidence).alias("confidence"))) for i, s in enumerate(signatures)])
-    return blobs.select("blob_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m")).select("blob_id", "m.*")
+    return blobs.select("blob_id", F.explode(_found(signatures)).alias("m")).select("blob_id", "m.*")
 
 
 def platform_scores(found: DataFrame) -> DataFrame:
@@ -101,42 +110,57 @@ def memory_access(address: int, content: Column | str = "content") -> Column:
     return latin(content).rlike(rf"(?s)[\xAD\x8D\xAE\x8E\xAC\x8C]\x{low:02X}\x{high:02X}.")
 
 
-def structure_features(blobs: DataFrame) -> DataFrame:
+def _structure() -> list[tuple[str, Column]]:
     valid, hops = basic_structure()
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
-    return blobs.select(
-        "blob_id",
-        _rows(
-            [
-                ("signature_valid_basic_structure", flag(valid, 1.0)),
-                ("signature_basic_line_count", hops / F.lit(10.0)),
-                ("signature_has_low_memory_access", flag(memory_access(0x0100), 0.4)),
-                ("signature_has_vic_registers_access", flag(memory_access(0x9000), 0.5)),
-                ("signature_has_sid_registers_access", flag(memory_access(0xD400), 0.5)),
-            ]
-        ),
-    )
+    return [
+        ("signature_valid_basic_structure", flag(valid, 1.0)),
+        ("signature_basic_line_count", hops / F.lit(10.0)),
+        ("signature_has_low_memory_access", flag(memory_access(0x0100), 0.4)),
+        ("signature_has_vic_registers_access", flag(memory_access(0x9000), 0.5)),
+        ("signature_has_sid_registers_access", flag(memory_access(0xD400), 0.5)),
+    ]
+
+
+def structure_features(blobs: DataFrame) -> DataFrame:
+    return blobs.select("blob_id", _rows(_structure()))
+
+
+def enhanced_array(blobs: DataFrame, name: str, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
+    """blobs with an array column of the rows (emit_idx, feature, value) of enhanced_signature_features: signatures are
+    matched once, platforms are summed inside the row."""
+    hits = f"{name}_hits"
+    blobs = blobs.withColumn(hits, _found(signatures))
+    at = F.transform(F.col(hits), lambda h: h["sig_idx"])
+    n, platforms = len(signatures), catalogue.PLATFORMS
+    own = [(f"signature_{s.name}", F.when(F.array_contains(at, i), s.confidence).otherwise(0.0)) for i, s in enumerate(signatures)]
+
+    def of(p: str) -> Column:
+        return F.filter(F.col(hits), lambda h: h["platform"] == p)
+
+    sums = [F.aggregate(of(p), F.lit(0.0), lambda a, h: a + h["confidence"]) for p in platforms]
+    rows = F.array(*[F.when(F.size(of(p)) > 0, F.struct(F.round(x, 9).alias("score"), (-of(p)[0]["sig_idx"]).alias("order"), F.lit(p).alias("platform"), x.alias("sum"), F.lit(i).alias("i"))) for i, (p, x) in enumerate(zip(platforms, sums, strict=True))])
+    scored = f"{name}_scores"
+    blobs = blobs.withColumn(scored, F.filter(rows, lambda r: r.isNotNull()))
+    per = F.transform(F.col(scored), lambda r: F.struct((r["i"] + n + 1).alias("emit_idx"), F.concat(F.lit("signature_platform_"), r["platform"]).alias("feature"), r["sum"].alias("value")))
+    top = F.array_max(F.transform(F.col(scored), lambda r: F.struct(r["score"], r["order"], r["platform"])))["platform"]
+    code = F.when(top == "c64", 1.0).when(top == "vic20", 0.0).otherwise(0.5)
+    best = F.when(F.size(scored) > 0, _array([("signature_dominant_platform", code)], n + 9)).otherwise(F.array().cast("array<struct<emit_idx:int,feature:string,value:double>>"))
+    plain = _array([*own, ("signature_match_count", F.size(hits))])
+    return blobs.withColumn(name, F.concat(plain, per, best, _array(_structure(), n + 10))).drop(hits, scored)
 
 
 def enhanced_signature_features(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
     """signature_<name> (confidence or 0), signature_match_count, the platforms' sums, the dominant platform's code
-    and the header's structure."""
-    hits = [match_signature(s) for s in signatures]
-    own = [(f"signature_{s.name}", F.when(h, s.confidence).otherwise(0.0)) for s, h in zip(signatures, hits, strict=True)]
-    count = sum((F.when(h, 1).otherwise(0) for h in hits), F.lit(0))
-    plain = blobs.select("blob_id", _rows([*own, ("signature_match_count", count)]))
-    n = len(signatures) + 1
-    scores = platform_scores(matches(blobs, signatures))
-    at = F.array_position(F.array(*map(F.lit, catalogue.PLATFORMS)), F.col("platform")).cast("int")
-    sums = scores.select("blob_id", (at + n - 1).alias("emit_idx"), F.concat(F.lit("signature_platform_"), "platform").alias("feature"), F.col("score").alias("value"))
-    best = dominant_platform(scores).select("blob_id", F.lit(n + 8).alias("emit_idx"), F.lit("signature_dominant_platform").alias("feature"), F.col("code").alias("value"))
-    rest = structure_features(blobs).withColumn("emit_idx", F.col("emit_idx") + n + 9)
-    return plain.unionByName(sums).unionByName(best).unionByName(rest)
+    and the header's structure. One pass over content, no shuffle."""
+    return enhanced_array(blobs, "_rows", signatures).select("blob_id", F.inline("_rows"))
 
 
-def load_address_features(blobs: DataFrame) -> DataFrame:
-    """Load address by 65536, whether and how nearly it is a known one of either platform, the platforms' ratio and,
-    for blobs long enough, a valid first link and a first token. Blobs under 2 bytes have defaults."""
+enhanced_signature_features.array = enhanced_array
+
+
+def load_address_array(blobs: DataFrame, name: str) -> DataFrame:
+    """blobs with an array column of the rows (emit_idx, feature, value) of load_address_features."""
     word, size = word_at("content", 0), F.octet_length("content")
     near = lambda known: 1 - F.array_min(F.array(*[F.abs(word - k) / F.lit(65536.0) for k in known]))
     c, v = near(catalogue.C64_ADDRESSES), near(catalogue.VIC20_ADDRESSES)
@@ -155,7 +179,16 @@ def load_address_features(blobs: DataFrame) -> DataFrame:
     ]
     items = [F.struct(F.lit(i).alias("emit_idx"), F.lit(f"load_addr_{n}").alias("feature"), x.alias("value")) for i, (n, x, _) in enumerate(pairs)]
     rows = F.filter(F.array(*[F.when(size >= least, s) if least else s for s, (_, _, least) in zip(items, pairs, strict=True)]), lambda s: s.isNotNull())
-    return blobs.select("blob_id", F.inline(rows))
+    return blobs.withColumn(name, rows)
+
+
+def load_address_features(blobs: DataFrame) -> DataFrame:
+    """Load address by 65536, whether and how nearly it is a known one of either platform, the platforms' ratio and,
+    for blobs long enough, a valid first link and a first token. Blobs under 2 bytes have defaults."""
+    return load_address_array(blobs, "_rows").select("blob_id", F.inline("_rows"))
+
+
+load_address_features.array = load_address_array
 
 
 def signature_report(found: DataFrame) -> DataFrame:

@@ -5,18 +5,17 @@ One helper reads each blob once and gives its numbers as arrays; what follows is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.operators.grams import gram_counts
+from bytelake.operators.grams import counted, gram_counts
 
 # The sizes, in KiB, that lengths are measured against.
 LENGTHS_K = (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
-FEATURE = "blob_id string, emit_idx int, feature string, value double"
 
 
 def entropy(counts: np.ndarray) -> np.ndarray:
@@ -61,32 +60,59 @@ def histogram(blobs: DataFrame, nonfinite: str = "keep") -> DataFrame:
     return rows.select("blob_id", "total", F.posexplode("counts").alias("emit_idx", "c")).select("blob_id", "emit_idx", F.concat(F.lit("b_"), "emit_idx").alias("feature"), share.alias("value"))
 
 
-def entropy_features(blobs: DataFrame, window: int = 256, nonfinite: str = "keep") -> DataFrame:
-    """global_entropy and min, max, mean and population deviation of the windows' entropies. Without a window these
-    are +Infinity, -Infinity, NaN and NaN, or with nonfinite="drop" absent."""
-    names = ["global_entropy", *(f"{x}_window_entropy" for x in ("min", "max", "mean", "std"))]
+def feature_rows(blobs: DataFrame, extractors: list[tuple[int, Callable[[bytes], tuple[list[str], list[float]]]]]) -> DataFrame:
+    """blob_id, extractor_idx, emit_idx, feature, value of all extractors (index, function of a blob's bytes), in one pass
+    over content."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            values = []
-            for x in rb.column(1).to_pylist():
-                b = np.frombuffer(x or b"", np.uint8).astype(np.int64)
-                w = window_entropies(b, window)
-                values.append([float(entropy(np.bincount(b, minlength=256))), *((w.min(), w.max(), w.mean(), w.std()) if len(w) else (np.inf, -np.inf, np.nan, np.nan))])
-            flat = np.array(values, float).reshape(-1)
+            at, idx, emit, names, values = [], [], [], [], []
+            for i, raw in enumerate(rb.column(1).to_pylist()):
+                for x, f in extractors:
+                    n, v = f(raw or b"")
+                    at += [i] * len(n)
+                    idx += [x] * len(n)
+                    emit += range(len(n))
+                    names += n
+                    values += v
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0).take(pa.array(np.repeat(np.arange(rb.num_rows), 5))), pa.array(np.tile(np.arange(5, dtype=np.int32), rb.num_rows)), pa.array(names * rb.num_rows, pa.string()), pa.array(flat)],
-                ["blob_id", "emit_idx", "feature", "value"],
+                [rb.column(0).take(pa.array(at, pa.int64())), pa.array(idx, pa.int32()), pa.array(emit, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.float64())],
+                ["blob_id", "extractor_idx", "emit_idx", "feature", "value"],
             )
 
-    rows = blobs.select("blob_id", "content").mapInArrow(go, FEATURE)
+    return blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, extractor_idx int, emit_idx int, feature string, value double")
+
+
+def entropy_values(raw: bytes, window: int = 256) -> tuple[list[str], list[float]]:
+    """Names and values of entropy_features for one blob."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    w = window_entropies(b, window)
+    rest = [float(x) for x in ((w.min(), w.max(), w.mean(), w.std()) if len(w) else (np.inf, -np.inf, np.nan, np.nan))]
+    return ["global_entropy", *(f"{x}_window_entropy" for x in ("min", "max", "mean", "std"))], [float(entropy(np.bincount(b, minlength=256))), *rest]
+
+
+def entropy_features(blobs: DataFrame, window: int = 256, nonfinite: str = "keep") -> DataFrame:
+    """global_entropy and min, max, mean and population deviation of the windows' entropies. Without a window these
+    are +Infinity, -Infinity, NaN and NaN, or with nonfinite="drop" absent."""
+    rows = feature_rows(blobs, [(0, lambda raw: entropy_values(raw, window))]).drop("extractor_idx")
     return rows.where(~F.isnan("value") & (F.abs("value") != float("inf"))) if nonfinite == "drop" else rows
 
 
+entropy_features.values = entropy_values
+
+
+def length_array(blobs: DataFrame, name: str) -> DataFrame:
+    """blobs with an array column of the rows (emit_idx, feature, value) of length_features."""
+    part = lambda k: F.sqrt(F.least(F.col("length"), F.lit(k * 1024)) / F.lit(k * 1024.0))
+    return blobs.withColumn(name, F.array(*[F.struct(F.lit(i).alias("emit_idx"), F.lit(f"root_length_{k}k").alias("feature"), part(k).alias("value")) for i, k in enumerate(LENGTHS_K)]))
+
+
 def length_features(blobs: DataFrame) -> DataFrame:
     """root_length_<k>k: square root of the length by k KiB, 1 at most."""
-    parts = ", ".join(f"{i}, 'root_length_{k}k', sqrt(least(length, {k * 1024}) / {k * 1024}.0D)" for i, k in enumerate(LENGTHS_K))
-    return blobs.select("blob_id", F.expr(f"stack({len(LENGTHS_K)}, {parts}) AS (emit_idx, feature, value)"))
+    return length_array(blobs, "_rows").select("blob_id", F.inline("_rows"))
+
+
+length_features.array = length_array
 
 
 def bigram_counts(blobs: DataFrame) -> DataFrame:
@@ -112,30 +138,28 @@ def bigram_intensity(blobs: DataFrame) -> DataFrame:
     return bigram_counts(blobs).select("blob_id", "first", "second", F.floor(255 * F.pow(F.col("cnt") / top, F.lit(0.25)) + 0.5).cast("long").alias("intensity"))
 
 
+def bigram_values(raw: bytes, top: int = 16) -> tuple[list[str], list[float]]:
+    """Names and values of bigram_features for one blob."""
+    u, c, _ = counted(raw, 2)
+    if not len(u):
+        return [], []
+    best = np.lexsort((u, -c))[:top]
+    total = float(c[best].sum())
+    names, values = ["bigram_total_count"], [total]
+    for g, n in zip(u[best].tolist(), c[best].tolist(), strict=True):
+        key = f"bigram_{g >> 8:02x}_{g & 255:02x}"
+        names += [key, f"{key}_norm"]
+        values += [float(n), n / total]
+    return [*names, "bigram_unique_count", "bigram_distribution"], [*values, float(len(u)), float((c.astype(float) ** 2).sum() / (total * total))]
+
+
 def bigram_features(blobs: DataFrame, top: int = 16) -> DataFrame:
     """bigram_total_count (of the top pairs only), bigram_xx_yy and its _norm for each of them, bigram_unique_count
-    and bigram_distribution (over all pairs, by that total). Blobs without a pair have none."""
-    rank = F.row_number().over(Window.partitionBy("blob_id").orderBy(F.desc("cnt"), "packed"))
-    ranked = gram_counts(blobs, 2).select("blob_id", "packed", "cnt").withColumn("rank", rank)
-    best = F.when(F.col("rank") <= top, F.col("cnt"))
-    own = ranked.groupBy("blob_id").agg(
-        F.sum(best).alias("t"),
-        F.count("*").alias("u"),
-        F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("sq"),
-        F.sort_array(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "packed", "cnt")))).alias("best"),
-    )
-    item = lambda i, name, value: F.struct(i.cast("int").alias("emit_idx"), name.alias("feature"), value.cast("double").alias("value"))
-
-    def pair(x):
-        h = F.lower(F.lpad(F.hex(x["packed"]), 4, "0"))
-        return F.concat(F.lit("bigram_"), F.substring(h, 1, 2), F.lit("_"), F.substring(h, 3, 2))
-
-    rows = F.concat(
-        F.array(item(F.lit(0), F.lit("bigram_total_count"), F.col("t"))),
-        F.flatten(F.transform("best", lambda x: F.array(item(2 * x["rank"] - 1, pair(x), x["cnt"]), item(2 * x["rank"], F.concat(pair(x), F.lit("_norm")), x["cnt"] / F.col("t"))))),
-        F.array(item(F.lit(2 * top + 1), F.lit("bigram_unique_count"), F.col("u")), item(F.lit(2 * top + 2), F.lit("bigram_distribution"), F.col("sq") / (F.col("t") * F.col("t")))),
-    )
-    return own.select("blob_id", F.inline(rows))
+    and bigram_distribution (over all pairs, by that total). Blobs without a pair have none. No shuffle."""
+    return feature_rows(blobs, [(0, lambda raw: bigram_values(raw, top))]).drop("extractor_idx")
+
+
+bigram_features.values = bigram_values
 
 
 def corpus_markov(blobs: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+    """Six decimals, by the same steps on doubles as in the SQL."""
+    return df.withColumns({n: F.floor(F.col(n) * 1e6 + 0.5).cast("double") / 1e6 for n in names})
 
 
 _HEX = "SELECT CAST(doc_id AS VARCHAR) AS blob_id, regexp_extract_all(lower(hex(encode(text))), '..') AS hx FROM documents"
@@ -124,7 +125,7 @@ def hex_dump(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", hex_bytes(F.encode("text", "UTF-8")).alias("dump"))
 
 
-@query(f"WITH {_BYTES}, c AS (SELECT blob_id, x, count(*) AS cnt FROM e GROUP BY 1, 2), t AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id) AS total FROM c) SELECT blob_id, 'b_' || CAST('0x' || x AS INTEGER) AS feature, round(cnt / total, 6) AS value FROM t")
+@query(f"WITH {_BYTES}, c AS (SELECT blob_id, x, count(*) AS cnt FROM e GROUP BY 1, 2), t AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id) AS total FROM c) SELECT blob_id, 'b_' || CAST('0x' || x AS INTEGER) AS feature, floor((cnt / total) * 1e6 + 0.5) / 1e6 AS value FROM t")
 def histogram(spark, sf_dir):
     return rounded(stats.histogram(documents(spark, sf_dir), "drop").where("value > 0").select("blob_id", "feature", "value"), "value")
 
@@ -135,11 +136,11 @@ s AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id, w) AS total FROM w),
 v AS (SELECT blob_id, w, -sum(cnt / total * log2(cnt / total)) AS h FROM s WHERE total >= 128 GROUP BY 1, 2),
 b AS (SELECT blob_id, x, count(*) AS cnt FROM e GROUP BY 1, 2), bt AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id) AS total FROM b),
 g AS (SELECT blob_id, -sum(cnt / total * log2(cnt / total)) AS h FROM bt GROUP BY 1)
-SELECT blob_id, 'global_entropy' AS feature, round(h, 6) + 0.0 AS value FROM g
-UNION ALL SELECT blob_id, 'min_window_entropy', round(min(h), 6) + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'max_window_entropy', round(max(h), 6) + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'mean_window_entropy', round(avg(h), 6) + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'std_window_entropy', round(stddev_pop(h), 6) + 0.0 FROM v GROUP BY 1"""
+SELECT blob_id, 'global_entropy' AS feature, floor((h) * 1e6 + 0.5) / 1e6 + 0.0 AS value FROM g
+UNION ALL SELECT blob_id, 'min_window_entropy', floor((min(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'max_window_entropy', floor((max(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'mean_window_entropy', floor((avg(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'std_window_entropy', floor((stddev_pop(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1"""
 
 
 @query(_ENTROPY)
@@ -147,7 +148,7 @@ def entropy_features(spark, sf_dir):
     return rounded(stats.entropy_features(documents(spark, sf_dir), nonfinite="drop").select("blob_id", "feature", "value"), "value")
 
 
-@query(" UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS blob_id, 'root_length_{k}k' AS feature, round(sqrt(least(octet_length(encode(text)), {k * 1024}) / {k * 1024}.0::DOUBLE), 6) AS value FROM documents" for k in stats.LENGTHS_K))
+@query(" UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS blob_id, 'root_length_{k}k' AS feature, floor((sqrt(least(octet_length(encode(text)), {k * 1024}) / {k * 1024}.0::DOUBLE)) * 1e6 + 0.5) / 1e6 AS value FROM documents" for k in stats.LENGTHS_K))
 def length_features(spark, sf_dir):
     return rounded(stats.length_features(documents(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
@@ -164,11 +165,11 @@ def bigram_intensity(spark, sf_dir):
 
 _BIGRAM = f"""WITH {_grams(2)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, gram) AS rk FROM c),
 t AS (SELECT blob_id, sum(cnt) FILTER (rk <= 16) AS t, count(*) AS u, sum(cnt * cnt) AS sq FROM r GROUP BY 1)
-SELECT blob_id, 'bigram_total_count' AS feature, round(t::DOUBLE, 6) AS value FROM t
-UNION ALL SELECT blob_id, 'bigram_unique_count', round(u::DOUBLE, 6) FROM t
-UNION ALL SELECT blob_id, 'bigram_distribution', round(sq / (t * t)::DOUBLE, 6) FROM t
-UNION ALL SELECT blob_id, 'bigram_' || gram, round(cnt::DOUBLE, 6) FROM r WHERE rk <= 16
-UNION ALL SELECT blob_id, 'bigram_' || gram || '_norm', round(cnt / t::DOUBLE, 6) FROM r JOIN t USING (blob_id) WHERE rk <= 16"""
+SELECT blob_id, 'bigram_total_count' AS feature, floor((t::DOUBLE) * 1e6 + 0.5) / 1e6 AS value FROM t
+UNION ALL SELECT blob_id, 'bigram_unique_count', floor((u::DOUBLE) * 1e6 + 0.5) / 1e6 FROM t
+UNION ALL SELECT blob_id, 'bigram_distribution', floor((sq / (t * t)::DOUBLE) * 1e6 + 0.5) / 1e6 FROM t
+UNION ALL SELECT blob_id, 'bigram_' || gram, floor((cnt::DOUBLE) * 1e6 + 0.5) / 1e6 FROM r WHERE rk <= 16
+UNION ALL SELECT blob_id, 'bigram_' || gram || '_norm', floor((cnt / t::DOUBLE) * 1e6 + 0.5) / 1e6 FROM r JOIN t USING (blob_id) WHERE rk <= 16"""
 
 
 @query(_BIGRAM)
@@ -203,7 +204,7 @@ def ngram_counts(spark, sf_dir):
     return grams.ngram_counts(documents(spark, sf_dir), 2).drop("n")
 
 
-@query(f"WITH {_grams(3)} SELECT blob_id, sum(cnt)::DOUBLE AS ngram_total_count, count(*)::DOUBLE AS ngram_unique_count, round(count(*) / sum(cnt), 6) AS ngram_diversity, round(sum((cnt / total) * (cnt / total)), 6) AS ngram_distribution FROM c GROUP BY 1")
+@query(f"WITH {_grams(3)} SELECT blob_id, sum(cnt)::DOUBLE AS ngram_total_count, count(*)::DOUBLE AS ngram_unique_count, floor((count(*) / sum(cnt)) * 1e6 + 0.5) / 1e6 AS ngram_diversity, floor((sum((cnt / total) * (cnt / total))) * 1e6 + 0.5) / 1e6 AS ngram_distribution FROM c GROUP BY 1")
 def ngram_summary(spark, sf_dir):
     return rounded(grams.ngram_summary(grams.gram_counts(documents(spark, sf_dir), 3)), "ngram_diversity", "ngram_distribution")
 
@@ -212,14 +213,14 @@ def _named(best: DataFrame, n: int) -> DataFrame:
     return best.withColumn("gram", gram_key("packed", n)).drop("packed")
 
 
-@query(f"WITH {_grams(3)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, first_pos) AS rank FROM c) SELECT blob_id, gram, rank, round(cnt::DOUBLE, 6) AS score, round(cnt / total, 6) AS norm FROM r WHERE rank <= 16")
+@query(f"WITH {_grams(3)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, first_pos) AS rank FROM c) SELECT blob_id, gram, rank, floor((cnt::DOUBLE) * 1e6 + 0.5) / 1e6 AS score, floor((cnt / total) * 1e6 + 0.5) / 1e6 AS norm FROM r WHERE rank <= 16")
 def select_frequency(spark, sf_dir):
-    return rounded(_named(grams.select_frequency(grams.gram_counts(documents(spark, sf_dir), 3), 16), 3), "score", "norm")
+    return rounded(_named(grams.best_grams(documents(spark, sf_dir), 3, 16).drop("cnt", "first_pos"), 3), "score", "norm")
 
 
-@query(f"WITH {_grams(2)}, s AS (SELECT *, -(cnt / total) * log2(cnt / total) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s) SELECT blob_id, gram, rank, round(score, 6) + 0.0 AS score, round(CASE WHEN total > 1 THEN score / log2(total) ELSE 0 END, 6) + 0.0 AS norm FROM r WHERE rank <= 16")
+@query(f"WITH {_grams(2)}, s AS (SELECT *, -(cnt / total) * log2(cnt / total) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s) SELECT blob_id, gram, rank, floor((score) * 1e6 + 0.5) / 1e6 + 0.0 AS score, floor((CASE WHEN total > 1 THEN score / log2(total) ELSE 0 END) * 1e6 + 0.5) / 1e6 + 0.0 AS norm FROM r WHERE rank <= 16")
 def select_entropy(spark, sf_dir):
-    return rounded(_named(grams.select_entropy(grams.gram_counts(documents(spark, sf_dir), 2), 16), 2), "score", "norm")
+    return rounded(_named(grams.best_grams(documents(spark, sf_dir), 2, 16, "entropy").drop("cnt", "first_pos"), 2), "score", "norm")
 
 
 @query(f"WITH {_grams(3)} SELECT gram, count(*) AS df FROM c GROUP BY 1")
@@ -227,14 +228,14 @@ def document_frequencies(spark, sf_dir):
     return _named(grams.document_frequencies(grams.gram_counts(documents(spark, sf_dir), 3)), 3)
 
 
-@query(f"WITH {_grams(3)}, f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1), s AS (SELECT c.*, cnt / max(cnt) OVER (PARTITION BY blob_id) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1)) + 1) AS score FROM c JOIN f USING (gram)), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s) SELECT blob_id, gram, rank, round(score, 6) AS score FROM r WHERE rank <= 16")
+@query(f"WITH {_grams(3)}, f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1), s AS (SELECT c.*, cnt / max(cnt) OVER (PARTITION BY blob_id) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1)) + 1) AS score FROM c JOIN f USING (gram)), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s) SELECT blob_id, gram, rank, floor((score) * 1e6 + 0.5) / 1e6 AS score FROM r WHERE rank <= 16")
 def select_tfidf(spark, sf_dir):
     docs = documents(spark, sf_dir)
     counts = grams.gram_counts(docs, 3)
     return rounded(_named(grams.select_tfidf(counts, grams.document_frequencies(counts), docs.count(), 16), 3), "score")
 
 
-@query(f"WITH {_grams(2)}, v AS (SELECT gram, round(sum(cnt::DOUBLE * cnt) / (SELECT count(*) FROM documents) - (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)) * (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)), 9) AS variance FROM c GROUP BY 1) SELECT gram, round(variance, 6) AS variance FROM v ORDER BY v.variance DESC, gram LIMIT 64")
+@query(f"WITH {_grams(2)}, v AS (SELECT gram, round(sum(cnt::DOUBLE * cnt) / (SELECT count(*) FROM documents) - (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)) * (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)), 9) AS variance FROM c GROUP BY 1) SELECT gram, floor((variance) * 1e6 + 0.5) / 1e6 AS variance FROM v ORDER BY v.variance DESC, gram LIMIT 64")
 def select_variance(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return rounded(_named(grams.select_variance(grams.gram_counts(docs, 2), docs.count(), 64), 2), "variance")
@@ -259,7 +260,7 @@ def signature_features(spark, sf_dir):
     return signatures.signature_features(pages_as_blobs(spark, sf_dir), PAGE_SIGNATURES).drop("emit_idx")
 
 
-@query(f"WITH {_PAGE_HITS} SELECT blob_id, 'c64' AS platform, 0.8::DOUBLE AS score FROM m WHERE a = 1 UNION ALL SELECT blob_id, 'vic20', round(b * 0.7 + d * 0.9, 6)::DOUBLE FROM m WHERE b + d > 0")
+@query(f"WITH {_PAGE_HITS} SELECT blob_id, 'c64' AS platform, 0.8::DOUBLE AS score FROM m WHERE a = 1 UNION ALL SELECT blob_id, 'vic20', floor((b * 0.7 + d * 0.9) * 1e6 + 0.5) / 1e6::DOUBLE FROM m WHERE b + d > 0")
 def platform_scores(spark, sf_dir):
     return rounded(signatures.platform_scores(signatures.matches(pages_as_blobs(spark, sf_dir), PAGE_SIGNATURES)).select("blob_id", "platform", "score"), "score")
 
@@ -273,7 +274,7 @@ def dominant_platform(spark, sf_dir):
 w AS (SELECT *, CAST('0x' || substr(x, 1, 2) AS INTEGER) + 256 * CAST('0x' || substr(x, 3, 2) AS INTEGER) AS w, CAST('0x' || substr(x, 5, 2) AS INTEGER) + 256 * CAST('0x' || substr(x, 7, 2) AS INTEGER) AS l FROM h),
 s AS (SELECT *, 1 - list_min([abs(w - k) / 65536.0::DOUBLE for k in [2049, 40960, 32768, 49152, 8192, 16384]]) AS c, 1 - list_min([abs(w - k) / 65536.0::DOUBLE for k in [4097, 1025, 4609, 40960, 8192, 16384, 24576]]) AS v FROM w)
 SELECT blob_id, unnest(['load_addr_value', 'load_addr_is_c64', 'load_addr_is_vic20', 'load_addr_c64_similarity', 'load_addr_vic20_similarity', 'load_addr_platform_ratio', 'load_addr_has_valid_basic_link', 'load_addr_has_basic_token']) AS feature,
-unnest([round(w / 65536.0::DOUBLE, 6), 0, 0, round(c, 6), round(v, 6), round((c - v + 1) / 2, 6), (l > 4 AND l < n)::INTEGER, (substr(x, 13, 2) IN ('9E', '8F', '99'))::INTEGER]) AS value FROM s""")
+unnest([floor((w / 65536.0::DOUBLE) * 1e6 + 0.5) / 1e6, 0, 0, floor((c) * 1e6 + 0.5) / 1e6, floor((v) * 1e6 + 0.5) / 1e6, floor(((c - v + 1) / 2) * 1e6 + 0.5) / 1e6, (l > 4 AND l < n)::INTEGER, (substr(x, 13, 2) IN ('9E', '8F', '99'))::INTEGER]) AS value FROM s""")
 def load_address_features(spark, sf_dir):
     docs = documents(spark, sf_dir).where("length >= 7")
     return rounded(signatures.load_address_features(docs).drop("emit_idx"), "value")
@@ -318,17 +319,17 @@ pr AS (SELECT blob_id, actual, label AS predicted, score FROM (SELECT *, row_num
 cm AS (SELECT a.label AS actual, b.label AS predicted, count(pr.blob_id) AS cnt FROM cl a CROSS JOIN cl b LEFT JOIN pr ON pr.actual = a.label AND pr.predicted = b.label GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_VECTORS} SELECT feature, round(mn, 6) AS min, round(mx, 6) AS max, round(-mn / (mx - mn), 6) AS z0 FROM sc")
+@query(f"WITH {_VECTORS} SELECT feature, floor((mn) * 1e6 + 0.5) / 1e6 AS min, floor((mx) * 1e6 + 0.5) / 1e6 AS max, floor((-mn / (mx - mn)) * 1e6 + 0.5) / 1e6 AS z0 FROM sc")
 def fit_scaling(spark, sf_dir):
     return rounded(classifier.fit_scaling(vector_features(spark, sf_dir)[0]), "min", "max", "z0")
 
 
-@query(f"WITH {_VECTORS} SELECT label, idx AS class_idx, n_pos, n_neg::BIGINT AS n_neg, round(weight, 6)::DOUBLE AS weight FROM wt")
+@query(f"WITH {_VECTORS} SELECT label, idx AS class_idx, n_pos, n_neg::BIGINT AS n_neg, floor((weight) * 1e6 + 0.5) / 1e6::DOUBLE AS weight FROM wt")
 def class_weights(spark, sf_dir):
     return rounded(classifier.class_weights(vector_features(spark, sf_dir)[1]).withColumn("class_idx", F.col("class_idx").cast("long")), "weight")
 
 
-@query(f"WITH {_VECTORS} SELECT feature, label, round(pos, 6) AS pos, round(neg, 6) AS neg FROM ce")
+@query(f"WITH {_VECTORS} SELECT feature, label, floor((pos) * 1e6 + 0.5) / 1e6 AS pos, floor((neg) * 1e6 + 0.5) / 1e6 AS neg FROM ce")
 def fit_centroids(spark, sf_dir):
     return rounded(classifier.train_ensemble(*vector_features(spark, sf_dir)).centroids, "pos", "neg")
 
@@ -339,12 +340,12 @@ def scores(spark, sf_dir):
     return classifier.class_scores(feats, labels, model), labels, model
 
 
-@query(f"WITH {_VECTORS} SELECT blob_id, label, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, idx) AS rank FROM ss) WHERE rank <= 3")
+@query(f"WITH {_VECTORS} SELECT blob_id, label, floor((score) * 1e6 + 0.5) / 1e6 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, idx) AS rank FROM ss)")
 def ranked_scores(spark, sf_dir):
-    return rounded(classifier.ranked_scores(scores(spark, sf_dir)[0]).where("rank <= 3"), "score")
+    return rounded(classifier.ranked_scores(scores(spark, sf_dir)[0]), "score")
 
 
-@query(f"WITH {_VECTORS} SELECT blob_id, predicted, round(score, 6) AS confidence FROM pr")
+@query(f"WITH {_VECTORS} SELECT blob_id, predicted, floor((score) * 1e6 + 0.5) / 1e6 AS confidence FROM pr")
 def predict(spark, sf_dir):
     return rounded(classifier.predict(scores(spark, sf_dir)[0]).drop("all_scores"), "confidence")
 
@@ -360,13 +361,13 @@ def confusion_matrix(spark, sf_dir):
     return classifier.confusion_matrix(rows, model.classes)
 
 
-@query(f"WITH {_VECTORS}, rl AS (SELECT actual AS label, sum(cnt) AS real, sum(CASE WHEN actual = predicted THEN cnt ELSE 0 END) AS ok FROM cm GROUP BY 1), sd AS (SELECT predicted AS label, sum(cnt) AS said FROM cm GROUP BY 1), m AS (SELECT label, CASE WHEN said > 0 THEN ok / said ELSE 0 END AS p, CASE WHEN real > 0 THEN ok / real ELSE 0 END AS r, ok, real FROM rl JOIN sd USING (label)) SELECT label, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1, round(sum(ok) OVER () / sum(real) OVER (), 6)::DOUBLE AS accuracy FROM m")
+@query(f"WITH {_VECTORS}, rl AS (SELECT actual AS label, sum(cnt) AS real, sum(CASE WHEN actual = predicted THEN cnt ELSE 0 END) AS ok FROM cm GROUP BY 1), sd AS (SELECT predicted AS label, sum(cnt) AS said FROM cm GROUP BY 1), m AS (SELECT label, CASE WHEN said > 0 THEN ok / said ELSE 0 END AS p, CASE WHEN real > 0 THEN ok / real ELSE 0 END AS r, ok, real FROM rl JOIN sd USING (label)) SELECT label, floor((p) * 1e6 + 0.5) / 1e6::DOUBLE AS precision, floor((r) * 1e6 + 0.5) / 1e6::DOUBLE AS recall, floor((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * 1e6 + 0.5) / 1e6::DOUBLE AS f1, floor((sum(ok) OVER () / sum(real) OVER ()) * 1e6 + 0.5) / 1e6::DOUBLE AS accuracy FROM m")
 def evaluate(spark, sf_dir):
     rows, model = judged(spark, sf_dir)
     return rounded(classifier.evaluate(classifier.confusion_matrix(rows, model.classes)), "precision", "recall", "f1", "accuracy")
 
 
-@query("WITH l AS (SELECT lang AS actual, count(*) AS cnt FROM documents GROUP BY 1) SELECT actual, cnt, round(100 * cnt / sum(cnt) OVER (), 6)::DOUBLE AS percent FROM l")
+@query("WITH l AS (SELECT lang AS actual, count(*) AS cnt FROM documents GROUP BY 1) SELECT actual, cnt, floor((100 * cnt / sum(cnt) OVER ()) * 1e6 + 0.5) / 1e6::DOUBLE AS percent FROM l")
 def class_distribution(spark, sf_dir):
     return rounded(classifier.class_distribution(documents(spark, sf_dir).select(F.col("label").alias("actual"))), "percent")
 
