@@ -81,7 +81,7 @@ class FeaturePipeline:
             for i, f in arrays:
                 rows = f(rows, f"_rows{i}")
             all_rows = F.concat(*[F.transform(f"_rows{i}", lambda r, i=i: F.struct(F.lit(i).alias("extractor_idx"), r["emit_idx"].alias("emit_idx"), r["feature"].alias("feature"), r["value"].alias("value"))) for i, _ in arrays])
-            parts.append(rows.select("blob_id", F.inline(all_rows)))
+            parts.append(rows.select("blob_id", F.inline_outer(all_rows)))
         return functools.reduce(DataFrame.unionByName, parts)
 
     def describe(self) -> str:

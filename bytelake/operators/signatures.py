@@ -55,7 +55,7 @@ def _array(pairs: list[tuple[str, Column]], first: int = 0) -> Column:
 
 
 def _rows(pairs: list[tuple[str, Column]]) -> Column:
-    return F.inline(_array(pairs))
+    return F.inline_outer(_array(pairs))  # inline would make Spark compute the array twice, to filter empty ones
 
 
 def signature_features(blobs: DataFrame, signatures: tuple[Signature, ...] = BASIC) -> DataFrame:
@@ -72,7 +72,7 @@ def _found(signatures: tuple[Signature, ...]) -> Column:
 
 def matches(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
     """blob_id, sig_idx, name, platform, confidence of signatures that match. Content is read once and not moved."""
-    return blobs.select("blob_id", F.explode(_found(signatures)).alias("m")).select("blob_id", "m.*")
+    return blobs.select("blob_id", F.explode_outer(_found(signatures)).alias("m")).where("m IS NOT NULL").select("blob_id", "m.*")
 
 
 def platform_scores(found: DataFrame) -> DataFrame:
@@ -129,31 +129,31 @@ def structure_features(blobs: DataFrame) -> DataFrame:
 def enhanced_array(blobs: DataFrame, name: str, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
     """blobs with an array column of the rows (emit_idx, feature, value) of enhanced_signature_features: signatures are
     matched once, platforms are summed inside the row."""
-    hits = f"{name}_hits"
-    blobs = blobs.withColumn(hits, _found(signatures))
-    at = F.transform(F.col(hits), lambda h: h["sig_idx"])
-    n, platforms = len(signatures), catalogue.PLATFORMS
-    own = [(f"signature_{s.name}", F.when(F.array_contains(at, i), s.confidence).otherwise(0.0)) for i, s in enumerate(signatures)]
-
-    def of(p: str) -> Column:
-        return F.filter(F.col(hits), lambda h: h["platform"] == p)
-
-    sums = [F.aggregate(of(p), F.lit(0.0), lambda a, h: a + h["confidence"]) for p in platforms]
-    rows = F.array(*[F.when(F.size(of(p)) > 0, F.struct(F.round(x, 9).alias("score"), (-of(p)[0]["sig_idx"]).alias("order"), F.lit(p).alias("platform"), x.alias("sum"), F.lit(i).alias("i"))) for i, (p, x) in enumerate(zip(platforms, sums, strict=True))])
-    scored = f"{name}_scores"
-    blobs = blobs.withColumn(scored, F.filter(rows, lambda r: r.isNotNull()))
-    per = F.transform(F.col(scored), lambda r: F.struct((r["i"] + n + 1).alias("emit_idx"), F.concat(F.lit("signature_platform_"), r["platform"]).alias("feature"), r["sum"].alias("value")))
-    top = F.array_max(F.transform(F.col(scored), lambda r: F.struct(r["score"], r["order"], r["platform"])))["platform"]
+    hit = {i: f"{name}_hit{i}" for i in range(len(signatures))}
+    blobs = blobs.withColumns({hit[i]: match_signature(s) for i, s in enumerate(signatures)})
+    number, n = (lambda i, v: F.when(F.col(hit[i]), v).otherwise(0)), len(signatures)
+    own = [(f"signature_{s.name}", number(i, s.confidence)) for i, s in enumerate(signatures)]
+    count = sum((number(i, 1) for i in hit), F.lit(0))
+    scores = []
+    for j, p in enumerate(catalogue.PLATFORMS):
+        of = [i for i, s in enumerate(signatures) if s.platform == p]
+        if of:
+            score = sum((number(i, signatures[i].confidence) for i in of), F.lit(0.0))
+            first = F.coalesce(*[F.when(F.col(hit[i]), i) for i in of])
+            scores.append(F.when(first.isNotNull(), F.struct(F.round(score, 9).alias("score"), (-first).alias("order"), F.lit(p).alias("platform"), score.alias("sum"), F.lit(j + n + 1).alias("emit_idx"))))
+    found = f"{name}_scores"
+    blobs = blobs.withColumn(found, F.array_compact(F.array(*scores)))
+    per = F.transform(F.col(found), lambda r: F.struct(r["emit_idx"], F.concat(F.lit("signature_platform_"), r["platform"]).alias("feature"), r["sum"].alias("value")))
+    top = F.array_max(found)["platform"]
     code = F.when(top == "c64", 1.0).when(top == "vic20", 0.0).otherwise(0.5)
-    best = F.when(F.size(scored) > 0, _array([("signature_dominant_platform", code)], n + 9)).otherwise(F.array().cast("array<struct<emit_idx:int,feature:string,value:double>>"))
-    plain = _array([*own, ("signature_match_count", F.size(hits))])
-    return blobs.withColumn(name, F.concat(plain, per, best, _array(_structure(), n + 10))).drop(hits, scored)
+    best = F.when(F.size(found) > 0, _array([("signature_dominant_platform", code)], n + 9)).otherwise(F.array().cast("array<struct<emit_idx:int,feature:string,value:double>>"))
+    return blobs.withColumn(name, F.concat(_array([*own, ("signature_match_count", count)]), per, best, _array(_structure(), n + 10))).drop(*hit.values(), found)
 
 
 def enhanced_signature_features(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
     """signature_<name> (confidence or 0), signature_match_count, the platforms' sums, the dominant platform's code
     and the header's structure. One pass over content, no shuffle."""
-    return enhanced_array(blobs, "_rows", signatures).select("blob_id", F.inline("_rows"))
+    return enhanced_array(blobs, "_rows", signatures).select("blob_id", F.inline_outer("_rows"))
 
 
 enhanced_signature_features.array = enhanced_array
@@ -185,7 +185,7 @@ def load_address_array(blobs: DataFrame, name: str) -> DataFrame:
 def load_address_features(blobs: DataFrame) -> DataFrame:
     """Load address by 65536, whether and how nearly it is a known one of either platform, the platforms' ratio and,
     for blobs long enough, a valid first link and a first token. Blobs under 2 bytes have defaults."""
-    return load_address_array(blobs, "_rows").select("blob_id", F.inline("_rows"))
+    return load_address_array(blobs, "_rows").select("blob_id", F.inline_outer("_rows"))
 
 
 load_address_features.array = load_address_array

@@ -57,7 +57,7 @@ def histogram(blobs: DataFrame, nonfinite: str = "keep") -> DataFrame:
     if nonfinite == "drop":
         rows = rows.where("total > 0")
     share = F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(float("nan"))
-    return rows.select("blob_id", "total", F.posexplode("counts").alias("emit_idx", "c")).select("blob_id", "emit_idx", F.concat(F.lit("b_"), "emit_idx").alias("feature"), share.alias("value"))
+    return rows.select("blob_id", "total", F.posexplode_outer("counts").alias("emit_idx", "c")).select("blob_id", "emit_idx", F.concat(F.lit("b_"), "emit_idx").alias("feature"), share.alias("value"))
 
 
 def feature_rows(blobs: DataFrame, extractors: list[tuple[int, Callable[[bytes], tuple[list[str], list[float]]]]]) -> DataFrame:
@@ -109,7 +109,7 @@ def length_array(blobs: DataFrame, name: str) -> DataFrame:
 
 def length_features(blobs: DataFrame) -> DataFrame:
     """root_length_<k>k: square root of the length by k KiB, 1 at most."""
-    return length_array(blobs, "_rows").select("blob_id", F.inline("_rows"))
+    return length_array(blobs, "_rows").select("blob_id", F.inline_outer("_rows"))
 
 
 length_features.array = length_array
