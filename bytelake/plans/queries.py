@@ -125,9 +125,19 @@ def hex_dump(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", hex_bytes(F.encode("text", "UTF-8")).alias("dump"))
 
 
-@query(f"WITH {_BYTES}, c AS (SELECT blob_id, x, count(*) AS cnt FROM e GROUP BY 1, 2), t AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id) AS total FROM c) SELECT blob_id, 'b_' || CAST('0x' || x AS INTEGER) AS feature, floor((cnt / total) * 1e6 + 0.5) / 1e6 AS value FROM t")
+def six(sql: str) -> str:
+    """The same rows with values to six decimals, by the steps of rounded()."""
+    return f"SELECT * REPLACE (floor(value * 1e6 + 0.5) / 1e6 AS value) FROM ({sql})"
+
+
+_HISTOGRAM = f"""WITH {_BYTES}, c AS (SELECT blob_id, CAST('0x' || x AS INTEGER) AS b, count(*) AS cnt FROM e GROUP BY 1, 2),
+t AS (SELECT blob_id, sum(cnt) AS total FROM c GROUP BY 1)
+SELECT t.blob_id, 'b_' || i AS feature, (coalesce(cnt, 0) / total)::DOUBLE AS value FROM t CROSS JOIN range(256) q(i) LEFT JOIN c ON c.blob_id = t.blob_id AND c.b = i"""
+
+
+@query(six(_HISTOGRAM))
 def histogram(spark, sf_dir):
-    return rounded(stats.histogram(documents(spark, sf_dir), "drop").where("value > 0").select("blob_id", "feature", "value"), "value")
+    return rounded(stats.histogram(documents(spark, sf_dir), "drop").select("blob_id", "feature", "value"), "value")
 
 
 _ENTROPY = f"""WITH {_BYTES},
@@ -136,19 +146,22 @@ s AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id, w) AS total FROM w),
 v AS (SELECT blob_id, w, -sum(cnt / total * log2(cnt / total)) AS h FROM s WHERE total >= 128 GROUP BY 1, 2),
 b AS (SELECT blob_id, x, count(*) AS cnt FROM e GROUP BY 1, 2), bt AS (SELECT *, sum(cnt) OVER (PARTITION BY blob_id) AS total FROM b),
 g AS (SELECT blob_id, -sum(cnt / total * log2(cnt / total)) AS h FROM bt GROUP BY 1)
-SELECT blob_id, 'global_entropy' AS feature, floor((h) * 1e6 + 0.5) / 1e6 + 0.0 AS value FROM g
-UNION ALL SELECT blob_id, 'min_window_entropy', floor((min(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'max_window_entropy', floor((max(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'mean_window_entropy', floor((avg(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1
-UNION ALL SELECT blob_id, 'std_window_entropy', floor((stddev_pop(h)) * 1e6 + 0.5) / 1e6 + 0.0 FROM v GROUP BY 1"""
+SELECT d.doc_id::VARCHAR AS blob_id, 'global_entropy' AS feature, coalesce(h, 0) + 0.0 AS value FROM documents d LEFT JOIN g ON g.blob_id = d.doc_id::VARCHAR
+UNION ALL SELECT blob_id, 'min_window_entropy', min(h) + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'max_window_entropy', max(h) + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'mean_window_entropy', avg(h) + 0.0 FROM v GROUP BY 1
+UNION ALL SELECT blob_id, 'std_window_entropy', stddev_pop(h) + 0.0 FROM v GROUP BY 1"""
 
 
-@query(_ENTROPY)
+@query(six(_ENTROPY))
 def entropy_features(spark, sf_dir):
     return rounded(stats.entropy_features(documents(spark, sf_dir), nonfinite="drop").select("blob_id", "feature", "value"), "value")
 
 
-@query(" UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS blob_id, 'root_length_{k}k' AS feature, floor((sqrt(least(octet_length(encode(text)), {k * 1024}) / {k * 1024}.0::DOUBLE)) * 1e6 + 0.5) / 1e6 AS value FROM documents" for k in stats.LENGTHS_K))
+_LENGTHS = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS blob_id, 'root_length_{k}k' AS feature, sqrt(least(octet_length(encode(text)), {k * 1024}) / {k * 1024}.0::DOUBLE) AS value FROM documents" for k in stats.LENGTHS_K)
+
+
+@query(six(_LENGTHS))
 def length_features(spark, sf_dir):
     return rounded(stats.length_features(documents(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
@@ -165,14 +178,14 @@ def bigram_intensity(spark, sf_dir):
 
 _BIGRAM = f"""WITH {_grams(2)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, gram) AS rk FROM c),
 t AS (SELECT blob_id, sum(cnt) FILTER (rk <= 16) AS t, count(*) AS u, sum(cnt * cnt) AS sq FROM r GROUP BY 1)
-SELECT blob_id, 'bigram_total_count' AS feature, floor((t::DOUBLE) * 1e6 + 0.5) / 1e6 AS value FROM t
-UNION ALL SELECT blob_id, 'bigram_unique_count', floor((u::DOUBLE) * 1e6 + 0.5) / 1e6 FROM t
-UNION ALL SELECT blob_id, 'bigram_distribution', floor((sq / (t * t)::DOUBLE) * 1e6 + 0.5) / 1e6 FROM t
-UNION ALL SELECT blob_id, 'bigram_' || gram, floor((cnt::DOUBLE) * 1e6 + 0.5) / 1e6 FROM r WHERE rk <= 16
-UNION ALL SELECT blob_id, 'bigram_' || gram || '_norm', floor((cnt / t::DOUBLE) * 1e6 + 0.5) / 1e6 FROM r JOIN t USING (blob_id) WHERE rk <= 16"""
+SELECT blob_id, 'bigram_total_count' AS feature, t::DOUBLE AS value FROM t
+UNION ALL SELECT blob_id, 'bigram_unique_count', u::DOUBLE FROM t
+UNION ALL SELECT blob_id, 'bigram_distribution', sq / (t * t)::DOUBLE FROM t
+UNION ALL SELECT blob_id, 'bigram_' || gram, cnt::DOUBLE FROM r WHERE rk <= 16
+UNION ALL SELECT blob_id, 'bigram_' || gram || '_norm', cnt / t::DOUBLE FROM r JOIN t USING (blob_id) WHERE rk <= 16"""
 
 
-@query(_BIGRAM)
+@query(six(_BIGRAM))
 def bigram_features(spark, sf_dir):
     return rounded(stats.bigram_features(documents(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
@@ -270,27 +283,133 @@ def dominant_platform(spark, sf_dir):
     return signatures.dominant_platform(signatures.platform_scores(signatures.matches(pages_as_blobs(spark, sf_dir), PAGE_SIGNATURES)))
 
 
-@query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) >= 7),
-w AS (SELECT *, CAST('0x' || substr(x, 1, 2) AS INTEGER) + 256 * CAST('0x' || substr(x, 3, 2) AS INTEGER) AS w, CAST('0x' || substr(x, 5, 2) AS INTEGER) + 256 * CAST('0x' || substr(x, 7, 2) AS INTEGER) AS l FROM h),
-s AS (SELECT *, 1 - list_min([abs(w - k) / 65536.0::DOUBLE for k in [2049, 40960, 32768, 49152, 8192, 16384]]) AS c, 1 - list_min([abs(w - k) / 65536.0::DOUBLE for k in [4097, 1025, 4609, 40960, 8192, 16384, 24576]]) AS v FROM w)
-SELECT blob_id, unnest(['load_addr_value', 'load_addr_is_c64', 'load_addr_is_vic20', 'load_addr_c64_similarity', 'load_addr_vic20_similarity', 'load_addr_platform_ratio', 'load_addr_has_valid_basic_link', 'load_addr_has_basic_token']) AS feature,
-unnest([floor((w / 65536.0::DOUBLE) * 1e6 + 0.5) / 1e6, 0, 0, floor((c) * 1e6 + 0.5) / 1e6, floor((v) * 1e6 + 0.5) / 1e6, floor(((c - v + 1) / 2) * 1e6 + 0.5) / 1e6, (l > 4 AND l < n)::INTEGER, (substr(x, 13, 2) IN ('9E', '8F', '99'))::INTEGER]) AS value FROM s""")
-def load_address_features(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("length >= 7")
-    return rounded(signatures.load_address_features(docs).drop("emit_idx"), "value")
+_X = "h AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents)"
 
 
-@query(None)
+def _byte(i: int | str) -> str:
+    return f"CAST('0x' || substr(x, 2 * ({i}) + 1, 2) AS INTEGER)"
+
+
+def _word(i: int | str) -> str:
+    return f"({_byte(i)} + 256 * {_byte(f'{i} + 1')})"
+
+
+def _load_sql() -> str:
+    near = lambda known: f"1 - list_min([abs(w - k) / 65536.0::DOUBLE for k in {list(known)}])"
+    c64, vic20 = signatures.catalogue.C64_ADDRESSES, signatures.catalogue.VIC20_ADDRESSES
+    return f"""WITH {_X}, w AS (SELECT *, CASE WHEN n >= 2 THEN {_word(0)} END AS w, CASE WHEN n >= 4 THEN {_word(2)} END AS l FROM h),
+s AS (SELECT *, coalesce({near(c64)}, 0) AS c, coalesce({near(vic20)}, 0) AS v FROM w)
+SELECT blob_id, unnest(['load_addr_value', 'load_addr_is_c64', 'load_addr_is_vic20', 'load_addr_c64_similarity', 'load_addr_vic20_similarity', 'load_addr_platform_ratio']) AS feature,
+unnest([coalesce(w, 0) / 65536.0::DOUBLE, coalesce(w IN {c64}, false)::INTEGER, coalesce(w IN {vic20}, false)::INTEGER, c, v, (c - v + 1) / 2])::DOUBLE AS value FROM s
+UNION ALL SELECT blob_id, 'load_addr_has_valid_basic_link', (l > 4 AND l < n)::INTEGER::DOUBLE FROM s WHERE n >= 6
+UNION ALL SELECT blob_id, 'load_addr_has_basic_token', (substr(x, 13, 2) IN ('9E', '8F', '99'))::INTEGER::DOUBLE FROM s WHERE n >= 7"""
+
+
+@query(six(_load_sql()))
+def load_address_features(spark, sf_dir):
+    return rounded(signatures.load_address_features(documents(spark, sf_dir)).drop("emit_idx"), "value")
+
+
+def _match(s: signatures.Signature) -> str:
+    """A signature's test on the upper-case hex x of content; of masks, bytes 00, F0 and FF."""
+    tests = []
+    for i, b in enumerate(s.data):
+        m = (s.mask[i] if s.mask and any(s.mask) and i < len(s.mask) else 0) or 255
+        tests.append(f"substr(x, {2 * (s.offset + i) + 1}, {1 if m == 0xF0 else 2}) = '{b >> 4:X}{'' if m == 0xF0 else f'{b & 15:X}'}'")
+    return f"(length(x) >= {2 * (s.offset + len(s.data))} AND {' AND '.join(tests)})::INTEGER"
+
+
+def _enhanced_sql(source: str = _X) -> str:
+    all_of, places = signatures.ENHANCED, range(len(signatures.ENHANCED))
+    names = [f"signature_{s.name}" for s in all_of] + ["signature_match_count"]
+    values = [f"m{i} * {s.confidence}::DOUBLE" for i, s in enumerate(all_of)] + ["(" + " + ".join(f"m{i}" for i in places) + ")::DOUBLE"]
+    per = []
+    for p in signatures.catalogue.PLATFORMS:
+        of = [i for i in places if all_of[i].platform == p]
+        if of:
+            first = "CASE " + " ".join(f"WHEN m{i} = 1 THEN {i}" for i in of) + " END"
+            per.append(f"SELECT blob_id, '{p}' AS platform, {' + '.join(f'm{i} * {all_of[i].confidence}::DOUBLE' for i in of)} AS score, {first} AS first FROM m WHERE {' + '.join(f'm{i}' for i in of)} > 0")
+    access = {f"signature_has_{name}_access": (0.4 if name == "low_memory" else 0.5, low) for name, low in (("low_memory", "0001"), ("vic_registers", "0090"), ("sid_registers", "00D4"))}
+    return f"""WITH RECURSIVE {source}, m AS (SELECT blob_id, {", ".join(f"{_match(s)} AS m{i}" for i, s in enumerate(all_of))} FROM h),
+p AS ({" UNION ALL ".join(per)}),
+r AS (SELECT blob_id, 2 AS pos, 0 AS hops, true AS ok FROM h WHERE n >= 5
+  UNION ALL SELECT blob_id, CASE WHEN l < pos OR l >= n THEN n ELSE l END, hops + (l >= pos AND l < n)::INTEGER, l >= pos AND l < n
+  FROM (SELECT r.*, h.n, {_word("pos")} AS l FROM r JOIN h USING (blob_id) WHERE hops < 10 AND ok AND pos < h.n - 4) WHERE l <> 0),
+c AS (SELECT h.blob_id, coalesce(bool_and(ok) AND max(hops) > 0, false) AS valid, coalesce(max(hops), 0) AS hops FROM h LEFT JOIN r USING (blob_id) GROUP BY 1)
+SELECT blob_id, unnest({names}) AS feature, unnest([{", ".join(values)}]) AS value FROM m
+UNION ALL SELECT blob_id, 'signature_platform_' || platform, score FROM p
+UNION ALL SELECT blob_id, 'signature_dominant_platform', CASE arg_max(platform, round(score, 9) * 1e6 - first) WHEN 'c64' THEN 1.0 WHEN 'vic20' THEN 0.0 ELSE 0.5 END FROM p GROUP BY 1
+UNION ALL SELECT blob_id, 'signature_valid_basic_structure', valid::INTEGER::DOUBLE FROM c
+UNION ALL SELECT blob_id, 'signature_basic_line_count', hops / 10.0::DOUBLE FROM c
+""" + " ".join(f"UNION ALL SELECT blob_id, '{name}', {v} * regexp_matches(x, '^(..)*(AD|8D|AE|8E|AC|8C){low}..')::INTEGER::DOUBLE FROM h" for name, (v, low) in access.items())
+
+
+@query(six(_enhanced_sql()))
 def enhanced_signature_features(spark, sf_dir):
     return rounded(signatures.enhanced_signature_features(documents(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
 
-@query(None)
-def balanced_features(spark, sf_dir):
-    rows = features.resolve_features(features.preset("balanced").extract(documents(spark, sf_dir)))
+def program_blobs(spark, sf_dir):
+    """Bytes made of each document: a load address by its id, a link to a byte of the text that may be one, and the text;
+    the name says the platform."""
+    d = table(spark, sf_dir, "documents")
+    word = lambda v: F.concat(*[F.unhex(F.lpad(F.hex(x), 2, "0")) for x in (v % 256, F.floor(v / 256) % 256)])
+    start = F.get(F.array(*map(F.lit, _STARTS)), (F.col("doc_id") % len(_STARTS)).cast("int"))
+    link = (F.col("doc_id") * 7) % 300
+    content = F.concat(word(start), word(link), F.encode("text", "UTF-8"))
+    return blobs_from_column(d.select("doc_id", content.alias("content"), F.concat(F.lit("p"), F.col("doc_id") % 3).alias("kind")), "doc_id", "content", "kind")
+
+
+_STARTS = (0x0801, 0x1001, 0x0401, 0xA000, 0x2000, 0x4241, 0xFFFF, 0x804C)
+_LE = lambda v: f"printf('%02X%02X', ({v}) % 256, ({v}) // 256 % 256)"
+_START = f"(CAST({list(_STARTS)}[doc_id % {len(_STARTS)} + 1] AS BIGINT))"
+_PROGRAMS = f"h AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, {_LE(_START)} || {_LE('doc_id * 7 % 300')} || hex(encode(text)) AS x, 4 + octet_length(encode(text)) AS n, 'p' || (doc_id % 3) AS label FROM documents)"
+
+
+@query(six(_enhanced_sql(_PROGRAMS)))
+def program_signature_features(spark, sf_dir):
+    return rounded(signatures.enhanced_signature_features(program_blobs(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
+
+
+def _ngram_sql(n: int, k: int, strategy: str) -> str:
+    score, norm = ("cnt::DOUBLE", "cnt / total") if strategy == "frequency" else ("-(cnt / total) * log2(cnt / total) + 0.0", "CASE WHEN total > 1 THEN score / log2(total) ELSE 0 END + 0.0")
+    return f"""WITH {_grams(n)}, s AS (SELECT *, {score} AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s),
+t AS (SELECT blob_id, sum(cnt)::DOUBLE AS t, count(*)::DOUBLE AS u, sum((cnt / total) * (cnt / total)) AS d FROM c GROUP BY 1)
+SELECT blob_id, unnest(['ngram_total_count', 'ngram_unique_count', 'ngram_diversity', 'ngram_distribution']) AS feature, unnest([t, u, u / t, d]) AS value FROM t
+UNION ALL SELECT blob_id, 'ngram_' || gram, score FROM r WHERE rank <= {k}
+UNION ALL SELECT blob_id, 'ngram_' || gram || '_norm', {norm} FROM r WHERE rank <= {k}"""
+
+
+def _preset_sql(*parts: str) -> str:
+    """Of all extractors' rows the last value of each name."""
+    return six(f"SELECT blob_id, feature, arg_max(value, idx) AS value FROM ({' UNION ALL '.join(f'SELECT blob_id, feature, value::DOUBLE AS value, {i} AS idx FROM ({p})' for i, p in enumerate(parts))}) GROUP BY 1, 2")
+
+
+def preset_features(spark, sf_dir, name):
+    rows = features.resolve_features(features.preset(name).extract(documents(spark, sf_dir)))
     return rounded(rows.where(~F.isnan("value") & (F.abs("value") != float("inf"))), "value")
 
 
+@query(_preset_sql(_load_sql(), _ENTROPY, _LENGTHS, _enhanced_sql(), _ngram_sql(1, 10, "entropy"), _ngram_sql(2, 10, "entropy"), _ngram_sql(3, 16, "entropy")))
+def balanced_features(spark, sf_dir):
+    return preset_features(spark, sf_dir, "balanced")
+
+
+@query(_preset_sql(_HISTOGRAM, _ENTROPY, _LENGTHS, _BIGRAM, _enhanced_sql(), _ngram_sql(3, 30, "frequency")))
+def full_features(spark, sf_dir):
+    return preset_features(spark, sf_dir, "full")
+
+
+@query(_preset_sql(_HISTOGRAM, _LENGTHS, _ngram_sql(2, 16, "frequency"), _ngram_sql(3, 16, "frequency"), _ngram_sql(4, 12, "entropy")))
+def ngram_features(spark, sf_dir):
+    return preset_features(spark, sf_dir, "ngram")
+
+
+@query(_preset_sql(_ENTROPY, _LENGTHS, _enhanced_sql(), _ngram_sql(1, 16, "entropy"), _ngram_sql(2, 16, "entropy"), _ngram_sql(3, 20, "entropy"), _ngram_sql(3, 20, "frequency"), _ngram_sql(4, 12, "frequency")))
+def streamlined_features(spark, sf_dir):
+    return preset_features(spark, sf_dir, "streamlined")
+
+
 @query(f"WITH {_grams(2)}, d AS ({_grams(3).join(['WITH ', ' SELECT * FROM c'])}), n AS (SELECT blob_id, count(*) AS u2, sum(cnt) AS t2 FROM c GROUP BY 1), m AS (SELECT blob_id, count(*) AS u3, sum(cnt) AS t3 FROM d GROUP BY 1) SELECT n.blob_id, 'ngram_total_count' AS feature, coalesce(t3, t2)::DOUBLE AS value FROM n LEFT JOIN m ON n.blob_id = m.blob_id UNION ALL SELECT n.blob_id, 'ngram_unique_count', coalesce(u3, u2)::DOUBLE FROM n LEFT JOIN m ON n.blob_id = m.blob_id")
 def last_feature_wins(spark, sf_dir):
     pipeline = features.FeaturePipeline([features.ngram_extractor(2, 4), features.ngram_extractor(3, 4)])
