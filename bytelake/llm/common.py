@@ -20,6 +20,7 @@ WORD_CACHE = 300_000
 PIECE_ROWS, PIECE_BYTES = 1_000, 8 << 20
 
 _own: dict[str, str] = {}
+_tables: list[DataFrame] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,18 +47,25 @@ def materialize(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame
     (df.observe(seen, *measures) if measures else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    _tables.append(out)
     return (out, seen.get) if measures else out
 
 
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that materialize wrote, once nothing that is still to run reads them."""
     for t in tables:
-        if t is not None:
+        if t is not None and t in _tables:
+            _tables.remove(t)
             spark = t.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(t._table)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release_all() -> None:
+    """For applications: delete all tables that operators still hold in this process, when their results are written."""
+    release(*list(_tables))
+
+
 def small_batches(spark: SparkSession, rows: int = PIECE_ROWS) -> None:
     """For applications, not operators: let Arrow batches of this session hold no more rows than that (Spark's own limit
     is 64 MB each), so that workers stay small where texts are long."""

@@ -197,7 +197,9 @@ def _links(near: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     kin = of.join(families, "g").select("k", "fam").distinct()
     kin = C.materialize(kin.join(kin.groupBy("fam").agg(F.count("*").alias("c")), "fam"))
     blocks = C.block_pairs(kin, "fam", "c", "k", BLOCK).join(sets, "k").select("fam", "bi", "bj", "own", "k", "n", "own_set")
-    return edges.unionByName(C.run_groups(blocks, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"]))
+    found = C.materialize(edges.unionByName(C.run_groups(blocks, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])))
+    C.release(members, posts, pairs, expanded, kin)
+    return found
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -231,7 +233,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     near = sets.where("own_set IS NOT NULL AND k IS NOT NULL")
     alike = near.select("k", "x", "hi", "lo").join(reps, ["hi", "lo"]).where("k != rep").select("k", "x")
     near = C.drop_rows(near, alike, ["k", "x"])
-    comp = C.components(_links(near.withColumn("k", F.col("hi")), counts, percent)).withColumnRenamed("id", "hi")
+    links = _links(near.withColumn("k", F.col("hi")), counts, percent)
+    comp = C.components(links).withColumnRenamed("id", "hi")
+    C.release(counts, links)
     linked = comp.join(reps.select("hi", "rep"), "hi")
     linked = linked.select("hi", "component").join(linked.groupBy("component").agg(F.min("rep").alias("c")), "component").select("hi", "c")
     known = reps.join(linked, "hi", "left").select("hi", "lo", F.coalesce("c", "rep").alias("c"))
