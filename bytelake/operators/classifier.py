@@ -11,9 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a model (features times classes) up to which it is broadcast: about 60 bytes each.
-BROADCAST_MODEL = 1 << 19
-
 
 @dataclass
 class Model:
@@ -33,11 +30,20 @@ class Model:
 
 
 def stratified_split(labels: DataFrame, ratio: float = 0.2, seed: int = 0) -> DataFrame:
-    """labels(blob_id, label) with a boolean test: of each class, max(1, round(n * ratio)) by a hash of id and seed."""
-    own = Window.partitionBy("label")
-    rank = F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), F.col("blob_id").cast("string")), "blob_id"))
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(own) * ratio + 0.5))
-    return labels.withColumn("test", rank <= size)
+    """labels(blob_id, label) with a boolean test: of each class, max(1, round(n * ratio)) by a hash of id and seed.
+
+    Rows are ranked inside cells of a class, 4,096 ranges of the hash; counts of cells, some 4,096 rows a class, give
+    each cell its place. So no task holds a class.
+    """
+    names = labels.columns
+    rows = labels.withColumn("_h", F.xxhash64(F.lit(seed), F.col("blob_id").cast("string"))).withColumn("_cell", F.shiftright("_h", 52))
+    cells = rows.groupBy("label", "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("label").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.greatest(F.lit(1), F.floor(F.sum("_n").over(Window.partitionBy("label")) * ratio + 0.5))
+    cells = cells.select(F.col("label").alias("_label"), F.col("_cell").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), size.alias("_size"))
+    rank = F.row_number().over(Window.partitionBy("label", "_cell").orderBy("_h", "blob_id"))
+    ranked = rows.withColumn("_rank", rank).join(cells, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_at")))
+    return ranked.select(*names, (F.col("_rank") + F.col("_before") <= F.col("_size")).alias("test"))
 
 
 def fit_scaling(features: DataFrame) -> DataFrame:
@@ -97,8 +103,7 @@ def class_scores(features: DataFrame, blobs: DataFrame, model: Model) -> DataFra
     base = cells.groupBy("label").agg(F.sum((z0 - pos) * (z0 - pos)).alias("base_pos"), F.sum((z0 - neg) * (z0 - neg)).alias("base_neg"))
     z = normalise(features, model.scaling).withColumn("z", zero(F.col("z"))).withColumn("z0", zero(F.col("z0")))
     per = model.centroids.groupBy("feature").agg(F.collect_list(F.struct("label", pos.alias("pos"), neg.alias("neg"))).alias("c"))
-    small = model.centroids.count() <= BROADCAST_MODEL
-    met = z.join(F.broadcast(per) if small else per, "feature").select("blob_id", "z", "z0", F.inline("c"))
+    met = z.join(per, "feature").select("blob_id", "z", "z0", F.inline("c"))  # Spark broadcasts a model of small size
     step = lambda c: (F.col("z") - F.col(c)) * (F.col("z") - F.col(c)) - (F.col("z0") - F.col(c)) * (F.col("z0") - F.col(c))
     sums = met.groupBy("blob_id", "label").agg(F.sum(step("pos")).alias("pos"), F.sum(step("neg")).alias("neg"))
     full = blobs.select("blob_id").join(F.broadcast(model.classes.join(base, "label", "left")), how="cross")  # a row a class
@@ -154,13 +159,19 @@ def evaluate(confusion: DataFrame) -> DataFrame:
     return out.select("label", "precision", "recall", f1.alias("f1"), (F.sum("right").over(total) / F.sum("real").over(total)).alias("accuracy"))
 
 
-def render_report(metrics: DataFrame, confusion: DataFrame, title: str = "") -> str:
-    """Fixed-width text of the metrics and the matrix, from tables of a row a class (or a pair)."""
+def render_report(metrics: DataFrame, confusion: DataFrame, title: str = "", **facts: str) -> str:
+    """Fixed-width text of run facts (such as time, model size, pipeline), accuracy, class distribution, metrics and the
+    matrix, from tables of a row a class (or a pair)."""
     rows = metrics.orderBy("label").collect()
     cells = {(r["actual"], r["predicted"]): r["cnt"] for r in confusion.collect()}
     names = [r["label"] for r in rows]
+    real = {a: sum(cells.get((a, p), 0) for p in names) for a in names}
+    every, right = sum(real.values()), sum(cells.get((a, a), 0) for a in names)
     lines = [title] if title else []
-    lines += [f"Accuracy: {100 * rows[0]['accuracy']:.2f}%" if rows else "Accuracy: -", f"{'class':<12}{'precision':>11}{'recall':>11}{'f1':>11}"]
+    lines += [f"{k}: {v}" for k, v in facts.items()]
+    lines += [f"Accuracy: {100 * rows[0]['accuracy']:.2f}% ({right}/{every})" if rows else "Accuracy: -"]
+    lines += [f"{'class':<12}{'files':>11}{'percent':>11}"] + [f"{a:<12}{real[a]:>11}{100 * real[a] / max(every, 1):>10.2f}%" for a in names]
+    lines += [f"{'class':<12}{'precision':>11}{'recall':>11}{'f1':>11}"]
     lines += [f"{r['label']:<12}{r['precision']:>11.4f}{r['recall']:>11.4f}{r['f1']:>11.4f}" for r in rows]
     lines += [" " * 12 + "".join(f"{n:>11}" for n in names)] + [f"{a:<12}" + "".join(f"{cells.get((a, p), 0):>11}" for p in names) for a in names]
     return "\n".join(lines)

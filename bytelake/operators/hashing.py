@@ -17,9 +17,9 @@ def content_hashes(blobs: DataFrame) -> DataFrame:
     return blobs.select("name", F.sha1("content").alias("sha1"), F.md5("content").alias("md5"), crc.alias("crc32"))
 
 
-def hash_table(blobs: DataFrame) -> DataFrame:
-    """name, algo, hash: a row for each algorithm."""
-    pairs = F.expr("stack(3, " + ", ".join(f"'{a}', {a}" for a in ALGORITHMS) + ") AS (algo, hash)")
+def hash_table(blobs: DataFrame, algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
+    """name, algo, hash: a row for each algorithm; only those are computed."""
+    pairs = F.expr(f"stack({len(algorithms)}, " + ", ".join(f"'{a}', {a}" for a in algorithms) + ") AS (algo, hash)")
     return content_hashes(blobs).select("name", pairs)
 
 
@@ -35,6 +35,7 @@ def find_by_hash(hashes: DataFrame, algo: str, requests: DataFrame) -> DataFrame
 
 
 def duplicate_groups(hashes: DataFrame, algo: str = "sha1") -> DataFrame:
-    """hash, copies and sorted names of contents that several names share."""
-    own = hashes.where(F.col("algo") == algo)
-    return own.groupBy("hash").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("name")).alias("names")).where("copies > 1")
+    """hash, copies, name: a row for each name whose content others share, so that a very common content is no one row."""
+    own = hashes.where(F.col("algo") == algo).select("hash", "name")
+    shared = own.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    return own.join(shared, "hash").select("hash", "copies", "name")

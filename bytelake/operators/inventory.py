@@ -26,8 +26,11 @@ def corpus_count(files: DataFrame) -> DataFrame:
 
 def sample_per_class(blobs: DataFrame, k: int = 1, most: int = 5, seed: int = 0) -> DataFrame:
     """k blobs, drawn by a hash of id and seed, of each of the first `most` classes. Content isn't shuffled."""
-    draw = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "blob_id"), "blob_id")
-    ids = blobs.where("label IS NOT NULL").select("blob_id", "label").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= k)
+    h, cell = F.xxhash64(F.lit(seed), "blob_id"), F.pmod(F.xxhash64("blob_id"), F.lit(1024))
+    rows = blobs.where("label IS NOT NULL").select("blob_id", "label", h.alias("h"), cell.alias("cell"))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "blob_id"))
+    some = rows.withColumn("r", first("label", "cell")).where(F.col("r") <= k)  # k of each cell, then k of these
+    ids = some.withColumn("r", first("label")).where(F.col("r") <= k).select("blob_id", "label")
     classes = ids.select("label").distinct().orderBy("label").limit(most)
     ids = ids.join(F.broadcast(classes), "label", "left_semi").select("blob_id")  # at most k * most ids
     return blobs.join(F.broadcast(ids), "blob_id", "left_semi")

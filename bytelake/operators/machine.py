@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,43 +92,72 @@ def opcode_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "opcode int, mnemonic string, mode string, bytes int, category string, semantics array<string>")
 
 
-def sweep(raw: bytes, sizes: dict[int, int], entries: frozenset[int] = frozenset()) -> list[tuple]:
-    """(addr, offset, len, opcode, operand, kind) from offset 2 on, the base being the word at 0. A legal opcode is an
-    instruction; a run of other bytes is one data row; an instruction that doesn't fit, or that a declared entry
-    address cuts short, is one data byte. Of a three-byte instruction only the last byte is looked at for entries."""
-    if len(raw) < 2:
-        return []
-    base, rows, i, n = raw[0] | raw[1] << 8, [], 2, len(raw)
-    while i < n:
-        at, size = base + i - 2, sizes.get(raw[i], 0)
-        cut = size > 1 and at + size - 1 in entries
-        if size and i + size <= n and not cut:
-            operand = int.from_bytes(raw[i + 1 : i + size], "little") if size > 1 else None
-            rows.append((at, i, size, raw[i], operand, "code"))
-            i += size
-        elif size:
-            rows.append((at, i, 1, None, None, "data"))
-            i += 1
-        else:
-            j = i
-            while j < n and raw[j] not in sizes and (j == i or base + j - 2 not in entries):
-                j += 1
-            rows.append((at, i, j - i, None, None, "data"))
-            i = j
-    return rows
-
-
-def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset()) -> DataFrame:
-    """blob_id, addr, offset, len, opcode, operand, kind by a linear sweep of each blob; no shuffle."""
-    sizes = {k: v[2] for k, v in opcodes().items()}
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b, raw in zip(pdf["blob_id"], pdf["content"], strict=True):
-                rows = pd.DataFrame(sweep(bytes(raw or b""), sizes, entries), columns=["addr", "offset", "len", "opcode", "operand", "kind"]).astype({"opcode": "Int32", "operand": "Int32"})
-                yield rows.assign(blob_id=b)[["blob_id", "addr", "offset", "len", "opcode", "operand", "kind"]]
-
-    return blobs.select("blob_id", "content").mapInPandas(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
+def sizes_table() -> np.ndarray:
+    """Bytes of the instruction that each opcode begins; 0 for others."""
+    out = np.zeros(256, np.int64)
+    for k, v in opcodes().items():
+        out[k] = v[2]
+    return out
+
+
+def sweep(raw: bytes, sizes: np.ndarray, entries: np.ndarray, data: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
+    """offset, addr, len, opcode and operand (-1 for data) of a linear sweep from offset 2 on, the base being the word
+    at 0.
+
+    A legal opcode is an instruction; a run of other bytes is one data row; an instruction that doesn't fit, or that
+    a declared entry address (sorted) or data span [from, to) cuts short, is one data byte. Of an instruction only the
+    last byte is looked at for entries. Each byte's successor is computed at once; those reached from offset 2 are
+    found by doubling the steps taken.
+    """
+    n = len(raw)
+    if n <= 2:
+        none = np.empty(0, np.int64)
+        return {c: none for c in ("offset", "addr", "len", "opcode", "operand")}
+    b, at = np.frombuffer(raw, np.uint8).astype(np.int64), np.arange(n)
+    addr, size = (b[0] | b[1] << 8) + at - 2, sizes[b]
+    entry, inside, edge = np.isin(addr, entries), np.zeros(n, bool), np.zeros(n, bool)
+    for a, z in data:
+        inside |= (addr >= a) & (addr < z)
+        edge |= (addr == a) | (addr == z)
+    size[inside] = 0
+    last = np.minimum(at + size - 1, n - 1)
+    code = (size > 0) & (at + size <= n) & ~((size > 1) & entry[last]) & ~inside[last]
+    stops = np.flatnonzero((size > 0) | entry | edge)
+    after = np.append(stops, n)[np.searchsorted(stops, at, side="right")]
+    step = np.append(np.where(code, at + size, np.where(size > 0, at + 1, after)), n)
+    seen, jump = np.array([2]), step
+    while True:
+        new = np.union1d(seen, jump[seen])
+        if len(new) == len(seen):
+            break
+        seen, jump = new, jump[jump]
+    seen = seen[seen < n]
+    own = code[seen]
+    low, high = b[np.minimum(seen + 1, n - 1)], b[np.minimum(seen + 2, n - 1)]
+    operand = np.where(own & (size[seen] > 1), low | np.where(size[seen] > 2, high << 8, 0), -1)
+    return {"offset": seen, "addr": addr[seen], "len": step[seen] - seen, "opcode": np.where(own, b[seen], -1), "operand": operand}
+
+
+def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset(), data: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """blob_id, addr, offset, len, opcode, operand, kind by a linear sweep of each blob (see sweep); no shuffle."""
+    sizes, marks = sizes_table(), np.array(sorted(entries), np.int64)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            found = [sweep(raw or b"", sizes, marks, data) for raw in rb.column(1).to_pylist()]
+            if not found:
+                continue
+            col = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+            blob = rb.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f["offset"]) for f in found])))
+            code = col["opcode"] >= 0
+            maybe = lambda c: pa.array(col[c].astype(np.int32), mask=col[c] < 0)
+            kind = pa.array(np.where(code, "code", "data").astype(object), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [blob, *(pa.array(col[c].astype(np.int32)) for c in ("addr", "offset", "len")), maybe("opcode"), maybe("operand"), kind],
+                ["blob_id", "addr", "offset", "len", "opcode", "operand", "kind"],
+            )
+
+    return blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
 
 
 def operand_targets(table: DataFrame) -> DataFrame:
@@ -171,7 +201,27 @@ def static_memory_refs(targets: DataFrame, blobs: DataFrame) -> DataFrame:
     )
 
 
-def symbol_usage(targets: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Uses of the symbols (addr, name, ..), a table of at most 65,536 addresses, and the number of blobs with one."""
+# Entry points of the c64's system, address and name.
+C64_SYMBOLS = """
+ffa5 acptr ffc6 chkin ffc9 chkout ffcf chrin ffd2 chrout ffa8 ciout ff81 lint ffe7 clall ffc3 close ffcc clrchn
+ffe4 getin fff3 iobase ff84 ioinit ffb1 listen ffd5 load ff9c membot ff99 memtop ffc0 open fff0 plot ff87 ramtas
+ffde rdtim ffb7 readst ff8a restor ffd8 save ff9f scnkey ffed screen ff93 second ffba setlfs ff90 setmsg ffbd setnam
+ffdb settim ffa2 settmo ffe1 stop ffb4 talk ff96 tksa ffea udtim ffae unlsn ffab untlk ff8d vector
+"""
+
+
+def system_symbols(spark: SparkSession) -> DataFrame:
+    """addr, name of the c64's system entry points; other systems' symbols are a table of the user's."""
+    words = C64_SYMBOLS.split()
+    return spark.createDataFrame([(int(a, 16), n) for a, n in zip(words[::2], words[1::2], strict=True)], "addr int, name string")
+
+
+def symbol_usage(targets: DataFrame, symbols: DataFrame | None = None, by_blob: bool = False) -> DataFrame:
+    """Uses of the symbols (addr, name, ..; else system_symbols), a table of at most 65,536 addresses, and the number
+    of blobs with one; by_blob, the uses in each blob."""
+    symbols = system_symbols(targets.sparkSession) if symbols is None else symbols
     small = F.broadcast(symbols.select(F.col("addr").alias("target"), "name"))
-    return targets.where("mode != 'immediate'").join(small, "target").groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("blob_id").alias("blobs"))
+    used = targets.where("mode != 'immediate'").join(small, "target")
+    if by_blob:
+        return used.groupBy("blob_id", "name").agg(F.count("*").alias("uses"))
+    return used.groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("blob_id").alias("blobs"))

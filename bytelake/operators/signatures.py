@@ -191,14 +191,36 @@ def load_address_features(blobs: DataFrame) -> DataFrame:
 load_address_features.array = load_address_array
 
 
-def signature_report(found: DataFrame) -> DataFrame:
-    """Matches by the first part of their names: number and largest confidence, for each blob."""
+def signature_report(found: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """Matches by the first part of their names: number and largest confidence, for each blob, and for all (prefix
+    total). With blobs, also rows for their structure's values: the feature as prefix, the value as best."""
     prefix = F.element_at(F.split("name", "_"), 1)
-    return found.groupBy("blob_id", prefix.alias("prefix")).agg(F.count("*").alias("matched"), F.max("confidence").alias("best")).orderBy("blob_id", F.desc("best"), "prefix")
+    rows = found.withColumn("prefix", prefix)
+    sums = (F.count("*").alias("matched"), F.max("confidence").alias("best"))
+    out = rows.groupBy("blob_id", "prefix").agg(*sums).unionByName(rows.groupBy("blob_id").agg(*sums).withColumn("prefix", F.lit("total")))
+    if blobs is not None:
+        out = out.unionByName(structure_features(blobs).select("blob_id", F.col("feature").alias("prefix"), F.lit(None).cast("long").alias("matched"), F.col("value").alias("best")))
+    return out
+
+
+def judged_platforms(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
+    """blob_id, label, platform, correct: the dominant platform or, without one, the first part of the name of the
+    surest signature that matched (of equal ones the first) where that is a platform; correct if it is the label."""
+    found = matches(blobs, signatures)
+    best = dominant_platform(platform_scores(found)).select("blob_id", "platform")
+    first = F.element_at(F.split("name", "_"), 1)
+    other = found.groupBy("blob_id").agg(F.max_by(first, F.struct("confidence", -F.col("sig_idx"))).alias("named"))
+    other = other.where(F.col("named").isin(*catalogue.PLATFORMS))
+    rows = blobs.select("blob_id", "label").join(best, "blob_id", "left").join(other, "blob_id", "left").withColumn("platform", F.coalesce("platform", "named"))
+    return rows.select("blob_id", "label", "platform", F.coalesce(F.col("label") == F.col("platform"), F.lit(False)).alias("correct"))
+
+
+def misclassified(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
+    """blob_id, label, platform of blobs whose platform isn't their label."""
+    return judged_platforms(blobs, signatures).where("NOT correct").drop("correct")
 
 
 def signature_accuracy(blobs: DataFrame, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
-    """For each label, and for all (label null): blobs, correct ones and accuracy of the dominant platform."""
-    best = dominant_platform(platform_scores(matches(blobs, signatures)))
-    judged = blobs.select("blob_id", "label").join(best, "blob_id", "left").withColumn("right", F.coalesce(F.col("label") == F.col("platform"), F.lit(False)).cast("int"))
+    """For each label, and for all (label null): blobs, correct ones and accuracy of judged_platforms."""
+    judged = judged_platforms(blobs, signatures).withColumn("right", F.col("correct").cast("int"))
     return judged.rollup("label").agg(F.count("*").alias("total"), F.sum("right").alias("correct"), (F.sum("right") / F.count("*")).alias("accuracy"))

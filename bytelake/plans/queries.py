@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.functions import base64_decode, base64_encode, gram_key, hex_bytes
 from bytelake.operators import classifier, features, grams, hashing, inventory, machine, signatures, sniff, stats
-from bytelake.sources import blobs_from_column, filter_corpus, ok_ext
+from bytelake.sources import BLOBS, blobs_from_column, expand_zips, filter_corpus, hash_store, load_hashes, load_training_data, ok_ext, save_hashes, save_training_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,17 +105,17 @@ def content_hashes(spark, sf_dir):
 _ASKED = "a AS (SELECT DISTINCT md5(encode(text)) AS hash FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE lang = 'fr'))"
 
 
-@query(f"WITH {_ASKED}, d AS (SELECT md5(encode(text)) AS hash, CAST(doc_id AS VARCHAR) AS name FROM documents) SELECT a.hash, count(name) AS copies, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM a LEFT JOIN d ON a.hash = d.hash GROUP BY 1")
+@query(f"WITH {_ASKED}, d AS (SELECT md5(encode(text)) AS hash, CAST(doc_id AS VARCHAR) AS name FROM documents) SELECT a.hash, count(name) AS copies, coalesce(string_agg(name, ',' ORDER BY name), '') AS names, 'corpus' AS tags, 'syscorpus' AS authority FROM a LEFT JOIN d ON a.hash = d.hash GROUP BY 1")
 def find_by_hash(spark, sf_dir):
     docs = documents(spark, sf_dir)
     asked = blobs_from_column(table(spark, sf_dir, "benchmark"), "item_id", "text").unionByName(docs.where("label = 'fr'"))
-    found = hashing.find_by_hash(hashing.hash_table(docs), "md5", hashing.content_hashes(asked).select(F.col("md5").alias("hash")))
-    return found.select("hash", F.size("names").cast("long").alias("copies"), F.array_join("names", ",").alias("names"))
+    found = hashing.find_by_hash(hashing.hash_table(docs, ("md5",)), "md5", hashing.content_hashes(asked).select(F.col("md5").alias("hash")))
+    return found.select("hash", F.size("names").cast("long").alias("copies"), F.array_join("names", ",").alias("names"), F.array_join("tags", ",").alias("tags"), F.col("authority.id").alias("authority"))
 
 
-@query("SELECT sha1(encode(text)) AS hash, count(*) AS copies, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS names FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT * FROM (SELECT sha1(encode(text)) AS hash, count(*) OVER (PARTITION BY sha1(encode(text))) AS copies, CAST(doc_id AS VARCHAR) AS name FROM documents) WHERE copies > 1")
 def duplicate_groups(spark, sf_dir):
-    return hashing.duplicate_groups(hashing.hash_table(documents(spark, sf_dir))).withColumn("names", F.array_join("names", ","))
+    return hashing.duplicate_groups(hashing.hash_table(documents(spark, sf_dir), ("sha1",)))
 
 
 @query("SELECT conv_id, turn, base64(encode(text)) AS encoded, true AS round_trip FROM conversations")
@@ -195,11 +200,17 @@ def corpus_markov(spark, sf_dir):
     return stats.corpus_markov(documents(spark, sf_dir))
 
 
-@query(f"WITH {_BYTES}, n AS (SELECT blob_id, x, pos, lead(x) OVER (PARTITION BY blob_id ORDER BY pos) AS y FROM e), m AS (SELECT 0 AS r, x AS c FROM n WHERE pos = 0 UNION ALL SELECT 257, x FROM n WHERE y IS NULL UNION ALL SELECT 1 + CAST('0x' || x AS INTEGER), y FROM n WHERE y IS NOT NULL), t AS (SELECT r, c, count(*) AS cnt FROM m GROUP BY 1, 2) SELECT CAST(i AS INTEGER) AS row, coalesce(sum(cnt), 0)::BIGINT AS total, count(c) AS cells FROM range(258) q(i) LEFT JOIN t ON t.r = i GROUP BY 1")
+@query(f"WITH {_BYTES}, n AS (SELECT blob_id, x, pos, lead(x) OVER (PARTITION BY blob_id ORDER BY pos) AS y FROM e), m AS (SELECT 0 AS r, x AS c FROM n WHERE pos = 0 UNION ALL SELECT 257, x FROM n WHERE y IS NULL UNION ALL SELECT 1 + CAST('0x' || x AS INTEGER), y FROM n WHERE y IS NOT NULL), t AS (SELECT r, CAST('0x' || c AS INTEGER) AS c, count(*) AS cnt FROM m GROUP BY 1, 2), g AS (SELECT i, j, coalesce(cnt, 0) AS cnt FROM range(258) q(i) CROSS JOIN range(256) p(j) LEFT JOIN t ON t.r = i AND t.c = j) SELECT CAST(i AS INTEGER) AS row, string_agg(cnt, ',' ORDER BY j) AS counts FROM g GROUP BY 1")
 def markov_matrix(spark, sf_dir):
     matrix = stats.markov_matrix(stats.corpus_markov(documents(spark, sf_dir)))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return matrix.select("row", total.alias("total"), F.size(F.filter("counts", lambda x: x > 0)).cast("long").alias("cells"))
+    return matrix.select("row", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"))
+
+
+@query(f"WITH {_grams(2).replace('FROM documents', 'FROM (SELECT item_id AS doc_id, text FROM benchmark)')} SELECT blob_id, 65536 AS cells, count(*) AS filled, sum(cnt)::BIGINT AS total, sum(cnt * (256 * CAST('0x' || left(gram, 2) AS INTEGER) + CAST('0x' || right(gram, 2) AS INTEGER)))::BIGINT AS moment FROM c GROUP BY 1")
+def bigram_grid(spark, sf_dir):
+    grid = stats.bigram_grid(blobs_from_column(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    place = (256 * F.col("first") + F.col("second")).cast("long")
+    return grid.groupBy("blob_id").agg(F.count("*").alias("cells"), F.count(F.when(F.col("cnt") > 0, 1)).alias("filled"), F.sum("cnt").alias("total"), F.sum(F.col("cnt") * place).alias("moment"))
 
 
 @query(f"WITH {_grams(3)} SELECT blob_id, sum(cnt)::BIGINT AS total, count(*) AS distinct_grams, min(cnt) AS min_count, max(cnt) AS max_count FROM c GROUP BY 1")
@@ -357,13 +368,13 @@ def program_blobs(spark, sf_dir):
     start = F.get(F.array(*map(F.lit, _STARTS)), (F.col("doc_id") % len(_STARTS)).cast("int"))
     link = (F.col("doc_id") * 7) % 300
     content = F.concat(word(start), word(link), F.encode("text", "UTF-8"))
-    return blobs_from_column(d.select("doc_id", content.alias("content"), F.concat(F.lit("p"), F.col("doc_id") % 3).alias("kind")), "doc_id", "content", "kind")
+    return blobs_from_column(d.select("doc_id", content.alias("content"), F.get(F.array(F.lit("c64"), F.lit("vic20"), F.lit("msx")), (F.col("doc_id") % 3).cast("int")).alias("kind")), "doc_id", "content", "kind")
 
 
 _STARTS = (0x0801, 0x1001, 0x0401, 0xA000, 0x2000, 0x4241, 0xFFFF, 0x804C)
 _LE = lambda v: f"printf('%02X%02X', ({v}) % 256, ({v}) // 256 % 256)"
 _START = f"(CAST({list(_STARTS)}[doc_id % {len(_STARTS)} + 1] AS BIGINT))"
-_PROGRAMS = f"h AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, {_LE(_START)} || {_LE('doc_id * 7 % 300')} || hex(encode(text)) AS x, 4 + octet_length(encode(text)) AS n, 'p' || (doc_id % 3) AS label FROM documents)"
+_PROGRAMS = f"h AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, {_LE(_START)} || {_LE('doc_id * 7 % 300')} || hex(encode(text)) AS x, 4 + octet_length(encode(text)) AS n, ['c64', 'vic20', 'msx'][doc_id % 3 + 1] AS label FROM documents)"
 
 
 @query(six(_enhanced_sql(_PROGRAMS)))
@@ -371,6 +382,109 @@ def program_signature_features(spark, sf_dir):
     return rounded(signatures.enhanced_signature_features(program_blobs(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
 
+_PLATFORM = f"""WITH {_PROGRAMS}, m AS (SELECT blob_id, label, {", ".join(f"{_match(s)} AS m{i}" for i, s in enumerate(signatures.ENHANCED))} FROM h),
+l AS (SELECT blob_id, label, unnest([{", ".join(f"m{i}" for i in range(len(signatures.ENHANCED)))}]) AS hit, unnest(range({len(signatures.ENHANCED)})) AS idx,
+  unnest({[s.name for s in signatures.ENHANCED]}) AS name, unnest({[s.platform or "" for s in signatures.ENHANCED]}) AS platform, unnest({[s.confidence for s in signatures.ENHANCED]}) AS conf FROM m),
+f AS (SELECT * FROM l WHERE hit = 1),
+p AS (SELECT blob_id, platform, sum(conf::DOUBLE) AS score, min(idx) AS first FROM f WHERE platform <> '' GROUP BY 1, 2),
+b AS (SELECT blob_id, arg_max(platform, round(score, 9) * 1e6 - first) AS platform FROM p GROUP BY 1),
+o AS (SELECT blob_id, arg_max(split_part(name, '_', 1), conf::DOUBLE * 1e6 - idx) AS named FROM f GROUP BY 1),
+j AS (SELECT h.blob_id, h.label, coalesce(b.platform, CASE WHEN o.named IN {signatures.catalogue.PLATFORMS} THEN o.named END) AS platform FROM h LEFT JOIN b USING (blob_id) LEFT JOIN o USING (blob_id))"""
+
+
+@query(f"{_PLATFORM} SELECT label, count(*) AS total, sum(coalesce(label = platform, false)::INTEGER)::BIGINT AS correct, avg(coalesce(label = platform, false)::INTEGER) AS accuracy FROM j GROUP BY ROLLUP (label)")
+def signature_accuracy(spark, sf_dir):
+    return signatures.signature_accuracy(program_blobs(spark, sf_dir))
+
+
+@query(f"{_PLATFORM} SELECT blob_id, label, platform FROM j WHERE NOT coalesce(label = platform, false)")
+def misclassified(spark, sf_dir):
+    return signatures.misclassified(program_blobs(spark, sf_dir))
+
+
+@query(f"{_PLATFORM} SELECT blob_id, coalesce(split_part(name, '_', 1), 'total') AS prefix, count(*) AS matched, max(conf)::DOUBLE AS best FROM f GROUP BY GROUPING SETS ((blob_id, split_part(name, '_', 1)), (blob_id))")
+def signature_report(spark, sf_dir):
+    return signatures.signature_report(signatures.matches(program_blobs(spark, sf_dir)))
+
+
+_CONFIG = "CASE " + " ".join(f"WHEN {_word(0)} = {a} THEN '{n}'" for n, a in sniff.CONFIGURATIONS) + " END"
+
+
+@query(f"WITH {_PROGRAMS} SELECT blob_id, {_CONFIG} AS config, (CASE WHEN substr(x, 13, 10) = '{sniff.C64_CART.hex().upper()}' THEN 3.0 ELSE 0.3 END)::DOUBLE AS cart, (CASE WHEN left(x, 4) = '00A0' THEN 2.0 ELSE 0.5 END * CASE WHEN ends_with(blob_id, '.prg') THEN 1.5 ELSE 0.9 END)::DOUBLE AS prg FROM h")
+def sniffer_parts(spark, sf_dir):
+    """The memory configuration, a cartridge's and a code base's score of each program."""
+    return program_blobs(spark, sf_dir).select("blob_id", sniff.guess_memory_config().alias("config"), sniff.cart_score(sniff.C64_CART).alias("cart"), sniff.prefix_ext_score(bytes.fromhex("00A0"), "prg").alias("prg"))
+
+
+_OPCODES = machine.opcodes()
+_OP = "op(opcode, mnemonic, mode, size, category, semantics) AS (VALUES " + ", ".join(f"({k}, '{m}', '{mode}', {n}, '{c}', '{' '.join(sem)}')" for k, (m, mode, n, c, sem) in sorted(_OPCODES.items())) + ")"
+
+
+@query(f"WITH {_OP} SELECT opcode, mnemonic, mode, size AS bytes, category, semantics FROM op WHERE opcode IN (SELECT DISTINCT CAST('0x' || x AS INTEGER) FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents))")
+def opcodes_in_texts(spark, sf_dir):
+    """The opcode dimension, as far as bytes of the documents are opcodes."""
+    seen = stats.byte_counts(documents(spark, sf_dir)).select(F.col("byte").alias("opcode")).distinct()
+    return machine.opcode_dim(spark).join(seen, "opcode", "left_semi").withColumn("semantics", F.array_join("semantics", " "))
+
+
+def turn_programs(spark, sf_dir):
+    """Bytes of each conversation's turn behind a load address by its number: short programs, for a sweep."""
+    rows = table(spark, sf_dir, "conversations")
+    start = 0x2000 + (F.col("conv_id") * 37 + F.col("turn")) % 0x3000
+    word = F.concat(*[F.unhex(F.lpad(F.hex(v), 2, "0")) for v in (start % 256, F.floor(start / 256))])
+    return blobs_from_column(rows.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.concat(word, F.encode("text", "UTF-8")).alias("content")), "id", "content")
+
+
+# Steps of the sweep in DuckDB: a row for each instruction or data run, data runs in parts of 64 bytes.
+_SWEEP = f"""WITH RECURSIVE {_OP}, t AS (SELECT conv_id || '_' || turn AS blob_id, 8192 + (conv_id * 37 + turn) % 12288 AS base, hex(encode(text)) AS y, 2 + octet_length(encode(text)) AS n FROM conversations),
+h AS (SELECT blob_id, base, n, printf('%02X%02X', base % 256, base // 256) || y AS x FROM t),
+sz AS (SELECT h.blob_id, string_agg(coalesce(op.size, 0), '' ORDER BY p) AS s FROM (SELECT blob_id, x, unnest(range(n)) AS p FROM h) h LEFT JOIN op ON op.opcode = {_byte("p")} GROUP BY 1),
+k AS (SELECT h.*, s FROM h JOIN sz USING (blob_id)),
+r AS (SELECT blob_id, 2::BIGINT AS pos, 0::BIGINT AS run FROM k WHERE n > 2
+  UNION ALL SELECT blob_id, CASE WHEN size > 0 AND pos + size <= n THEN pos + size WHEN size > 0 THEN pos + 1 ELSE pos + illegal END, CASE WHEN size = 0 AND illegal = 64 THEN 1 ELSE 0 END
+  FROM (SELECT r.blob_id, pos, n, substr(s, pos + 1, 1)::INTEGER AS size, length(regexp_extract(substr(s, pos + 1, 64), '^0+')) AS illegal FROM r JOIN k USING (blob_id) WHERE pos < n) WHERE CASE WHEN size > 0 THEN pos + 1 ELSE pos + illegal END < n AND CASE WHEN size > 0 AND pos + size <= n THEN pos + size ELSE pos + 1 END < n),
+i AS (SELECT r.blob_id, base, n, base + pos - 2 AS addr, pos, substr(s, pos + 1, 1)::INTEGER AS size, run, {_byte("pos")} AS byte, CASE WHEN pos + 1 < n THEN {_byte("pos + 1")} ELSE 0 END AS low, CASE WHEN pos + 2 < n THEN {_byte("pos + 2")} ELSE 0 END AS high
+  FROM r JOIN k USING (blob_id)),
+c AS (SELECT i.blob_id, base, n, addr, pos, op.*, CASE WHEN i.size > 1 THEN low + CASE WHEN i.size > 2 THEN 256 * high ELSE 0 END END AS operand FROM i JOIN op ON op.opcode = i.byte WHERE pos + i.size <= n),
+d AS (SELECT blob_id FROM i WHERE (size > 0 AND pos + size > n) OR (size = 0 AND run = 0)),
+g AS (SELECT *, CASE WHEN mode = 'relative' THEN addr + size + CASE WHEN operand > 127 THEN operand - 256 ELSE operand END WHEN mode IN ('absolute', 'immediate', 'zeropage') THEN operand END AS target FROM c)"""
+
+
+@query(f"{_SWEEP} SELECT blob_id, category, mnemonic, count(*) AS rows FROM (SELECT blob_id, category, mnemonic FROM c UNION ALL SELECT blob_id, 'data', 'data' FROM d) GROUP BY GROUPING SETS ((blob_id, category, mnemonic), (blob_id, category), (blob_id))")
+def instruction_mix(spark, sf_dir):
+    return machine.instruction_mix(machine.instruction_table(turn_programs(spark, sf_dir)))
+
+
+@query(f"{_SWEEP} SELECT blob_id, addr::INTEGER AS addr, pos::INTEGER AS offset, size AS len, opcode, operand FROM c")
+def instruction_table(spark, sf_dir):
+    return machine.instruction_table(turn_programs(spark, sf_dir)).where("kind = 'code'").drop("kind")
+
+
+@query(f"{_SWEEP} SELECT blob_id, addr::INTEGER AS addr, mnemonic, target::INTEGER AS target FROM g")
+def operand_targets(spark, sf_dir):
+    return machine.operand_targets(machine.instruction_table(turn_programs(spark, sf_dir))).select("blob_id", "addr", "mnemonic", "target")
+
+
+@query(f"{_SWEEP} SELECT DISTINCT blob_id, addr::INTEGER AS addr, mnemonic, target::INTEGER AS target FROM g WHERE (contains(semantics, 'conditional_jump') OR contains(semantics, 'unconditional_jump')) AND target >= base AND target < base + n - 2")
+def jump_targets(spark, sf_dir):
+    blobs = turn_programs(spark, sf_dir)
+    return machine.jump_targets(machine.operand_targets(machine.instruction_table(blobs)), blobs)
+
+
+@query(f"{_SWEEP}, q AS (SELECT *, contains(semantics, 'memory_read') AS rd, contains(semantics, 'memory_write') AS wr FROM g WHERE mode NOT IN ('immediate', 'relative') AND category <> 'st' AND target IS NOT NULL) SELECT blob_id, count(DISTINCT CASE WHEN rd THEN target END) AS addresses_read, count(DISTINCT CASE WHEN wr THEN target END) AS addresses_written, count(DISTINCT CASE WHEN target >= base AND target < base + n - 2 THEN target END) AS addresses_inside FROM q WHERE rd OR wr GROUP BY 1")
+def static_memory_refs(spark, sf_dir):
+    blobs = turn_programs(spark, sf_dir)
+    return machine.static_memory_refs(machine.operand_targets(machine.instruction_table(blobs)), blobs)
+
+
+@query(f"{_SWEEP} SELECT m.name, count(*) AS uses, count(DISTINCT blob_id) AS blobs FROM g JOIN (SELECT DISTINCT CAST('0x' || hex(encode(substr(text, 1, 2))) AS INTEGER) AS addr, 's' || hex(encode(substr(text, 1, 2))) AS name FROM benchmark) m ON g.target = m.addr WHERE mode <> 'immediate' GROUP BY 1")
+def symbol_usage(spark, sf_dir):
+    """Symbols are the addresses that the benchmark's first two bytes make."""
+    first = F.hex(F.encode(F.substring("text", 1, 2), "UTF-8"))
+    symbols = table(spark, sf_dir, "benchmark").select(F.conv(first, 16, 10).cast("int").alias("addr"), F.concat(F.lit("s"), first).alias("name")).distinct()
+    return machine.symbol_usage(machine.operand_targets(machine.instruction_table(turn_programs(spark, sf_dir))), symbols)
+
+
 def _ngram_sql(n: int, k: int, strategy: str) -> str:
     score, norm = ("cnt::DOUBLE", "cnt / total") if strategy == "frequency" else ("-(cnt / total) * log2(cnt / total) + 0.0", "CASE WHEN total > 1 THEN score / log2(total) ELSE 0 END + 0.0")
     return f"""WITH {_grams(n)}, s AS (SELECT *, {score} AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s),
@@ -464,9 +578,58 @@ def ranked_scores(spark, sf_dir):
     return rounded(classifier.ranked_scores(scores(spark, sf_dir)[0]), "score")
 
 
-@query(f"WITH {_VECTORS} SELECT blob_id, predicted, floor((score) * 1e6 + 0.5) / 1e6 AS confidence FROM pr")
+_PREDICTED = f"WITH {_VECTORS}, a AS (SELECT blob_id, string_agg(label || ':' || CAST(floor(score * 1e6 + 0.5) AS BIGINT), ',' ORDER BY label) AS all_scores FROM ss GROUP BY 1) SELECT blob_id, predicted, floor((score) * 1e6 + 0.5) / 1e6 AS confidence, all_scores FROM pr JOIN a USING (blob_id)"
+
+
+def predictions(scored: DataFrame) -> DataFrame:
+    one = lambda e: F.concat(e["key"], F.lit(":"), F.floor(e["value"] * 1e6 + 0.5).cast("string"))
+    return rounded(classifier.predict(scored).withColumn("all_scores", F.array_join(F.transform(F.map_entries("all_scores"), one), ",")), "confidence")
+
+
+@query(_PREDICTED)
 def predict(spark, sf_dir):
-    return rounded(classifier.predict(scores(spark, sf_dir)[0]).drop("all_scores"), "confidence")
+    return predictions(scores(spark, sf_dir)[0])
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, or in a temporary one where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='bytelake-')}/queries/{uuid.uuid4().hex}"
+
+
+@query(_PREDICTED)
+def predict_by_saved_model(spark, sf_dir):
+    """Training data and model are written and read back."""
+    root = scratch(spark)
+    save_training_data(*vector_features(spark, sf_dir), f"{root}/data")
+    feats, labels = load_training_data(spark, f"{root}/data")
+    classifier.train_ensemble(feats, labels).save(f"{root}/model")
+    return predictions(classifier.class_scores(feats, labels, classifier.Model.load(spark, f"{root}/model")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, unnest(['sha1', 'md5']) AS algo, unnest([sha1(encode(text)), md5(encode(text))]) AS hash FROM documents")
+def saved_hashes(spark, sf_dir):
+    """The store is written by the first call and read by the second; its text form is read back."""
+    root, docs = scratch(spark), documents(spark, sf_dir)
+    hash_store(docs, root)
+    save_hashes(hash_store(docs, root), f"{root}/copy", text=True)
+    return load_hashes(spark, f"{root}/copy/text/sha1", "sha1")[0].unionByName(load_hashes(spark, f"{root}/copy/text/md5", "md5")[0])
+
+
+def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
+            z.writestr(f"in/{name}.txt", bytes(content))
+    name = f"a{pdf['box'].iloc[0]}.zip"
+    return pd.DataFrame([(name, name, name, len(out.getvalue()), out.getvalue(), None)], columns=["blob_id", "name", "path", "length", "content", "label"])
+
+
+@query("SELECT 'a' || (doc_id // 10) || '.zip#in/' || doc_id || '.txt' AS path, doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length, md5(encode(text)) AS md5 FROM documents")
+def zip_entries(spark, sf_dir):
+    """Archives of ten documents each, made by Spark, and their entries."""
+    rows = documents(spark, sf_dir).withColumn("box", F.floor(F.col("blob_id").cast("long") / 10))
+    zips = rows.groupBy("box").applyInPandas(zipped, BLOBS)
+    return expand_zips(zips).select("path", "name", "length", F.md5("content").alias("md5"))
 
 
 def judged(spark, sf_dir):
@@ -513,10 +676,5 @@ def file_types(spark, sf_dir):
     return rounded(sniff.classify_type(sniff.sniffer_scores(pages_as_blobs(spark, sf_dir))), "score")
 
 
-@query(None)
-def instruction_mix(spark, sf_dir):
-    return machine.instruction_mix(machine.instruction_table(pages_as_blobs(spark, sf_dir))).where("mnemonic IS NOT NULL")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_ngrams(spark, sf_dir)

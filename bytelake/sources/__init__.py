@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import zipfile
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALGORITHMS = ("sha1", "md5", "crc32")
@@ -49,9 +51,9 @@ def read_labelled(spark: SparkSession, root: str, dedupe_ids: bool = False) -> D
     blobs = files.select(F.col("path").alias("blob_id"), "name", "path", "length", "content", label.alias("label")).where("label != ''")
     if not dedupe_ids:
         return blobs
-    last = Window.partitionBy("blob_id").orderBy(F.desc("path"))
-    ids = blobs.select(F.concat_ws("_", "label", "name").alias("blob_id"), "path").withColumn("r", F.row_number().over(last)).where("r = 1")
-    return blobs.drop("blob_id").join(ids.select("blob_id", "path"), "path").select("blob_id", "name", "path", "length", "content", "label")
+    ids = blobs.groupBy(F.concat_ws("_", "label", "name").alias("id")).agg(F.max("path").alias("last"))  # paths only
+    kept = blobs.join(ids.select("id", F.col("last").alias("path")), "path")
+    return kept.select(F.col("id").alias("blob_id"), "name", "path", "length", "content", "label")
 
 
 def blobs_from_column(df: DataFrame, id_col: str, content_col: str, label_col: str | None = None, name_col: str | None = None) -> DataFrame:
@@ -64,9 +66,9 @@ def blobs_from_column(df: DataFrame, id_col: str, content_col: str, label_col: s
     return df.select(key.alias("blob_id"), name.alias("name"), name.alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"), label.alias("label"))
 
 
-def expand_zips(blobs: DataFrame, max_entry: int = 8 << 20) -> DataFrame:
+def expand_zips(blobs: DataFrame, max_entry: int | None = None) -> DataFrame:
     """Blobs, with each .zip replaced by its entries (path zip#inner). Directories, entries larger than max_entry
-    and archives that can't be read give no rows; archives inside archives stay as they are."""
+    (none by default), archives and entries that can't be read give no rows; archives inside archives stay as they are."""
     is_zip = F.lower("name").endswith(".zip")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,12 +77,16 @@ def expand_zips(blobs: DataFrame, max_entry: int = 8 << 20) -> DataFrame:
             for r in pdf.itertuples():
                 try:
                     z = zipfile.ZipFile(BytesIO(bytes(r.content)))
-                    for e in z.infolist():
-                        if not e.is_dir() and e.file_size <= max_entry:
-                            data = z.read(e)
-                            rows.append((f"{r.blob_id}#{e.filename}", e.filename.rpartition("/")[2], f"{r.path}#{e.filename}", len(data), data, r.label))
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
+                except (zipfile.BadZipFile, EOFError):
                     continue
+                for e in z.infolist():
+                    if e.is_dir() or max_entry is not None and e.file_size > max_entry:
+                        continue
+                    try:
+                        data = z.read(e)
+                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+                        continue
+                    rows.append((f"{r.blob_id}#{e.filename}", e.filename.rpartition("/")[2], f"{r.path}#{e.filename}", len(data), data, r.label))
             yield pd.DataFrame(rows, columns=["blob_id", "name", "path", "length", "content", "label"])
 
     return blobs.where(~is_zip | is_zip.isNull()).unionByName(blobs.where(is_zip).mapInPandas(entries, BLOBS))
@@ -94,7 +100,7 @@ def save_hashes(hashes: DataFrame, root: str, text: bool = False) -> None:
     spark = hashes.sparkSession
     for algo in ALGORITHMS:
         own = hashes.where(F.col("algo") == algo)
-        head = ["# warning: generated file, changes will be lost", "# generated by: bytelake", f"# algorithm: {algo}", f"# count: {own.count()}", "# version: 2"]
+        head = ["# warning: generated file, changes will be lost", "# generated by: bytelake", f"# algorithm: {algo}", f"# count: {own.count()}", f"# timestamp: {datetime.now(UTC).isoformat(timespec='seconds')}", "# version: 2"]
         lines = spark.createDataFrame([(h,) for h in head], "value string").coalesce(1)
         lines.unionByName(own.select(F.concat_ws(" ", "hash", "name").alias("value"))).write.mode("overwrite").text(f"{root}/text/{algo}")
 

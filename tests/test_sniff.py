@@ -1,5 +1,6 @@
 """BASIC, stubs, cartridges and instruction tables on literal bytes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +59,7 @@ def test_file_types(spark):
 def test_opcodes_and_sweep(spark):
     ops = machine.opcodes()
     assert len(ops) == 151 and [ops[k][0] for k in (0xEA, 0x48, 0xE8, 0x69)] == ["NOP", "PHA", "INX", "ADD"]
-    sizes = {k: v[2] for k, v in ops.items()}
-    assert machine.sweep(bytes.fromhex("00104C0265"), sizes) == [(0x1000, 2, 3, 0x4C, 0x6502, "code")]
+    assert swept("00104C0265") == [(0x1000, 2, 3, 0x4C, 0x6502)]
     some = blobs(spark, [bytes.fromhex("0010D0FE8D0090AD0010604C0510")])
     table = machine.instruction_table(some)
     targets = machine.operand_targets(table)
@@ -73,5 +73,35 @@ def test_opcodes_and_sweep(spark):
     assert mix.where(F.col("category").isNull()).first()["rows"] == 5
 
 
-def test_first_error_of_sweep():
-    assert machine.sweep(b"", {}) == [] and machine.sweep(b"\0\x10\x02\x03", {}) == [(0x1000, 2, 2, None, None, "data")]
+def swept(raw, entries=(), data=()):
+    got = machine.sweep(bytes.fromhex(raw), machine.sizes_table(), np.array(sorted(entries), np.int64), data)
+    return list(zip(*(got[c].tolist() for c in ("addr", "offset", "len", "opcode", "operand")), strict=True))
+
+
+def test_sweep_of_odd_content():
+    assert swept("") == swept("0010") == []
+    assert swept("00100203") == [(0x1000, 2, 2, -1, -1)]  # a run without opcodes
+    assert swept("00104C02") == [(0x1000, 2, 1, -1, -1), (0x1001, 3, 1, -1, -1)]  # no room for the operand
+    assert swept("0010EA4C0001EA", {0x1003}) == [(0x1000, 2, 1, 0xEA, -1), (0x1001, 3, 1, -1, -1), (0x1002, 4, 1, 0x00, -1), (0x1003, 5, 2, 0x01, 0xEA)]
+    assert swept("00100202EA02", {0x1001}) == [(0x1000, 2, 1, -1, -1), (0x1001, 3, 1, -1, -1), (0x1002, 4, 1, 0xEA, -1), (0x1003, 5, 1, -1, -1)]
+    assert swept("0010EAEAEAEA", data=((0x1001, 0x1003),)) == [(0x1000, 2, 1, 0xEA, -1), (0x1001, 3, 2, -1, -1), (0x1003, 5, 1, 0xEA, -1)]
+    assert swept("00104CEAEAEA", data=((0x1002, 0x1003),))[0] == (0x1000, 2, 1, -1, -1)  # a span cuts it short
+
+
+def test_sweep_step_by_step():
+    """Against a walk from byte to byte."""
+    rng, sizes = np.random.default_rng(1), machine.sizes_table()
+    for _ in range(200):
+        raw = bytes(rng.integers(0, 256, rng.integers(0, 90), dtype=np.uint8))
+        want, i = [], 2
+        while i < len(raw):
+            n = int(sizes[raw[i]])
+            if n and i + n <= len(raw):
+                want.append((i, n, True))
+            else:
+                j = i + 1
+                while not n and j < len(raw) and not sizes[raw[j]]:
+                    j += 1
+                want.append((i, j - i, False))
+            i += want[-1][1]
+        assert [(o, n, k >= 0) for _, o, n, k, _ in swept(raw.hex())] == want
