@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +78,7 @@ def _bytes(mode: str) -> int:
     return 3 if mode.startswith("absolute") or mode == "indirect" else 1 if mode in ("implied", "accumulator") else 2
 
 
+@functools.cache
 def opcodes() -> dict[int, tuple[str, str, int, str, list[str]]]:
     """opcode -> mnemonic, mode, bytes, category, semantics."""
     found = {}

@@ -568,8 +568,11 @@ def fit_centroids(spark, sf_dir):
 
 
 def scores(spark, sf_dir):
+    """The model is written and read back, so that it is trained once and its size is known to the joins."""
     feats, labels = vector_features(spark, sf_dir)
-    model = classifier.train_ensemble(feats, labels)
+    root = scratch(spark)
+    classifier.train_ensemble(feats, labels).save(root)
+    model = classifier.Model.load(spark, root)
     return classifier.class_scores(feats, labels, model), labels, model
 
 
