@@ -113,10 +113,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """
     spark = vectors.sparkSession
     e = F.col(embedding)
-    double = isinstance(vectors.schema[embedding].dataType.elementType, T.DoubleType)
+    double = not isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)  # floats stay, all else is compared as it is
     width = "<f8" if double else "<f4"
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("k"), F.col(label).cast("string").alias("label"), (e if double else e.cast("array<float>")).alias("vec"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("k"), F.col(label).cast("string").alias("label"), e.cast("array<double>" if double else "array<float>").alias("vec"))
     rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec"), "dim": F.coalesce(F.size("vec"), F.lit(-1))})
     fit = F.coalesce(F.col("k").isNotNull() & F.col("label").isNotNull() & (F.col("dim") > 0) & ~bad & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("fit", fit)
