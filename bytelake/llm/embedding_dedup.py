@@ -146,3 +146,14 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         component.alias("component_id"),
         F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"),
     )
+
+
+#: The rows of near_vectors over embeddings, by all pairs of a label.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+u AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, coalesce(any_value(k), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY vec_id
+"""

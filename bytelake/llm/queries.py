@@ -68,4 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": embedding_dedup.SQL,
+    "op8_ngram_jaccard_join": jaccard_join.SQL,
+    "op9_url_filter": url_filter.SQL,
+}
