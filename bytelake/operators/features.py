@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +22,28 @@ def ngram_extractor(n: int, k: int, strategy: str = "frequency", frequencies: Da
     if strategy not in ("frequency", "entropy", "tfidf"):
         raise ValueError(f"unknown strategy: {strategy}")
 
-    def values(raw: bytes) -> tuple[list[str], list[float]]:
-        u, c, first = grams.counted(raw, n)
-        if not len(u):
+    names = ["ngram_total_count", "ngram_unique_count", "ngram_diversity", "ngram_distribution"]
+
+    def values(b: np.ndarray, k: int = k, strategy: str = strategy) -> tuple[list[str], list[float]]:
+        total = len(b) - n + 1
+        if total <= 0:
             return [], []
-        total, (best, score, norm) = c.sum(), grams.ranked(u, c, first, k, strategy)
-        names = ["ngram_total_count", "ngram_unique_count", "ngram_diversity", "ngram_distribution"]
-        out = [float(total), float(len(u)), len(u) / total, float(((c / total) ** 2).sum())]
-        for g, x, y in zip(u[best].tolist(), score.tolist(), norm.tolist(), strict=True):
-            key = "ngram_" + g.to_bytes(n, "big").hex("_")
-            names += [key, f"{key}_norm"]
+        (_, _, first), score, norm, distinct, squares = grams.best_of(b, n, k, strategy)
+        found, out = list(names), [float(total), float(distinct), distinct / total, squares]
+        for i, x, y in zip(first.tolist(), score.tolist(), norm.tolist(), strict=True):
+            key = "ngram_" + b[i : i + n].tobytes().hex("_")
+            found += [key, f"{key}_norm"]
             out += [x, y]
-        return names, out
+        return found, out
 
     def extract(blobs: DataFrame) -> DataFrame:
         if strategy != "tfidf":
             return stats.feature_rows(blobs, [(0, values)]).drop("extractor_idx")
-        counts = grams.gram_counts(blobs, n)
-        names = ["ngram_total_count", "ngram_unique_count", "ngram_diversity", "ngram_distribution"]
-        head = grams.ngram_summary(counts).select("blob_id", F.expr("stack(4, " + ", ".join(f"{i}, '{c}', {c}" for i, c in enumerate(names)) + ") AS (emit_idx, feature, value)"))
-        best = grams.select_tfidf(counts, frequencies, documents, k)
+        head = stats.feature_rows(blobs, [(0, lambda b: values(b, 0, "frequency"))]).drop("extractor_idx")
+        if frequencies is None:
+            best = grams.best_grams(blobs, n, k)
+        else:
+            best = grams.best_tfidf(blobs, frequencies, n, k, documents or None)
         return head.unionByName(best.select("blob_id", (3 + F.col("rank")).cast("int").alias("emit_idx"), F.concat(F.lit("ngram_"), gram_key("packed", n)).alias("feature"), F.col("score").alias("value")))
 
     extract.__name__ = f"ngram({n}, {k}, {strategy})"
@@ -58,11 +61,12 @@ class FeaturePipeline:
     def add(self, extractor: Extractor) -> FeaturePipeline:
         return FeaturePipeline([*self.extractors, extractor])
 
-    def extract(self, blobs: DataFrame) -> DataFrame:
-        """blob_id, extractor_idx, emit_idx, feature, value of all extractors.
+    def extract(self, blobs: DataFrame, last: bool = False) -> DataFrame:
+        """blob_id, extractor_idx, emit_idx, feature, value of all extractors; with last, only the last value of a name.
 
-        Those that have `values` (a function of a blob's bytes) share one pass of a helper, those that have `array` (a
-        column of rows) one projection; content is read twice at most, and nothing is shuffled. Others run by themselves.
+        Those that have `values` (a function of a blob's bytes) share one pass of a helper, to which those that have
+        `array` (a column of rows) give theirs: content is read once, and the last value of a name is known where the blob
+        is read. Others run by themselves; only with them does last need a shuffle.
         """
         if not self.extractors:
             raise ValueError("a pipeline needs an extractor")
@@ -74,15 +78,17 @@ class FeaturePipeline:
                 arrays.append((i, f.array))
             else:
                 parts.append(f(blobs).select("blob_id", F.lit(i).alias("extractor_idx"), F.col("emit_idx").cast("int").alias("emit_idx"), "feature", F.col("value").cast("double").alias("value")))
-        if helped:
-            parts.append(stats.feature_rows(blobs, helped))
         if arrays:
             rows = blobs.select("blob_id", "length", "content")
             for i, f in arrays:
                 rows = f(rows, f"_rows{i}")
-            all_rows = F.concat(*[F.transform(f"_rows{i}", lambda r, i=i: F.struct(F.lit(i).alias("extractor_idx"), r["emit_idx"].alias("emit_idx"), r["feature"].alias("feature"), r["value"].alias("value"))) for i, _ in arrays])
-            parts.append(rows.select("blob_id", F.inline_outer(all_rows)))
-        return functools.reduce(DataFrame.unionByName, parts)
+            all_rows = F.concat(*[F.transform(f"_rows{i}", lambda r, i=i: F.struct(F.lit(i).alias("extractor_idx"), r["emit_idx"].cast("int").alias("emit_idx"), r["feature"].alias("feature"), r["value"].cast("double").alias("value"))) for i, _ in arrays])
+            rows = rows.select("blob_id", "content", all_rows.alias("_rows"))
+            parts.append(stats.feature_rows(rows, helped, last, "_rows") if helped or last else rows.select("blob_id", F.inline_outer("_rows")))
+        elif helped:
+            parts.append(stats.feature_rows(blobs, helped, last))
+        rows = functools.reduce(DataFrame.unionByName, parts)
+        return resolved(rows) if last and len(parts) > 1 else rows
 
     def describe(self) -> str:
         return "\n".join(f"{i + 1}. {f.__name__}" for i, f in enumerate(self.extractors))
@@ -104,8 +110,15 @@ def preset(name: str = "default") -> FeaturePipeline:
     return FeaturePipeline(list(presets.get(name, presets["full"])))
 
 
+def resolved(features: DataFrame) -> DataFrame:
+    """Of the rows of each blob and feature the one emitted last."""
+    best = F.max_by(F.struct("extractor_idx", "emit_idx", "value"), F.struct("extractor_idx", "emit_idx"))
+    return features.groupBy("blob_id", "feature").agg(best.alias("r")).select("blob_id", "r.extractor_idx", "r.emit_idx", "feature", "r.value")
+
+
 def resolve_features(features: DataFrame) -> DataFrame:
-    """One value for each blob and feature: the one emitted last."""
+    """One value for each blob and feature, the one emitted last, from rows of any pipeline. Where a pipeline is at hand,
+    its extract(blobs, last=True) gives them without a shuffle."""
     return features.groupBy("blob_id", "feature").agg(F.max_by("value", F.struct("extractor_idx", "emit_idx")).alias("value"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.operators.grams import counted, gram_counts
+from bytelake.operators.grams import CHUNK, ROWS, content_of, counted, gram_counts
 
 # The sizes, in KiB, that lengths are measured against.
 LENGTHS_K = (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
@@ -25,15 +25,21 @@ def entropy(counts: np.ndarray) -> np.ndarray:
     return -np.sum(p * np.log2(np.where(p > 0, p, 1)), -1) + 0.0
 
 
+def byte_histogram(b: np.ndarray) -> np.ndarray:
+    """How often each of the 256 bytes occurs, a chunk at a time."""
+    return sum((np.bincount(b[i : i + CHUNK], minlength=256) for i in range(0, len(b), CHUNK)), np.zeros(256, np.int64))
+
+
 def window_entropies(b: np.ndarray, window: int) -> np.ndarray:
-    """Entropies of windows from the start; the last counts if it has half a window or more."""
+    """Entropies of windows from the start; the last counts if it has half a window or more. Some windows at a time."""
     full = len(b) // window
     n = full + (0 < len(b) - full * window >= window / 2)
-    if not n:
-        return np.empty(0)
-    which = np.minimum(np.arange(len(b)) // window, n)
-    counts = np.bincount(which * 256 + b, minlength=(n + 1) * 256)[: n * 256].reshape(n, 256)
-    return entropy(counts)
+    step, out = max(1, CHUNK // window), [np.empty(0)]
+    for i in range(0, n, step):
+        some = b[i * window : min(i + step, n) * window].astype(np.int64)
+        k = min(step, n - i)
+        out.append(entropy(np.bincount(np.arange(len(some)) // window * 256 + some, minlength=k * 256).reshape(k, 256)))
+    return np.concatenate(out)
 
 
 def byte_counts(blobs: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def histogram(blobs: DataFrame, nonfinite: str = "keep") -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            counts = [np.bincount(np.frombuffer(x or b"", np.uint8), minlength=256) for x in rb.column(1).to_pylist()]
+            counts = [byte_histogram(b) for b in content_of(rb)]
             flat = np.concatenate(counts) if counts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 256, dtype=np.int32), flat.astype(np.int64))], ["blob_id", "counts"])
 
@@ -60,41 +66,50 @@ def histogram(blobs: DataFrame, nonfinite: str = "keep") -> DataFrame:
     return rows.select("blob_id", "total", F.posexplode_outer("counts").alias("emit_idx", "c")).select("blob_id", "emit_idx", F.concat(F.lit("b_"), "emit_idx").alias("feature"), share.alias("value"))
 
 
-def feature_rows(blobs: DataFrame, extractors: list[tuple[int, Callable[[bytes], tuple[list[str], list[float]]]]]) -> DataFrame:
+#: From the bytes of a blob, names and values of its features.
+Values = Callable[[np.ndarray], tuple[list[str], list[float]]]
+
+
+def feature_rows(blobs: DataFrame, extractors: list[tuple[int, Values]], last: bool = False, more: str | None = None) -> DataFrame:
     """blob_id, extractor_idx, emit_idx, feature, value of all extractors (index, function of a blob's bytes), in one pass
-    over content."""
+    over content. A column `more` holds arrays of such rows, which join them. With last, of each blob's rows of one name
+    only the one emitted last."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            at, idx, emit, names, values = [], [], [], [], []
-            for i, raw in enumerate(rb.column(1).to_pylist()):
-                for x, f in extractors:
-                    n, v = f(raw or b"")
-                    at += [i] * len(n)
-                    idx += [x] * len(n)
-                    emit += range(len(n))
-                    names += n
-                    values += v
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0).take(pa.array(at, pa.int64())), pa.array(idx, pa.int32()), pa.array(emit, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.float64())],
-                ["blob_id", "extractor_idx", "emit_idx", "feature", "value"],
-            )
-
-    return blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, extractor_idx int, emit_idx int, feature string, value double")
-
-
-def entropy_values(raw: bytes, window: int = 256) -> tuple[list[str], list[float]]:
+            held: list[list] = [[] for _ in range(5)]
+            if more:
+                at = rb.column(2).offsets.to_numpy() - rb.column(2).offsets[0].as_py()
+                flat = rb.column(2).flatten()
+                given = list(zip(*(flat.field(c).to_pylist() for c in ("extractor_idx", "emit_idx", "feature", "value")), strict=True))
+            for i, b in enumerate(content_of(rb)):
+                rows = [(x, e, name, v) for x, f in extractors for e, (name, v) in enumerate(zip(*f(b), strict=True))]
+                if more:
+                    rows += given[at[i] : at[i + 1]]
+                if last:
+                    rows = list({r[2]: r for r in sorted(rows, key=lambda r: r[:2])}.values())
+                if rows:
+                    for col, x in zip(held, ([i] * len(rows), *zip(*rows, strict=True)), strict=True):
+                        col += x
+                if held[0] and (len(held[0]) >= ROWS or i + 1 == rb.num_rows):
+                    place, *cols = (pa.array(c, kind) for c, kind in zip(held, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True))
+                    yield pa.RecordBatch.from_arrays([rb.column(0).take(place), *cols], ["blob_id", "extractor_idx", "emit_idx", "feature", "value"])
+                    held = [[] for _ in range(5)]
+
+    return blobs.select("blob_id", "content", *([more] if more else [])).mapInArrow(go, "blob_id string, extractor_idx int, emit_idx int, feature string, value double")
+
+
+def entropy_values(b: np.ndarray, window: int = 256) -> tuple[list[str], list[float]]:
     """Names and values of entropy_features for one blob."""
-    b = np.frombuffer(raw, np.uint8).astype(np.int64)
     w = window_entropies(b, window)
     rest = [float(x) for x in ((w.min(), w.max(), w.mean(), w.std()) if len(w) else (np.inf, -np.inf, np.nan, np.nan))]
-    return ["global_entropy", *(f"{x}_window_entropy" for x in ("min", "max", "mean", "std"))], [float(entropy(np.bincount(b, minlength=256))), *rest]
+    return ["global_entropy", *(f"{x}_window_entropy" for x in ("min", "max", "mean", "std"))], [float(entropy(byte_histogram(b))), *rest]
 
 
 def entropy_features(blobs: DataFrame, window: int = 256, nonfinite: str = "keep") -> DataFrame:
     """global_entropy and min, max, mean and population deviation of the windows' entropies. Without a window these
     are +Infinity, -Infinity, NaN and NaN, or with nonfinite="drop" absent."""
-    rows = feature_rows(blobs, [(0, lambda raw: entropy_values(raw, window))]).drop("extractor_idx")
+    rows = feature_rows(blobs, [(0, lambda b: entropy_values(b, window))]).drop("extractor_idx")
     return rows.where(~F.isnan("value") & (F.abs("value") != float("inf"))) if nonfinite == "drop" else rows
 
 
@@ -126,10 +141,19 @@ def bigram_range(blobs: DataFrame) -> DataFrame:
 
 
 def bigram_grid(blobs: DataFrame) -> DataFrame:
-    """All 65,536 pairs of each blob, zeros too; meant for few blobs."""
-    cells = F.sequence(F.lit(0), F.lit(65535))
-    grid = blobs.select("blob_id", F.explode(cells).alias("cell")).select("blob_id", F.shiftright("cell", 8).alias("first"), F.col("cell").bitwiseAND(F.lit(255)).alias("second"))
-    return grid.join(bigram_counts(blobs), ["blob_id", "first", "second"], "left").na.fill({"cnt": 0})
+    """All 65,536 pairs of each blob, zeros too: a table of a blob's counts from the helper, taken apart where it is. No
+    join."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i, b in enumerate(content_of(rb)):
+                grid = np.zeros(1 << 16, np.int64)
+                u, c, _ = counted(b, 2)
+                grid[u] = c
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(grid)], pa.int32()), pa.array(grid))], ["blob_id", "counts"])
+
+    rows = blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, counts array<bigint>").select("blob_id", F.posexplode("counts").alias("cell", "cnt"))
+    return rows.select("blob_id", F.shiftright("cell", 8).alias("first"), F.col("cell").bitwiseAND(F.lit(255)).alias("second"), "cnt")
 
 
 def bigram_intensity(blobs: DataFrame) -> DataFrame:
@@ -138,9 +162,9 @@ def bigram_intensity(blobs: DataFrame) -> DataFrame:
     return bigram_counts(blobs).select("blob_id", "first", "second", F.floor(255 * F.pow(F.col("cnt") / top, F.lit(0.25)) + 0.5).cast("long").alias("intensity"))
 
 
-def bigram_values(raw: bytes, top: int = 16) -> tuple[list[str], list[float]]:
+def bigram_values(b: np.ndarray, top: int = 16) -> tuple[list[str], list[float]]:
     """Names and values of bigram_features for one blob."""
-    u, c, _ = counted(raw, 2)
+    u, c, _ = counted(b, 2)
     if not len(u):
         return [], []
     best = np.lexsort((u, -c))[:top]
@@ -156,21 +180,28 @@ def bigram_values(raw: bytes, top: int = 16) -> tuple[list[str], list[float]]:
 def bigram_features(blobs: DataFrame, top: int = 16) -> DataFrame:
     """bigram_total_count (of the top pairs only), bigram_xx_yy and its _norm for each of them, bigram_unique_count
     and bigram_distribution (over all pairs, by that total). Blobs without a pair have none. No shuffle."""
-    return feature_rows(blobs, [(0, lambda raw: bigram_values(raw, top))]).drop("extractor_idx")
+    return feature_rows(blobs, [(0, lambda b: bigram_values(b, top))]).drop("extractor_idx")
 
 
 bigram_features.values = bigram_values
 
 
-def corpus_markov(blobs: DataFrame) -> DataFrame:
+def corpus_markov(blobs: DataFrame, name: str | None = None) -> DataFrame:
     """kind (start, stop or pair), first, second, cnt over all blobs; empty blobs are passed over. For starts and
-    stops second is null."""
+    stops second is null. With a name such as ".prg", over blobs whose name contains it alone, so that content of
+    others isn't read."""
+    blobs = blobs if name is None else blobs.where(F.contains("name", F.lit(name)))
     ends = blobs.where("length > 0").select(F.explode(F.array(F.struct(F.lit("start").alias("kind"), F.conv(F.hex(F.substring("content", 1, 1)), 16, 10).cast("int").alias("first")), F.struct(F.lit("stop").alias("kind"), F.conv(F.hex(F.substring("content", -1, 1)), 16, 10).cast("int").alias("first")))).alias("e"))
     ends = ends.groupBy("e.kind", "e.first").agg(F.count("*").alias("cnt")).select("kind", "first", F.lit(None).cast("int").alias("second"), "cnt")
     pairs = bigram_counts(blobs).groupBy("first", "second").agg(F.sum("cnt").alias("cnt")).select(F.lit("pair").alias("kind"), "first", "second", "cnt")
     return ends.unionByName(pairs)
 
 
+def save_markov(counts: DataFrame, root: str) -> None:
+    """The 258 rows of markov_matrix as lines of 256 numbers and commas, one file, in order."""
+    markov_matrix(counts).select("row", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("line")).coalesce(1).sortWithinPartitions("row").select("line").write.mode("overwrite").text(root)
+
+
 def markov_matrix(counts: DataFrame) -> DataFrame:
     """258 rows of 256 counts: starts, a row for each first byte, stops."""
     row = F.when(F.col("kind") == "start", 0).when(F.col("kind") == "stop", 257).otherwise(F.col("first") + 1)

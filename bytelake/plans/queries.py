@@ -200,6 +200,12 @@ def corpus_markov(spark, sf_dir):
     return stats.corpus_markov(documents(spark, sf_dir))
 
 
+@query(f"WITH {_BYTES}, n AS (SELECT blob_id, x, pos, lead(x) OVER (PARTITION BY blob_id ORDER BY pos) AS y FROM e WHERE contains(blob_id, '7')), m AS (SELECT 'start' AS kind, x AS a, NULL AS b FROM n WHERE pos = 0 UNION ALL SELECT 'stop', x, NULL FROM n WHERE y IS NULL UNION ALL SELECT 'pair', x, y FROM n WHERE y IS NOT NULL) SELECT kind, CAST('0x' || a AS INTEGER) AS first, CAST('0x' || b AS INTEGER) AS second, count(*) AS cnt FROM m GROUP BY 1, 2, 3")
+def named_markov(spark, sf_dir):
+    """Transitions of the files whose name has a part, as .prg is of programs."""
+    return stats.corpus_markov(documents(spark, sf_dir), "7")
+
+
 @query(f"WITH {_BYTES}, n AS (SELECT blob_id, x, pos, lead(x) OVER (PARTITION BY blob_id ORDER BY pos) AS y FROM e), m AS (SELECT 0 AS r, x AS c FROM n WHERE pos = 0 UNION ALL SELECT 257, x FROM n WHERE y IS NULL UNION ALL SELECT 1 + CAST('0x' || x AS INTEGER), y FROM n WHERE y IS NOT NULL), t AS (SELECT r, CAST('0x' || c AS INTEGER) AS c, count(*) AS cnt FROM m GROUP BY 1, 2), g AS (SELECT i, j, coalesce(cnt, 0) AS cnt FROM range(258) q(i) CROSS JOIN range(256) p(j) LEFT JOIN t ON t.r = i AND t.c = j) SELECT CAST(i AS INTEGER) AS row, string_agg(cnt, ',' ORDER BY j) AS counts FROM g GROUP BY 1")
 def markov_matrix(spark, sf_dir):
     matrix = stats.markov_matrix(stats.corpus_markov(documents(spark, sf_dir)))
@@ -228,6 +234,17 @@ def ngram_counts(spark, sf_dir):
     return grams.ngram_counts(documents(spark, sf_dir), 2).drop("n")
 
 
+@query(f"WITH {_grams(8)} SELECT blob_id, gram, cnt, first_pos FROM c")
+def ngram_counts_8(spark, sf_dir):
+    """From 8 bytes on n-grams are binary, not packed."""
+    return grams.ngram_counts(documents(spark, sf_dir), 8).drop("n")
+
+
+@query(f"WITH {_grams(16)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, first_pos) AS rank FROM c) SELECT blob_id, gram, cnt, first_pos, rank FROM r WHERE rank <= 16")
+def top_ngrams_16(spark, sf_dir):
+    return grams.top_ngrams(documents(spark, sf_dir), 16, 16)
+
+
 @query(f"WITH {_grams(3)} SELECT blob_id, sum(cnt)::DOUBLE AS ngram_total_count, count(*)::DOUBLE AS ngram_unique_count, floor((count(*) / sum(cnt)) * 1e6 + 0.5) / 1e6 AS ngram_diversity, floor((sum((cnt / total) * (cnt / total))) * 1e6 + 0.5) / 1e6 AS ngram_distribution FROM c GROUP BY 1")
 def ngram_summary(spark, sf_dir):
     return rounded(grams.ngram_summary(grams.gram_counts(documents(spark, sf_dir), 3)), "ngram_diversity", "ngram_distribution")
@@ -249,14 +266,16 @@ def select_entropy(spark, sf_dir):
 
 @query(f"WITH {_grams(3)} SELECT gram, count(*) AS df FROM c GROUP BY 1")
 def document_frequencies(spark, sf_dir):
-    return _named(grams.document_frequencies(grams.gram_counts(documents(spark, sf_dir), 3)), 3)
+    return _named(grams.gram_frequencies(documents(spark, sf_dir), 3).drop("documents"), 3)
 
 
 @query(f"WITH {_grams(3)}, f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1), s AS (SELECT c.*, cnt / max(cnt) OVER (PARTITION BY blob_id) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1)) + 1) AS score FROM c JOIN f USING (gram)), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY round(score, 12) DESC, first_pos) AS rank FROM s) SELECT blob_id, gram, rank, floor((score) * 1e6 + 0.5) / 1e6 AS score FROM r WHERE rank <= 16")
 def select_tfidf(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    counts = grams.gram_counts(docs, 3)
-    return rounded(_named(grams.select_tfidf(counts, grams.document_frequencies(counts), docs.count(), 16), 3), "score")
+    """Document frequencies are written and read back, so that they are counted once."""
+    docs, path = documents(spark, sf_dir), scratch(spark)
+    grams.gram_frequencies(docs, 3).write.parquet(path)
+    best = grams.best_tfidf(docs, spark.read.parquet(path), 3, 16)
+    return rounded(_named(best.drop("cnt", "first_pos"), 3), "score")
 
 
 @query(f"WITH {_grams(2)}, v AS (SELECT gram, round(sum(cnt::DOUBLE * cnt) / (SELECT count(*) FROM documents) - (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)) * (sum(cnt::DOUBLE) / (SELECT count(*) FROM documents)), 9) AS variance FROM c GROUP BY 1) SELECT gram, floor((variance) * 1e6 + 0.5) / 1e6 AS variance FROM v ORDER BY v.variance DESC, gram LIMIT 64")
@@ -500,7 +519,7 @@ def _preset_sql(*parts: str) -> str:
 
 
 def preset_features(spark, sf_dir, name):
-    rows = features.resolve_features(features.preset(name).extract(documents(spark, sf_dir)))
+    rows = features.preset(name).extract(documents(spark, sf_dir), last=True).select("blob_id", "feature", "value")
     return rounded(rows.where(~F.isnan("value") & (F.abs("value") != float("inf"))), "value")
 
 
@@ -524,11 +543,17 @@ def streamlined_features(spark, sf_dir):
     return preset_features(spark, sf_dir, "streamlined")
 
 
-@query(f"WITH {_grams(2)}, d AS ({_grams(3).join(['WITH ', ' SELECT * FROM c'])}), n AS (SELECT blob_id, count(*) AS u2, sum(cnt) AS t2 FROM c GROUP BY 1), m AS (SELECT blob_id, count(*) AS u3, sum(cnt) AS t3 FROM d GROUP BY 1) SELECT n.blob_id, 'ngram_total_count' AS feature, coalesce(t3, t2)::DOUBLE AS value FROM n LEFT JOIN m ON n.blob_id = m.blob_id UNION ALL SELECT n.blob_id, 'ngram_unique_count', coalesce(u3, u2)::DOUBLE FROM n LEFT JOIN m ON n.blob_id = m.blob_id")
+def foreign(n: int, k: int) -> features.Extractor:
+    """The most frequent n-grams by an extractor that a pipeline knows nothing of."""
+    extract = features.ngram_extractor(n, k)
+    return lambda blobs: extract(blobs)
+
+
+@query(_preset_sql(_ngram_sql(2, 4, "frequency"), _ngram_sql(3, 4, "frequency"), _ngram_sql(1, 6, "entropy")))
 def last_feature_wins(spark, sf_dir):
-    pipeline = features.FeaturePipeline([features.ngram_extractor(2, 4), features.ngram_extractor(3, 4)])
-    rows = features.resolve_features(pipeline.extract(documents(spark, sf_dir)))
-    return rows.where(F.col("feature").isin("ngram_total_count", "ngram_unique_count"))
+    """Names that all extractors emit; one is foreign, so that its rows meet the others' in a shuffle."""
+    pipeline = features.FeaturePipeline([features.ngram_extractor(2, 4), foreign(3, 4), features.ngram_extractor(1, 6, "entropy")])
+    return rounded(features.resolve_features(pipeline.extract(documents(spark, sf_dir))), "value")
 
 
 def vector_features(spark, sf_dir):
@@ -554,7 +579,8 @@ cm AS (SELECT a.label AS actual, b.label AS predicted, count(pr.blob_id) AS cnt
 
 @query(f"WITH {_VECTORS} SELECT feature, floor((mn) * 1e6 + 0.5) / 1e6 AS min, floor((mx) * 1e6 + 0.5) / 1e6 AS max, floor((-mn / (mx - mn)) * 1e6 + 0.5) / 1e6 AS z0 FROM sc")
 def fit_scaling(spark, sf_dir):
-    return rounded(classifier.fit_scaling(vector_features(spark, sf_dir)[0]), "min", "max", "z0")
+    feats, labels = vector_features(spark, sf_dir)
+    return rounded(classifier.train_ensemble(feats, labels).scaling.drop("n"), "min", "max", "z0")
 
 
 @query(f"WITH {_VECTORS} SELECT label, idx AS class_idx, n_pos, n_neg::BIGINT AS n_neg, floor((weight) * 1e6 + 0.5) / 1e6::DOUBLE AS weight FROM wt")
@@ -595,8 +621,11 @@ def predict(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, or in a temporary one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='bytelake-')}/queries/{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir. In local mode, where it is unset, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='bytelake-')}/queries/{uuid.uuid4().hex}"
 
 
 @query(_PREDICTED)
