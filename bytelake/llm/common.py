@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -23,6 +25,34 @@ _own: dict[str, str] = {}
 _tables: list[DataFrame] = []
 
 
+class Tables:
+    """The intermediate tables of one run, to be deleted together when what reads them is written."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def release(self) -> None:
+        release(*self.held)
+        self.held = []
+
+
+_owner: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("owner", default=None)
+
+
+def owner() -> Tables | None:
+    return _owner.get()
+
+
+@contextlib.contextmanager
+def owned(tables: Tables) -> Iterator[Tables]:
+    """Tables that operators write inside belong to `tables`."""
+    before = _owner.set(tables)
+    try:
+        yield tables
+    finally:
+        _owner.reset(before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see: spark.checkpoint.dir. In local mode, where it is unset, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +78,8 @@ def materialize(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     _tables.append(out)
+    if owner() is not None:
+        owner().held.append(out)
     return (out, seen.get) if measures else out
 
 
@@ -56,13 +88,17 @@ def release(*tables: DataFrame | None) -> None:
     for t in tables:
         if t is not None and t in _tables:
             _tables.remove(t)
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(t._table)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete(t.sparkSession, t._table)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release_all() -> None:
-    """For applications: delete all tables that operators still hold in this process, when their results are written."""
+    """For applications: delete all tables that operators hold in this process, when all results are written: those that
+    are not can't be read any more. A run that owns its tables (see owned) deletes those alone."""
     release(*list(_tables))
 
 
@@ -243,11 +279,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 BROADCAST_IDS = 1 << 20
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key isn't in ids (one column). A list of proven size is broadcast, a longer one shuffled."""
-    lost = ids.select(F.col(ids.columns[0]).alias("_lost")).where("_lost IS NOT NULL").distinct()
+def fresh(df: DataFrame, *names: str) -> Iterator[str]:
+    """The names, each with underscores before it until df has no column of that name."""
+    held = {c.lower() for c in df.columns}
+    for n in names:
+        while n in held:
+            n = f"_{n}"
+        held.add(n)
+        yield n
+
+
+def drop_texts(df: DataFrame, lost: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of df but for those whose key and text are a row of lost: (id, x), x the text's xxhash64. Other texts of an id
+    stay, as do rows with a null key. A list of proven size is broadcast, a longer one shuffled."""
+    k, x = fresh(df, "lost_id", "lost_text")
+    lost = lost.where(F.col(lost.columns[0]).isNotNull()).distinct().toDF(k, x)
     lost, seen = materialize(lost, F.count("*").alias("n"))
-    return df.join(F.broadcast(lost) if seen["n"] <= BROADCAST_IDS else lost, df[key] == F.col("_lost"), "left_anti")
+    same = (df[key].cast("long") == F.col(k)) & (F.xxhash64(df[text].cast("string")) == F.col(x))
+    return df.join(F.broadcast(lost) if seen["n"] <= BROADCAST_IDS else lost, same, "left_anti")
 
 
 def drop_rows(df: DataFrame, lost: DataFrame, keys: list[str]) -> DataFrame:

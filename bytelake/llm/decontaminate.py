@@ -29,7 +29,7 @@ def template(word: Column) -> Column:
     first, low = F.substring(word, 1, 1), F.lower(word)
     rest = F.substring(word, 2, 1 << 30)
     return (
-        F.when((first >= "0") & (first <= "9"), _NUMBER)
+        F.when(((first >= "0") & (first <= "9")) | ((first > "\x7f") & first.rlike(r"^\p{N}")), _NUMBER)
         .when((F.lower(first) != first) & (rest != "") & ((F.lower(rest) == rest) | rest.rlike(r"\s")), _NAME)
         .when(low.isin(UNITS), _UNIT)
         .otherwise(low)
@@ -86,8 +86,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     columns are ignored. A passage repeated in a document counts once.
 
     Each text is cut and hashed in one pass. The items' windows are broadcast up to BROADCAST_WINDOWS, else joined
-    by a shuffle.
+    by a shuffle. Numbers are those of any script.
     """
+    return text_leaks(docs, benchmark, doc_id, text, part).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def text_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", part: float = PART) -> DataFrame:
+    """The rows of find_leaks for each text of a doc_id, with its xxhash64, x."""
     items = C.materialize(item_windows(benchmark))
     kinds = sorted((r["kind"], r["w"]) for r in items.select("kind", "w").distinct().collect())  # at most 2 * WINDOW
     small = items.count() <= BROADCAST_WINDOWS
@@ -127,8 +132,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     first = F.struct(F.get("readings", F.lit(0))["js"].alias("js"), F.get("readings", F.lit(0))["slots"].alias("slots"))
     found = F.size(F.aggregate("readings", first, join)["js"]) / F.col("n")
-    share = whole.select("doc_id", "item_id", found.alias("share")).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
-    return share.where(F.col("share") >= part)
+    return whole.select("doc_id", "x", "item_id", found.alias("share")).where(F.col("share") >= part)
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -139,5 +143,5 @@ def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents, with all columns."""
-    return C.drop_ids(docs, find_leaks(docs, benchmark).select("doc_id"))
+    """docs without contaminated documents, with all columns. Of one doc_id's texts only contaminated ones go."""
+    return C.drop_texts(docs, text_leaks(docs, benchmark).select("doc_id", "x"))

@@ -104,7 +104,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     precision, is at least `threshold`. Vectors that are null, empty, zero or hold null, NaN or infinite
     components, and vectors without label, link with nothing: n_links 0, component_id their own id, kept. A null
     vec_id links with nothing and gets a null component_id. Repeated rows count once; one vec_id with several
-    vectors is several vectors. An empty table gives no rows. Other columns are ignored.
+    vectors has a row for each, and is one node of the graph: its rows share their links' number and component. An empty table gives no rows. Other columns are ignored.
 
     Equal vectors collapse to their smallest id, with their number. The rest is hashed by the signs of random
     projections in several tables; vectors of one bucket are compared exactly in blocks of bounded size, a pair

@@ -221,6 +221,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     held together by such shingles alone, are verified in blocks of bounded size, which give a spanning forest of
     their links. Components are drawn over verified links only. Shingles are compared by 64-bit hashes.
     """
+    return text_components(docs, doc_id, text, size, percent).drop("x")
+
+
+def text_components(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with the xxhash64 of their text, x."""
     base = docs.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     base = base.withColumns({"x": F.xxhash64("t"), "y": F.xxhash64(F.lit(1), "t")})
     rows = C.materialize(base.select("k", "x", "y"))
@@ -243,15 +248,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     out = rows.join(of_text.select("x", "y", "n", "c"), ["x", "y"], "left")
     return out.select(
         F.col("k").alias("doc_id"),
+        "x",
         F.col("n").alias("n_shingles"),
         F.when(F.col("k").isNull(), None).when(F.col("n") == 0, F.col("k")).otherwise(F.col("c")).alias("component_id"),
     )
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Keep of each component the rows with the smallest doc_id, with all columns. Rows with a null doc_id stay."""
-    comp = jaccard_components(docs, doc_id, text, size, percent).where("doc_id IS NOT NULL AND doc_id != component_id")
-    return C.drop_ids(docs, comp.select("doc_id"), doc_id)
+    """Keep of each component the rows with the smallest doc_id, with all columns. Rows with a null doc_id stay. Of one
+    doc_id's texts only those go that are in a component of a smaller id."""
+    comp = text_components(docs, doc_id, text, size, percent).where("doc_id IS NOT NULL AND doc_id != component_id")
+    return C.drop_texts(docs, comp.select("doc_id", "x"), doc_id, text)
 
 
 #: The rows of jaccard_components over documents, at 3 words and 90 %.

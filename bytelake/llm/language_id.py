@@ -53,10 +53,9 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", most: int
         p = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(total.reshape(-1)[p])], ["p", "c"])
 
-    rows = named.mapInArrow(go, "p int, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()  # at most most * CELLS rows
+    rows = named.mapInArrow(go, "p int, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()  # at most most * CELLS rows
     total = np.full(len(langs) * CELLS, 0.5)
-    for p, c in rows:
-        total[p] += c
+    total[rows["p"].to_numpy()] += rows["c"].to_numpy()
     total = total.reshape(len(langs), CELLS)
     return langs, np.log(total / total.sum(1, keepdims=True)), total.sum(1)
 
@@ -100,7 +99,7 @@ def _likelihoods(rows: DataFrame, logp, langs: list[str], sums: np.ndarray | Non
 
 
 def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float = 0.0, learned: np.ndarray | None = None) -> DataFrame:
-    """From (id, t, declared, host): id, lang, confidence, declared, host. See identify_pages for the cases.
+    """From (id, t, declared, host, ...): id, lang, confidence, declared, host and other columns. See identify_pages for the cases.
 
     Evidence of a row: its text under each language; the declared language, by how often rows of each language
     (as their text says) declare it; the host's prior, from the sums of other rows' text evidence on that host,
@@ -110,6 +109,7 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float
     it is likeliest the language is und with confidence 0. learned: the sums of fit_text, see _likelihoods.
     """
     spark, m = rows.sparkSession, range(len(langs))
+    others_of = {c: t for c, t in rows.dtypes if c not in ("id", "t", "declared", "host")}
     sent = spark.sparkContext.broadcast(logp)
     known = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNull(), "none").otherwise("other")
     host = F.coalesce("host", F.lit(""))
@@ -151,10 +151,10 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, unknown: float
             blank = (n == 0) & np.array([x == "none" for x in says], bool) | (best == len(langs))
             lang = ["und" if b else langs[i] for b, i in zip(blank, best, strict=True)]
             conf = np.where(blank, 0.0, post[np.arange(len(best)), best])
-            yield pa.RecordBatch.from_arrays([col("id"), pa.array(lang, pa.string()), pa.array(conf), col("declared"), col("host")], ["id", "lang", "confidence", "declared", "host"])
+            yield pa.RecordBatch.from_arrays([col("id"), pa.array(lang, pa.string()), pa.array(conf), col("declared"), col("host"), *map(col, others_of)], ["id", "lang", "confidence", "declared", "host", *others_of])
 
-    out = seen.join(hosts, "host").select("id", "declared", "host", "said", "n", "ll", "p", "at_suffix", "at_domain", "at_host")
-    return out.mapInArrow(fuse, "id long, lang string, confidence double, declared string, host string")
+    out = seen.join(hosts, "host").select("id", "declared", "host", *others_of, "said", "n", "ll", "p", "at_suffix", "at_domain", "at_host")
+    return out.mapInArrow(fuse, ", ".join(["id long, lang string, confidence double, declared string, host string", *(f"{c} {t}" for c, t in others_of.items())]))
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,11 +180,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those in no known language: no letters, whatever they declare, an unknown language more likely
     than the known ones, or a confidence below `least`. All columns stay.
 
-    lang is the declared language, source the host. Rows with a null doc_id stay.
+    lang is the declared language, source the host. Rows with a null doc_id stay. Rows of one doc_id are judged each by
+    its own text; only those of one id and text go together.
     """
     langs, logp, sums = fit_text(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.lower(F.trim(F.col("lang"))).alias("declared"), F.col("source").cast("string").alias("host"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.lower(F.trim(F.col("lang"))).alias("declared"), F.col("source").cast("string").alias("host"), F.xxhash64(F.col("text").cast("string")).alias("x"))
     found = identify(rows, langs, logp, UNKNOWN, sums)
-    lost = found.where((F.col("lang") == "und") | (F.col("confidence") < least)).select("id")
-    letterless = rows.where(~F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False))).select("id")
-    return C.drop_ids(docs, lost.unionByName(letterless))
+    lost = found.where((F.col("lang") == "und") | (F.col("confidence") < least)).select("id", "x")
+    letterless = rows.where(~F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False))).select("id", "x")
+    return C.drop_texts(docs, lost.unionByName(letterless))

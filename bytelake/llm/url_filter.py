@@ -13,8 +13,6 @@ from bytelake.llm import common as C
 
 #: Rules: (verdict, host and path). The longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Words that put the url of a page which shows one of them, in any case, on the list of blocked urls.
-LISTED_WORDS = ("disgusting", "idiot", "moron", "scum", "worthless")
 #: Bits of the filter for each listed url, bits of one block (four longs), bits set for one url.
 BITS_A_URL, BLOCK_BITS, PROBES = 12, 256, 6
 #: Blocks up to which the filter is broadcast: 40 bytes each, about 40 MB.
@@ -59,18 +57,17 @@ def _probe(h: Column, blocks: int) -> list[Column]:
     return [F.pmod(h, F.lit(blocks)).alias("block"), *(word(w).alias(f"w{w}") for w in range(4))]
 
 
-def listed_urls(pages: DataFrame, url: str = "url", html: str = "html", words=LISTED_WORDS) -> DataFrame:
-    """canonical: canonical urls of the pages whose html holds one of the words as a whole word, in any case.
+def listed_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """canonical: canonical urls under which the pages of a crawl show more than one content: the address says nothing of
+    what is there (spinning pages, cloaking, hijacked addresses).
 
-    Other pages of the same canonical url (other scheme, www., slash, tracking parameters) are blocked with them.
-    Null html has no words; urls that are null or without :// aren't listed; an empty table gives no rows.
+    All pages of such a url (other scheme, www., slash, tracking parameters) are listed by it. Null html is empty; urls
+    that are null or without :// aren't listed; repeated rows show one content; an empty table gives no rows. A url
+    with very many pages is reduced to two hashes in each task before they meet.
     """
-    bad = F.coalesce(F.col(html).cast("string").rlike(_any_word(words)), F.lit(False))
-    return pages.where(bad).select(canonical(F.col(url).cast("string")).alias("canonical")).where("canonical IS NOT NULL").distinct()
-
-
-def _any_word(words) -> str:
-    return rf"(?i)\b({'|'.join(words)})\b"
+    shown = F.xxhash64(F.coalesce(F.col(html).cast("string"), F.lit("")))
+    rows = pages.select(canonical(F.col(url).cast("string")).alias("canonical"), shown.alias("h")).where("canonical IS NOT NULL")
+    return rows.groupBy("canonical").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("canonical")
 
 
 def block_listed(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
@@ -139,7 +136,7 @@ c AS (
   SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '')
     || regexp_replace(regexp_replace(path, '(\\.html)?/*$', ''), '/+$', '')
     || CASE WHEN coalesce(q, '') <> '' THEN '?' || q ELSE '' END END AS canonical FROM p),
-l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(html, '{_any_word(LISTED_WORDS)}')),
+l AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY 1 HAVING min(coalesce(html, '')) <> max(coalesce(html, ''))),
 j AS (SELECT c.*, l.canonical IS NOT NULL AS listed,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in _LONGEST)} END AS rule FROM c LEFT JOIN l ON c.canonical = l.canonical)
 SELECT page_id, host, path, rule,

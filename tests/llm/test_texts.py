@@ -282,29 +282,28 @@ def test_repeats_of_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text or "") for r in out) == [(1, line), (2, line), (2, "short"), (3, "rest"), (3, "rest"), (4, "")]
 
 
-def test_unlike_head_hides_no_pair(spark):
-    """Two near paragraphs in buckets whose least paragraph is like neither, in small and in large buckets."""
+@pytest.mark.parametrize("others", [3, 20])
+def test_unlike_head_hides_no_pair(spark, others):
+    """Two near paragraphs in a bucket whose least paragraph is like neither; a small bucket and a large one."""
     rng = np.random.default_rng(8)
-    salt = np.random.default_rng(11).integers(1, 2**62, substring_dedup.BANDS).astype(np.uint64)
+    salt = np.random.default_rng(11).integers(1, 2**62, substring_dedup.BANDS).astype(np.uint64)[0]
     hashes = common.WordHashes()
-    digest = lambda h: np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)
-    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
-    whole = lambda h: len(substring_dedup.pieces(h)) == 1
-    texts, like = [], []
-    for others in (3, 20):
-        core, found = new(12), []
-        while not whole(common.hash_words(" ".join(core), hashes)):
-            core = new(12)
-        least = lambda h: [int(common.mix(common.roll(h, 5) ^ s).argmin()) for s in salt]
-        while len(found) < others + 2:
-            words = [*found[0][:-1], *new(1)] if len(found) == 1 else [*core, *new(8)]
-            h = common.hash_words(" ".join(words), hashes)
-            if whole(h) and max(least(h)) < 8 and (len(found) < 2 or others + 2 - len(found) > 1 or min(map(digest, (common.hash_words(" ".join(w), hashes) for w in found[2:] + [words]))) < min(digest(common.hash_words(" ".join(w), hashes)) for w in found[:2])):
-                found.append(words)
-        like.append((len(texts), len(texts) + 1))
-        texts += [" ".join(w) for w in found]
-    got = {r.doc_id: r for r in substring_dedup.judge_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [i for i in got if got[i].repeats] == [b for _, b in like] and all(got[b].removed_words == 20 for _, b in like)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    hashed = lambda text: common.hash_words(" ".join(text), hashes)
+    value = lambda text: int(common.mix(common.roll(hashed(text), 5) ^ salt).min())
+    digest = lambda text: np.uint64(xxhash.xxh3_64_intdigest(hashed(text).tobytes())).view(np.int64)
+    # Five words whose shingle has the least hash of 20,000 are the least of all texts that begin with them.
+    core = min((words(5) for _ in range(20_000)), key=value)
+    first = [*core, *words(15)]
+    near = [*first[:-1], *words(1)]
+    drawn = [[*core, *words(15)] for _ in range(400)]
+    below = [t for t in drawn if digest(t) < min(digest(first), digest(near))]
+    texts = [first, near, *below[:1], *drawn[: others - 1]]
+    assert below and len(set(map(tuple, texts))) >= others + 1
+    assert {value(t) for t in texts} == {value(core)}  # one bucket
+    assert (len(texts) > substring_dedup.PAIRED) == (others == 20)
+    got = {r.doc_id: r for r in substring_dedup.judge_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [i for i in sorted(got) if got[i].repeats] == [1] and got[1].removed_words == 20
 
 
 def test_paragraphs_stand_anywhere():
