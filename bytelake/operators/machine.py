@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The processor's instructions. Mnemonic, category, semantics (r read, w write, c conditional jump,
-# j jump, s returnable jump, t return, b break, - none), then opcodes by addressing mode.
+from bytelake.operators.grams import ROWS, content_of
+from bytelake.operators.symbols import addressed, system_symbols
+
+# The processor's instructions. Mnemonic, category, semantics (names of one letter, see SEMANTICS; -
+# none), then opcodes by addressing mode.
 INSTRUCTIONS = """
 ADD arith - immediate 69 zeropage 65 zeropage_x 75 absolute 6d absolute_x 7d absolute_y 79 indirect_x 61 indirect_y 71
 AND lg - immediate 29 zeropage 25 zeropage_x 35 absolute 2d absolute_x 3d absolute_y 39 indirect_x 21 indirect_y 31
@@ -102,7 +105,7 @@ def sizes_table() -> np.ndarray:
     return out
 
 
-def sweep(raw: bytes, sizes: np.ndarray, entries: np.ndarray, data: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
+def sweep(raw: bytes | np.ndarray, sizes: np.ndarray, entries: np.ndarray, data: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
     """offset, addr, len, opcode and operand (-1 for data) of a linear sweep from offset 2 on, the base being the word
     at 0.
 
@@ -140,13 +143,42 @@ def sweep(raw: bytes, sizes: np.ndarray, entries: np.ndarray, data: tuple[tuple[
     return {"offset": seen, "addr": addr[seen], "len": step[seen] - seen, "opcode": np.where(own, b[seen], -1), "operand": operand}
 
 
+#: Declared entries and data spans up to which they are broadcast.
+BROADCAST_SPANS = 1 << 18
+
+
+def with_spans(blobs: DataFrame, spans: DataFrame) -> DataFrame:
+    """blobs with columns entries (array of addresses) and data (array of spans, start and end, the end left out) from
+    spans(blob_id, kind, start, end), kind "entry" or "data". Blobs without spans have empty arrays.
+
+    Up to BROADCAST_SPANS spans are broadcast and content stays where it is; more need a join that moves it once, for which a
+    table of blobs bucketed by blob_id is best. A null blob_id, start or kind is passed over, as are spans without an
+    end after their start."""
+    kept = spans.where("blob_id IS NOT NULL AND start IS NOT NULL AND (kind = 'entry' OR kind = 'data' AND end > start)")
+    own = kept.groupBy(F.col("blob_id").alias("_of")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("kind") == "entry", F.col("start").cast("int")))).alias("entries"),
+        F.sort_array(F.collect_set(F.when(F.col("kind") == "data", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))).alias("data"),
+    )
+    small = kept.count() <= BROADCAST_SPANS
+    out = blobs.join(F.broadcast(own) if small else own, F.col("blob_id") == F.col("_of"), "left").drop("_of")
+    return out.withColumns({"entries": F.coalesce("entries", F.array().cast("array<int>")), "data": F.coalesce("data", F.array().cast("array<struct<start:int,end:int>>"))})
+
+
 def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset(), data: tuple[tuple[int, int], ...] = ()) -> DataFrame:
-    """blob_id, addr, offset, len, opcode, operand, kind by a linear sweep of each blob (see sweep); no shuffle."""
-    sizes, marks = sizes_table(), np.array(sorted(entries), np.int64)
+    """blob_id, addr, offset, len, opcode, operand, kind by a linear sweep of each blob (see sweep); no shuffle.
+
+    Columns entries and data of blobs (see with_spans) hold a blob's own addresses and spans, beside those of the
+    parameters, which hold for all."""
+    sizes, own = sizes_table(), [c for c in ("entries", "data") if c in blobs.columns]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            found = [sweep(raw or b"", sizes, marks, data) for raw in rb.column(1).to_pylist()]
+            given = {c: rb.column(2 + i).to_pylist() for i, c in enumerate(own)}
+            found = []
+            for i, b in enumerate(content_of(rb)):
+                marks = sorted(entries | {x for x in (given["entries"][i] or ()) if x is not None}) if "entries" in given else sorted(entries)
+                spans = (*data, *((s["start"], s["end"]) for s in given["data"][i] or ())) if "data" in given else data
+                found.append(sweep(b, sizes, np.array(marks, np.int64), spans))
             if not found:
                 continue
             col = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
@@ -154,12 +186,13 @@ def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset(), d
             code = col["opcode"] >= 0
             maybe = lambda c: pa.array(col[c].astype(np.int32), mask=col[c] < 0)
             kind = pa.array(np.where(code, "code", "data").astype(object), pa.string())
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [blob, *(pa.array(col[c].astype(np.int32)) for c in ("addr", "offset", "len")), maybe("opcode"), maybe("operand"), kind],
                 ["blob_id", "addr", "offset", "len", "opcode", "operand", "kind"],
             )
+            yield from (out.slice(at, ROWS) for at in range(0, out.num_rows, ROWS))
 
-    return blobs.select("blob_id", "content").mapInArrow(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
+    return blobs.select("blob_id", "content", *own).mapInArrow(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
 
 
 def operand_targets(table: DataFrame) -> DataFrame:
@@ -203,27 +236,15 @@ def static_memory_refs(targets: DataFrame, blobs: DataFrame) -> DataFrame:
     )
 
 
-# Entry points of the c64's system, address and name.
-C64_SYMBOLS = """
-ffa5 acptr ffc6 chkin ffc9 chkout ffcf chrin ffd2 chrout ffa8 ciout ff81 lint ffe7 clall ffc3 close ffcc clrchn
-ffe4 getin fff3 iobase ff84 ioinit ffb1 listen ffd5 load ff9c membot ff99 memtop ffc0 open fff0 plot ff87 ramtas
-ffde rdtim ffb7 readst ff8a restor ffd8 save ff9f scnkey ffed screen ff93 second ffba setlfs ff90 setmsg ffbd setnam
-ffdb settim ffa2 settmo ffe1 stop ffb4 talk ff96 tksa ffea udtim ffae unlsn ffab untlk ff8d vector
-"""
-
-
-def system_symbols(spark: SparkSession) -> DataFrame:
-    """addr, name of the c64's system entry points; other systems' symbols are a table of the user's."""
-    words = C64_SYMBOLS.split()
-    return spark.createDataFrame([(int(a, 16), n) for a, n in zip(words[::2], words[1::2], strict=True)], "addr int, name string")
-
-
 def symbol_usage(targets: DataFrame, symbols: DataFrame | None = None, by_blob: bool = False) -> DataFrame:
-    """Uses of the symbols (addr, name, ..; else system_symbols), a table of at most 65,536 addresses, and the number
-    of blobs with one; by_blob, the uses in each blob."""
+    """system, name, kind, description, uses and blobs: what operands refer to, by a table of symbols (see symbols.addressed;
+    else the built-in ones of both systems). Each operand counts for the symbol at its address or else for the smallest
+    area around it, in each system. by_blob, the uses in each blob instead.
+
+    The symbols of all addresses are broadcast, at most 65,536 rows a system."""
     symbols = system_symbols(targets.sparkSession) if symbols is None else symbols
-    small = F.broadcast(symbols.select(F.col("addr").alias("target"), "name"))
-    used = targets.where("mode != 'immediate'").join(small, "target")
+    used = targets.where("mode != 'immediate'").select("blob_id", "target").join(F.broadcast(addressed(symbols)), "target")
+    keys = ["system", "name", "kind", "description"]
     if by_blob:
-        return used.groupBy("blob_id", "name").agg(F.count("*").alias("uses"))
-    return used.groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("blob_id").alias("blobs"))
+        return used.groupBy("blob_id", *keys).agg(F.count("*").alias("uses"))
+    return used.groupBy("blob_id", *keys).agg(F.count("*").alias("uses")).groupBy(*keys).agg(F.sum("uses").alias("uses"), F.count("*").alias("blobs"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytelake.functions import byte_at, has_bytes, latin, word_at
@@ -31,6 +32,11 @@ def _enhanced(line: str) -> Signature:
     return Signature(name, bytes.fromhex(data), int(offset), None if mask == "-" else bytes.fromhex(mask), None if platform == "-" else platform, float(confidence))
 
 
+#: Signatures of a table up to which it is broadcast, some 200 bytes each.
+BROADCAST_SIGNATURES = 1 << 18
+#: Bytes that are looked up by a join: the longest of these that a run of unmasked bytes holds.
+PROBES = (8, 4, 2, 1)
+
 BASIC = tuple(map(_basic, catalogue.BASIC.strip().splitlines()))
 ENHANCED = tuple(map(_enhanced, catalogue.ENHANCED.strip().splitlines()))
 
@@ -50,6 +56,73 @@ def match_signature(s: Signature, content: Column | str = "content") -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def signature_table(spark: SparkSession, signatures: tuple[Signature, ...] = ENHANCED) -> DataFrame:
+    """sig_idx, name, data, offset, mask, platform, confidence: signatures as rows."""
+    rows = [(i, s.name, bytearray(s.data), s.offset, bytearray(s.mask) if s.mask else None, s.platform, float(s.confidence)) for i, s in enumerate(signatures)]
+    return spark.createDataFrame(rows, "sig_idx int, name string, data binary, offset int, mask binary, platform string, confidence double")
+
+
+def add_rows(table: DataFrame, new: DataFrame) -> DataFrame:
+    """A signature table with further rows (name, data, offset, mask, platform, confidence), which come after those that
+    are there, by name. new is a catalogue's addition: its rows are numbered in one task."""
+    last = table.agg((F.coalesce(F.max("sig_idx"), F.lit(-1)) + 1).alias("_next"))  # one row
+    place = F.row_number().over(Window.orderBy("name", "data", "offset")) - 1
+    rows = new.withColumn("_place", place).join(F.broadcast(last), how="cross").withColumn("sig_idx", (F.col("_next") + F.col("_place")).cast("int"))
+    return table.unionByName(rows.select(*table.columns))
+
+
+def _looked_up(table: DataFrame) -> DataFrame:
+    """Signatures with at, size and key: the bytes by which they are looked up, the longest of PROBES that lie in a run of
+    bytes without a mask, none (size 0) where each byte has one. want and bits are arrays of the masked bytes and masks, null
+    where no mask has a bit."""
+    ints = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda i: F.conv(F.hex(F.substring(F.col(b), i, F.lit(1))), 16, 10).cast("int"))
+    rows = table.where("data IS NOT NULL AND octet_length(data) > 0 AND offset >= 0")
+    used = F.when(F.octet_length("mask") > 0, F.transform(ints("data"), lambda _, i: F.when(F.coalesce(F.get(ints("mask"), i), F.lit(0)) > 0, F.get(ints("mask"), i)).otherwise(255)))
+    some = F.exists(ints("mask"), lambda m: m > 0) & (F.octet_length("mask") > 0)
+    rows = rows.withColumn("bits", F.when(some, used))
+    rows = rows.withColumn("want", F.when(F.col("bits").isNotNull(), F.zip_with(ints("data"), "bits", lambda a, m: a.bitwiseAND(m))))
+    n = F.octet_length("data")
+    free = lambda k: lambda i: F.col("bits").isNull() | F.forall(F.slice("bits", i + 1, F.lit(k)), lambda m: m == 255)
+    spots = [F.when(n >= k, F.get(F.filter(F.sequence(F.lit(0), n - k), free(k)), F.lit(0))) for k in PROBES]
+    best = F.coalesce(*[F.when(s.isNotNull(), F.struct(s.alias("i"), F.lit(k).alias("k"))) for s, k in zip(spots, PROBES, strict=True)], F.struct(F.lit(0).alias("i"), F.lit(0).alias("k")))
+    rows = rows.withColumn("b", best).withColumns({"at": F.col("offset") + F.col("b.i"), "size": F.col("b.k")})
+    return rows.withColumn("key", F.substring("data", F.col("b.i") + 1, F.col("size"))).drop("b")
+
+
+def match_table(blobs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of matches for a table of signatures, however many: blob_id, sig_idx, name, platform, confidence.
+
+    Signatures are looked up by some of their bytes: a blob gives a row for each place and length at which some
+    signature has its key (a few for a catalogue), with the bytes there and those that the signatures at that place
+    reach to. These are joined by (place, length, bytes), by a broadcast of up to BROADCAST_SIGNATURES rows, else by a
+    shuffle of these short rows; what meets is compared in full, under the mask. Content isn't moved. Signatures whose
+    bytes all have a mask are compared with every blob that is long enough. Null or empty data and negative offsets match
+    nothing; null content matches nothing.
+    """
+    rows = _looked_up(table)
+    n = F.octet_length("data")
+    places = rows.groupBy("at", "size").agg(F.min("offset").alias("start"), F.max(F.col("offset") + n).alias("end"), F.count("*").alias("c")).orderBy("at", "size").collect()  # a row a place
+    if not places:
+        return blobs.select("blob_id").limit(0).join(table.select("sig_idx", "name", "platform", "confidence").limit(0), how="cross")
+    kind = "array<struct<at:int,size:int,start:int,end:int>>"
+    listed = F.from_json(F.lit(json.dumps([{k: p[k] for k in ("at", "size", "start", "end")} for p in places])), kind)
+    content = F.col("content")
+
+    def probe(p: Column) -> Column:
+        key = F.when(p["size"] > 0, F.substring(content, p["at"] + 1, p["size"])).otherwise(F.lit(bytearray()))
+        return F.struct(p["at"].alias("at"), p["size"].alias("size"), p["start"].alias("start"), key.alias("key"), F.substring(content, p["start"] + 1, p["end"] - p["start"]).alias("seen"))
+
+    # A key that the content is too short for is shorter, and equals none.
+    probes = blobs.where("content IS NOT NULL").select("blob_id", F.inline(F.transform(listed, probe)))
+    small = sum(p["c"] for p in places) <= BROADCAST_SIGNATURES
+    met = probes.join(F.broadcast(rows) if small else rows, ["at", "size", "key"])
+    own = F.substring("seen", F.col("offset") - F.col("start") + 1, n)
+    byte = lambda i: F.conv(F.hex(F.substring(own, i, F.lit(1))), 16, 10).cast("int")
+    masked = F.forall(F.sequence(F.lit(1), n), lambda i: byte(i).bitwiseAND(F.get("bits", i - 1)) == F.get("want", i - 1))
+    same = F.when(F.col("bits").isNull(), own == F.col("data")).otherwise((F.octet_length(own) == n) & F.coalesce(masked, F.lit(False)))
+    return met.where(same).select("blob_id", "sig_idx", "name", "platform", "confidence")
+
+
 def _array(pairs: list[tuple[str, Column]], first: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("emit_idx"), F.lit(n).alias("feature"), v.cast("double").alias("value")) for i, (n, v) in enumerate(pairs, first)])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.functions import base64_decode, base64_encode, gram_key, hex_bytes
-from bytelake.operators import classifier, features, grams, hashing, inventory, machine, signatures, sniff, stats
+from bytelake.operators import classifier, features, grams, hashing, inventory, machine, signatures, sniff, stats, symbols
 from bytelake.sources import BLOBS, blobs_from_column, expand_zips, filter_corpus, hash_store, load_hashes, load_training_data, ok_ext, save_hashes, save_training_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,6 +401,34 @@ def program_signature_features(spark, sf_dir):
     return rounded(signatures.enhanced_signature_features(program_blobs(spark, sf_dir)).select("blob_id", "feature", "value"), "value")
 
 
+_BASIC = f"""WITH {_PROGRAMS}, m AS (SELECT blob_id, {", ".join(f"{_match(s)} AS m{i}" for i, s in enumerate(signatures.BASIC))} FROM h)
+SELECT blob_id, unnest({[f"signature_{s.name}" for s in signatures.BASIC] + ["signature_match_count"]}) AS feature, unnest([{", ".join(f"m{i}" for i in range(len(signatures.BASIC)))}, {" + ".join(f"m{i}" for i in range(len(signatures.BASIC)))}])::DOUBLE AS value FROM m"""
+
+
+@query(_BASIC)
+def basic_signature_features(spark, sf_dir):
+    """The catalogue's basic signatures."""
+    return signatures.signature_features(program_blobs(spark, sf_dir)).drop("emit_idx")
+
+
+def item_signatures(spark, sf_dir):
+    """The full catalogue, with one more for each beginning of a benchmark item: its first four bytes behind a header of four."""
+    first = F.substring(F.encode("text", "UTF-8"), 1, 4)
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), F.lower(F.hex(first))).alias("name"), first.alias("data"), F.lit(4).alias("offset"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("string").alias("platform"), F.lit(0.5).alias("confidence"))
+    return signatures.add_rows(signatures.signature_table(spark), rows.distinct())
+
+
+_ITEMS = "q AS (SELECT *, row_number() OVER (ORDER BY x4) - 1 AS i FROM (SELECT DISTINCT left(hex(encode(text)), 8) AS x4 FROM benchmark))"
+
+
+@query(f"""WITH {_PROGRAMS}, {_ITEMS}, m AS (SELECT blob_id, unnest([{", ".join(_match(s) for s in signatures.ENHANCED)}]) AS hit, unnest(range({len(signatures.ENHANCED)})) AS sig_idx, unnest({[s.name for s in signatures.ENHANCED]}) AS name, unnest({[s.confidence for s in signatures.ENHANCED]})::DOUBLE AS confidence FROM h)
+SELECT blob_id, sig_idx::INTEGER AS sig_idx, name, confidence FROM m WHERE hit = 1
+UNION ALL SELECT blob_id, ({len(signatures.ENHANCED)} + i)::INTEGER, 'item_' || lower(x4), 0.5::DOUBLE FROM h JOIN q ON substr(x, 9, 8) = x4""")
+def signature_table_matches(spark, sf_dir):
+    """A catalogue that is a table, with rows derived from the benchmark, joined to programs."""
+    return signatures.match_table(program_blobs(spark, sf_dir), item_signatures(spark, sf_dir)).drop("platform")
+
+
 _PLATFORM = f"""WITH {_PROGRAMS}, m AS (SELECT blob_id, label, {", ".join(f"{_match(s)} AS m{i}" for i, s in enumerate(signatures.ENHANCED))} FROM h),
 l AS (SELECT blob_id, label, unnest([{", ".join(f"m{i}" for i in range(len(signatures.ENHANCED)))}]) AS hit, unnest(range({len(signatures.ENHANCED)})) AS idx,
   unnest({[s.name for s in signatures.ENHANCED]}) AS name, unnest({[s.platform or "" for s in signatures.ENHANCED]}) AS platform, unnest({[s.confidence for s in signatures.ENHANCED]}) AS conf FROM m),
@@ -474,9 +502,50 @@ def instruction_mix(spark, sf_dir):
     return machine.instruction_mix(machine.instruction_table(turn_programs(spark, sf_dir)))
 
 
-@query(f"{_SWEEP} SELECT blob_id, addr::INTEGER AS addr, pos::INTEGER AS offset, size AS len, opcode, operand FROM c")
+def turn_spans(spark, sf_dir):
+    """Entries and data spans of each turn's program, by its numbers."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("blob_id"), (0x2000 + (F.col("conv_id") * 37 + F.col("turn")) % 0x3000).alias("base"), (F.col("conv_id") + F.col("turn")).alias("k"))
+    spans = F.array(
+        F.struct(F.lit("entry").alias("kind"), (F.col("base") + 3 + F.col("k") % 11).alias("start"), F.lit(None).cast("long").alias("end")),
+        F.struct(F.lit("entry").alias("kind"), (F.col("base") + 20 + F.col("k") % 7).alias("start"), F.lit(None).cast("long").alias("end")),
+        F.struct(F.lit("data").alias("kind"), (F.col("base") + 9 + F.col("k") % 5).alias("start"), (F.col("base") + 9 + F.col("k") % 5 + F.col("k") % 8).alias("end")),
+        F.struct(F.lit("data").alias("kind"), (F.col("base") + 30 + F.col("k") % 3).alias("start"), (F.col("base") + 60).alias("end")),
+    )
+    return rows.select("blob_id", F.inline(spans))
+
+
+def _swept(source: str, spans: str) -> str:
+    """CTEs from h(blob_id, base, n, x) and s(blob_id, kind, a, z): i(blob_id, base, n, addr, pos, len, opcode, operand, kind), a
+    row for each instruction or data run. Each byte's successor is known at once; rows are those reached from offset 2."""
+    hit = lambda test: f"EXISTS (SELECT 1 FROM s WHERE s.blob_id = e.blob_id AND {test})"
+    return f"""WITH RECURSIVE {_OP}, {source}, s AS ({spans}),
+e AS (SELECT blob_id, base, n, p, {_byte("p")} AS b, base + p - 2 AS addr FROM (SELECT *, unnest(range(n)) AS p FROM h)),
+f AS (SELECT e.*, {hit("kind = 'data' AND addr >= a AND addr < z")} AS inside, {hit("kind = 'entry' AND addr = a")} AS entry, {hit("kind = 'data' AND z > a AND (addr = a OR addr = z)")} AS edge FROM e),
+y AS (SELECT f.*, CASE WHEN inside THEN 0 ELSE coalesce(size, 0) END AS size FROM f LEFT JOIN op ON op.opcode = f.b),
+v AS (SELECT *, CASE size WHEN 2 THEN lead(entry) OVER w WHEN 3 THEN lead(entry, 2) OVER w ELSE false END AS cut, CASE size WHEN 2 THEN lead(inside) OVER w WHEN 3 THEN lead(inside, 2) OVER w ELSE false END AS through,
+  coalesce(lead(b) OVER w, 0) AS low, coalesce(lead(b, 2) OVER w, 0) AS high, size > 0 OR entry OR edge AS stop FROM y WINDOW w AS (PARTITION BY blob_id ORDER BY p)),
+u AS (SELECT *, size > 0 AND p + size <= n AND NOT coalesce(cut, false) AND NOT coalesce(through, false) AS code, coalesce(min(CASE WHEN stop THEN p END) OVER (PARTITION BY blob_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS after FROM v),
+t AS (SELECT *, CASE WHEN code THEN p + size WHEN size > 0 THEN p + 1 ELSE after END AS step FROM u),
+k AS (SELECT blob_id, any_value(n) AS n, list(step ORDER BY p) AS steps FROM t GROUP BY 1),
+r AS (SELECT blob_id, 2::BIGINT AS pos FROM k WHERE n > 2 UNION ALL SELECT r.blob_id, steps[pos + 1] FROM r JOIN k USING (blob_id) WHERE steps[pos + 1] < n),
+i AS (SELECT t.blob_id, base, n, addr, pos, step - pos AS len, CASE WHEN code THEN b END AS opcode, CASE WHEN code AND size > 1 THEN low + CASE WHEN size > 2 THEN 256 * high ELSE 0 END END AS operand, CASE WHEN code THEN 'code' ELSE 'data' END AS kind FROM r JOIN t ON t.blob_id = r.blob_id AND t.p = r.pos)"""
+
+
+_TURNS = "h AS (SELECT blob_id, base, n, printf('%02X%02X', base % 256, base // 256) || y AS x FROM (SELECT conv_id || '_' || turn AS blob_id, 8192 + (conv_id * 37 + turn) % 12288 AS base, hex(encode(text)) AS y, 2 + octet_length(encode(text)) AS n FROM conversations))"
+_SPANS = """SELECT blob_id, unnest(['entry', 'entry', 'data', 'data']) AS kind, unnest([base + 3 + k % 11, base + 20 + k % 7, base + 9 + k % 5, base + 30 + k % 3]) AS a, unnest([NULL, NULL, base + 9 + k % 5 + k % 8, base + 60]) AS z
+FROM (SELECT conv_id || '_' || turn AS blob_id, 8192 + (conv_id * 37 + turn) % 12288 AS base, conv_id + turn AS k FROM conversations)"""
+_ROWS = "SELECT blob_id, addr::INTEGER AS addr, pos::INTEGER AS offset, len::INTEGER AS len, opcode::INTEGER AS opcode, operand::INTEGER AS operand, kind FROM i"
+
+
+@query(f"{_swept(_TURNS, _SPANS + ' WHERE false')} {_ROWS}")
 def instruction_table(spark, sf_dir):
-    return machine.instruction_table(turn_programs(spark, sf_dir)).where("kind = 'code'").drop("kind")
+    return machine.instruction_table(turn_programs(spark, sf_dir))
+
+
+@query(f"{_swept(_TURNS, _SPANS)} {_ROWS}")
+def declared_instructions(spark, sf_dir):
+    """Instructions and data of programs with declared entries and data spans of their own."""
+    return machine.instruction_table(machine.with_spans(turn_programs(spark, sf_dir), turn_spans(spark, sf_dir)))
 
 
 @query(f"{_SWEEP} SELECT blob_id, addr::INTEGER AS addr, mnemonic, target::INTEGER AS target FROM g")
@@ -496,12 +565,33 @@ def static_memory_refs(spark, sf_dir):
     return machine.static_memory_refs(machine.operand_targets(machine.instruction_table(blobs)), blobs)
 
 
-@query(f"{_SWEEP} SELECT m.name, count(*) AS uses, count(DISTINCT blob_id) AS blobs FROM g JOIN (SELECT DISTINCT CAST('0x' || hex(encode(substr(text, 1, 2))) AS INTEGER) AS addr, 's' || hex(encode(substr(text, 1, 2))) AS name FROM benchmark) m ON g.target = m.addr WHERE mode <> 'immediate' GROUP BY 1")
+def digest_programs(spark, sf_dir):
+    """Bytes that stand for machine code: four digests of each document's text behind a load address."""
+    d = table(spark, sf_dir, "documents")
+    base = F.lit(0x1000) + F.col("doc_id") % 0x4000
+    word = F.concat(*[F.unhex(F.lpad(F.hex(v.cast("long")), 2, "0")) for v in (base % 256, F.floor(base / 256))])
+    parts = [F.unhex(F.sha2(F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit(str(i))), "UTF-8"), 256)) for i in range(4)]
+    return blobs_from_column(d.select("doc_id", F.concat(word, *parts).alias("content")), "doc_id", "content")
+
+
+_DIGESTS = f"h AS (SELECT blob_id, base, 130 AS n, printf('%02X%02X', base % 256, base // 256) || y AS x FROM (SELECT CAST(doc_id AS VARCHAR) AS blob_id, 4096 + doc_id % 16384 AS base, {' || '.join(f"upper(sha256(coalesce(text, '') || '{i}'))" for i in range(4))} AS y FROM documents))"
+_SYMBOLS = "sym(system, addr, last, name, kind, description) AS (VALUES " + ", ".join(str(r) for r in symbols.rows()) + ")"
+_USED = f"""{_swept(_DIGESTS, "SELECT '' AS blob_id, '' AS kind, 0 AS a, 0 AS z WHERE false")}, {_SYMBOLS},
+g AS (SELECT i.blob_id, CASE WHEN mode = 'relative' THEN addr + len + CASE WHEN operand > 127 THEN operand - 256 ELSE operand END ELSE operand END AS target FROM i JOIN op ON op.opcode = i.opcode WHERE kind = 'code' AND mode IN ('relative', 'absolute', 'zeropage')),
+j AS (SELECT blob_id, target, system, name, sym.kind, description, row_number() OVER (PARTITION BY blob_id, target, system ORDER BY last - addr, name) AS place FROM (SELECT DISTINCT blob_id, target FROM g) JOIN sym ON target BETWEEN addr AND last)"""
+
+
+@query(f"{_USED} SELECT system, name, j.kind, description, count(*) AS uses, count(DISTINCT g.blob_id) AS blobs FROM g JOIN j USING (blob_id, target) WHERE place = 1 GROUP BY 1, 2, 3, 4")
 def symbol_usage(spark, sf_dir):
-    """Symbols are the addresses that the benchmark's first two bytes make."""
-    first = F.hex(F.encode(F.substring("text", 1, 2), "UTF-8"))
-    symbols = table(spark, sf_dir, "benchmark").select(F.conv(first, 16, 10).cast("int").alias("addr"), F.concat(F.lit("s"), first).alias("name")).distinct()
-    return machine.symbol_usage(machine.operand_targets(machine.instruction_table(turn_programs(spark, sf_dir))), symbols)
+    """What both systems have at the addresses that operands name."""
+    return machine.symbol_usage(machine.operand_targets(machine.instruction_table(digest_programs(spark, sf_dir))))
+
+
+@query(f"{_USED} SELECT blob_id, system, name, j.kind, description, count(*) AS uses FROM g JOIN j USING (blob_id, target) WHERE place = 1 AND system = 'vic20' GROUP BY 1, 2, 3, 4, 5")
+def symbols_of_programs(spark, sf_dir):
+    """One system's symbols in each program."""
+    rows = machine.operand_targets(machine.instruction_table(digest_programs(spark, sf_dir)))
+    return machine.symbol_usage(rows, symbols.system_symbols(spark, "vic20"), by_blob=True)
 
 
 def _ngram_sql(n: int, k: int, strategy: str) -> str:
