@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from bytelake.operators.grams import ROWS, content_of
 from bytelake.operators.symbols import addressed, system_symbols
@@ -195,6 +196,23 @@ def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset(), d
     return blobs.select("blob_id", "content", *own).mapInArrow(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
 
 
+class Instructions:
+    """The table function instruction_table(content): its rows without blob_id, for SQL's LATERAL."""
+
+    def __init__(self) -> None:
+        self.sizes, self.none = sizes_table(), np.empty(0, np.int64)
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        found = sweep(content or b"", self.sizes, self.none)
+        for offset, addr, size, opcode, operand in zip(*(found[c].tolist() for c in ("offset", "addr", "len", "opcode", "operand")), strict=True):
+            yield addr, offset, size, opcode if opcode >= 0 else None, operand if operand >= 0 else None, "code" if opcode >= 0 else "data"
+
+
+def register(spark: SparkSession, name: str = "instruction_table") -> None:
+    """Make the table function known to the session's SQL: SELECT ... FROM blobs, LATERAL instruction_table(content)."""
+    spark.udtf.register(name, udtf(Instructions, returnType="addr int, offset int, len int, opcode int, operand int, kind string"))
+
+
 def operand_targets(table: DataFrame) -> DataFrame:
     """Instructions with their dimension and target: the operand, or for relative ones the next address plus the
     signed byte. Null for modes that aren't static."""

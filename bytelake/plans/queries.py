@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.functions import base64_decode, base64_encode, gram_key, hex_bytes
+from bytelake.functions import base64_decode, base64_encode, gram_key, hex_bytes, latin
 from bytelake.operators import classifier, features, grams, hashing, inventory, machine, signatures, sniff, stats, symbols
+from bytelake.sources import store
 from bytelake.sources import BLOBS, blobs_from_column, expand_zips, filter_corpus, hash_store, load_hashes, load_training_data, ok_ext, save_hashes, save_training_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,6 +464,37 @@ def sniffer_parts(spark, sf_dir):
     return program_blobs(spark, sf_dir).select("blob_id", sniff.guess_memory_config().alias("config"), sniff.cart_score(sniff.C64_CART).alias("cart"), sniff.prefix_ext_score(bytes.fromhex("00A0"), "prg").alias("prg"))
 
 
+def text_sniffer(blobs: DataFrame) -> DataFrame:
+    """A user's own: how much of the content is printable, doubled, and why."""
+    shown = F.length(F.regexp_replace(latin("content"), r"[^\x20-\x7E]", "")) / F.greatest(F.octet_length("content"), F.lit(1))
+    said = F.when(shown > 0.9, F.array(F.lit("mostly printable"))).otherwise(F.array().cast("array<string>"))
+    return blobs.select("blob_id", (2 * shown).alias("score"), said.alias("messages"))
+
+
+_PRINTABLE = "2 * len(list_filter(regexp_extract_all(x, '..'), lambda c: c BETWEEN '20' AND '7E')) / greatest(n, 1)::DOUBLE"
+_SNIFFED = [*((n, "code", None) for n in ("vic20 cart", "c64 cart", *(f"prg@{a:04x}" for a in sniff.CODE_BASES))), ("crt", "crt", None), ("text", "basic", _PRINTABLE)]
+
+
+def _sniffed(name: str) -> str:
+    """A built-in sniffer's score of the programs, whose names have no extension."""
+    if name.endswith("cart"):
+        magic = (sniff.VIC_CART if name.startswith("vic20") else sniff.C64_CART).hex().upper()
+        return f"CASE WHEN n >= {6 + len(magic) // 2} AND substr(x, 13, {len(magic)}) = '{magic}' THEN 3.0 ELSE 0.3 END"
+    prefix = sniff.CRT.hex().upper() if name == "crt" else f"{name[6:8]}{name[4:6]}".upper()
+    return f"CASE WHEN left(x, {len(prefix)}) = '{prefix}' THEN 2.0 ELSE 0.5 END * 0.9"
+
+
+@query(f"""WITH {_PROGRAMS}, p AS ({" UNION ALL ".join(f"SELECT blob_id, '{kind}' AS kind, {i} AS idx, '{n}' AS sniffer, ({sql or _sniffed(n)})::DOUBLE AS score FROM h" for i, (n, kind, sql) in enumerate(_SNIFFED))}),
+b AS (SELECT blob_id, kind, score, sniffer FROM (SELECT *, row_number() OVER (PARTITION BY blob_id, kind ORDER BY score DESC, idx) AS r FROM p) WHERE r = 1),
+w AS (SELECT blob_id, max(score) FILTER (kind = 'basic') AS bs, max(score) FILTER (kind = 'code') AS cs, max(score) FILTER (kind = 'crt') AS ks, max(sniffer) FILTER (kind = 'basic') AS bn, max(sniffer) FILTER (kind = 'code') AS cn, max(sniffer) FILTER (kind = 'crt') AS kn FROM b GROUP BY 1),
+t AS (SELECT *, CASE WHEN bs > cs AND bs > 1 THEN 'basic' WHEN cs > 1 THEN 'code' WHEN ks > 1 THEN 'crt' ELSE 'unknown' END AS type FROM w)
+SELECT blob_id, type, CASE type WHEN 'basic' THEN bn WHEN 'code' THEN cn WHEN 'crt' THEN kn ELSE 'unknown' END AS sniffer, floor(CASE type WHEN 'basic' THEN bs WHEN 'code' THEN cs WHEN 'crt' THEN ks ELSE 0 END * 1e6 + 0.5) / 1e6 AS score FROM t""")
+def types_with_own_sniffer(spark, sf_dir):
+    """Types of programs by the sniffers that are expressions and one of a user's."""
+    scored = sniff.sniff_with(program_blobs(spark, sf_dir), sniff.column_sniffers() | {"text": ("basic", text_sniffer)})
+    return rounded(sniff.classify_type(scored), "score")
+
+
 _OPCODES = machine.opcodes()
 _OP = "op(opcode, mnemonic, mode, size, category, semantics) AS (VALUES " + ", ".join(f"({k}, '{m}', '{mode}', {n}, '{c}', '{' '.join(sem)}')" for k, (m, mode, n, c, sem) in sorted(_OPCODES.items())) + ")"
 
@@ -542,6 +574,14 @@ def instruction_table(spark, sf_dir):
     return machine.instruction_table(turn_programs(spark, sf_dir))
 
 
+@query(f"{_swept(_TURNS, _SPANS + ' WHERE false')} {_ROWS}")
+def instructions_by_sql(spark, sf_dir):
+    """The same by the registered table function."""
+    machine.register(spark)
+    turn_programs(spark, sf_dir).createOrReplaceTempView("programs_of_turns")
+    return spark.sql("SELECT p.blob_id, i.* FROM programs_of_turns p, LATERAL instruction_table(p.content) i")
+
+
 @query(f"{_swept(_TURNS, _SPANS)} {_ROWS}")
 def declared_instructions(spark, sf_dir):
     """Instructions and data of programs with declared entries and data spans of their own."""
@@ -737,6 +777,25 @@ def saved_hashes(spark, sf_dir):
     return load_hashes(spark, f"{root}/copy/text/sha1", "sha1")[0].unionByName(load_hashes(spark, f"{root}/copy/text/md5", "md5")[0])
 
 
+def dated(docs: DataFrame) -> DataFrame:
+    """Documents as files: a path, and a time by their number."""
+    return docs.select("name", F.concat(F.lit("docs/"), "name").alias("path"), "length", F.timestamp_seconds(F.lit(1_000_000) + F.col("blob_id").cast("long")).alias("time"), "content")
+
+
+@query(f"WITH {_ASKED}, d AS (SELECT md5(encode(text)) AS hash, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 5 <> 4 UNION ALL SELECT md5(encode(text || '!')), CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 5 = 4) SELECT a.hash, count(name) AS copies, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM a LEFT JOIN d ON a.hash = d.hash GROUP BY 1")
+def stored_names(spark, sf_dir):
+    """A store that is filled in two steps: the second has all files, a fifth of them changed."""
+    docs = documents(spark, sf_dir)
+    files, changed = dated(docs), F.col("name").cast("long") % 5 == 4
+    hashes = store.HashStore(spark, scratch(spark), 16)
+    hashes.merge(files.where("CAST(name AS LONG) % 3 <> 0"))
+    later = files.withColumns({"content": F.when(changed, F.concat("content", F.lit(bytearray(b"!")))).otherwise(F.col("content")), "time": F.when(changed, F.col("time") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("time"))})
+    hashes.merge(later.withColumn("length", F.octet_length("content").cast("long")))
+    asked = blobs_from_column(table(spark, sf_dir, "benchmark"), "item_id", "text").unionByName(docs.where("label = 'fr'"))
+    found = hashes.find("md5", hashing.content_hashes(asked).select(F.col("md5").alias("hash")))
+    return found.select("hash", "copies", F.array_join("names", ",").alias("names"))
+
+
 def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

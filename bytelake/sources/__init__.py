@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ALGORITHMS = ("sha1", "md5", "crc32")
+from bytelake.operators.hashing import ALGORITHMS
+
 BLOBS = "blob_id string, name string, path string, length long, content binary, label string"
 
 # Extensions and names of files that aren't taken for binaries of the corpus.
