@@ -14,8 +14,11 @@ from bytelake.llm import common as C
 
 #: Shingles whose scrambled hash is below this part of the hash space are counted, and come first in the order.
 COUNTED = 0.5
-#: Documents behind a prefix shingle up to which its group pairs are listed; those behind more common ones are compared in blocks.
-LISTED, BLOCK = 64, 256
+#: Documents behind a prefix shingle up to which its group pairs are listed; those behind more common ones are joined in
+#: rounds, at most ROUNDS, and what these leave in blocks.
+LISTED, ROUNDS, BLOCK = 64, 12, 256
+#: Sets of such a shingle that all others of other components are compared with in a round.
+HEADS = 4
 #: Partners in a cell of verification.
 CELL = 64
 #: Bits of the bitmap that thins out shingles of one document before they are joined to the counts: 8 MB.
@@ -173,7 +176,7 @@ def _links(near: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     groups = members.groupBy("g").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.count("*").alias("m"))
     posts = groups.select("g", "n", "m", "own", F.posexplode("prefix").alias("i", "h")).select("g", "n", "m", "h", (F.col("own") + F.col("i")).alias("pos"))
     lists = posts.groupBy("h").agg(F.sum("m").alias("w")).where("w > 1")
-    posts = C.materialize(posts.join(lists, "h"))
+    posts, seen = C.materialize(posts.join(lists, "h"), F.count(F.when(F.col("w") > LISTED, 1)).alias("many"))
     many = posts.where(F.col("w") > LISTED)
     common = many.groupBy("g").agg(F.count("*").alias("common"))
     listed = posts.where(F.col("w") <= LISTED).join(common, "g", "left").withColumn("common", F.coalesce("common", F.lit(0)))
@@ -183,22 +186,76 @@ def _links(near: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     expanded = expanded.where("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     expanded = C.materialize(expanded)
     sets = near.select("k", "n", "own_set")
+    edges = C.materialize(_partners(expanded, sets, percent))
+    if seen["many"]:
+        edges = _common_links(many.select("h", "g"), members.select("g", "k", "n"), sets, edges, percent)
+    C.release(members, posts, pairs, expanded)
+    return edges
+
+
+def _partners(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by cells of one set a and CELL partners at most."""
     chunks = F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("chunks")
-    size = expanded.groupBy("a").agg(chunks)
-    partner = expanded.join(size, "a").select("a", F.pmod(F.xxhash64("b", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("k"), F.lit(1).alias("role"))
+    size = pairs.groupBy("a").agg(chunks)
+    partner = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("k"), F.lit(1).alias("role"))
     first = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("k"), F.lit(0).alias("role"))
     cells = partner.unionByName(first).join(sets, "k").select("a", "chunk", "role", "k", "own_set")
-    edges = C.run_groups(cells, ["a", "chunk"], _verify_partners(percent), "a long, b long", ["a", "b"])
-
-    heads = many.groupBy("h").agg(F.min("g").alias("head"))
-    stars = many.join(heads, "h").select("g", "head").distinct()
-    families = C.components(stars, "g", "head").select(F.col("id").alias("g"), F.col("component").alias("fam"))
-    families = many.select("g").distinct().join(families, "g", "left").select("g", F.coalesce("fam", "g").alias("fam"))
-    kin = of.join(families, "g").select("k", "fam").distinct()
-    kin = C.materialize(kin.join(kin.groupBy("fam").agg(F.count("*").alias("c")), "fam"))
-    blocks = C.block_pairs(kin, "fam", "c", "k", BLOCK).join(sets, "k").select("fam", "bi", "bj", "own", "k", "n", "own_set")
-    found = C.materialize(edges.unionByName(C.run_groups(blocks, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])))
-    C.release(members, posts, pairs, expanded, kin)
+    return C.run_groups(cells, ["a", "chunk"], _verify_partners(percent), "a long, b long", ["a", "b"])
+
+
+def _common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """edges (which it releases) with what joins the sets that share a common prefix shingle, from many(h, g) and
+    members(g, k, n).
+
+    Only components are wanted, so sets that are joined already needn't be compared. A round compares, in each list that
+    holds several components, HEADS sets outside its largest component with all sets of other components: a few copies of a
+    set, whatever the list's length. Boilerplate that differs in some words is one component after the first round. Heads are
+    those of least hash, so that lists of the same documents have the same ones. What is outside the largest component of a
+    list, when a round leaves more than three quarters of it there, is compared with the whole list, in blocks.
+    """
+    rows = C.materialize(many.join(members, "g").select("h", "k", "n").distinct())
+
+    def opened(edges: DataFrame) -> tuple[DataFrame, int]:
+        """(h, k, n, c, main) of the lists that hold several components c, and the rows outside the largest one, main."""
+        labels = C.components(edges).select(F.col("id").alias("k"), F.col("component").alias("c"))
+        own = C.materialize(rows.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k")))
+        sizes = own.groupBy("h", "c").agg(F.count("*").alias("m"))
+        main = sizes.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
+        found, seen = C.materialize(own.join(main, "h"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("n"))
+        C.release(labels, own)
+        return found, seen["n"]
+
+    (open_, n), before = opened(edges), None
+    for turn in range(ROUNDS):
+        if not n or (before is not None and 4 * n > 3 * before):
+            break
+        head = F.min_by(F.struct("k", "n", "c"), F.xxhash64("k", F.lit(turn)))
+        heads = open_.where("c != main").groupBy("h", F.pmod(F.xxhash64("k", F.lit(-1 - turn)), F.lit(HEADS))).agg(head.alias("head")).select("h", "head")
+        fits = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
+        pairs = open_.join(heads, "h").where((F.col("c") != F.col("head.c")) & fits).select(F.col("head.k").alias("a"), F.col("k").alias("b")).distinct()
+        pairs = C.materialize(pairs)
+        new = C.materialize(edges.unionByName(_partners(pairs, sets, percent)))
+        C.release(edges, open_, pairs)
+        edges, before = new, n
+        open_, n = opened(edges)
+    if not n:
+        C.release(rows, open_)
+        return edges
+    # Lists that share a set are one family; in it, sets outside the largest component meet all others.
+    heads = open_.groupBy("h").agg(F.min("k").alias("head"))
+    families = C.components(open_.join(heads, "h").select("k", "head").distinct(), "k", "head").select(F.col("id").alias("k"), F.col("component").alias("fam"))
+    kin = open_.select("k", "c").distinct().join(families, "k", "left").withColumn("fam", F.coalesce("fam", "k"))
+    kin = C.materialize(kin)
+    main = kin.groupBy("fam", "c").agg(F.count("*").alias("m")).groupBy("fam").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(BLOCK))).cast("int")
+    kin = kin.join(main, "fam").withColumns({"few": F.col("all") - F.col("most")}).withColumns({"nu": blocks("few"), "nb": blocks("all")})
+    place = lambda n, salt: F.pmod(F.xxhash64("k", "fam", F.lit(salt)), n).cast("int")
+    every = kin.select("k", "fam", place(F.col("nb"), 1).alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("bi"), F.lit(1).alias("own"))
+    outside = kin.where("c != main").select("k", "fam", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bj"), place(F.col("nu"), 2).alias("bi"), F.lit(0).alias("own"))
+    cells = every.unionByName(outside.select(*every.columns)).withColumn("bj", F.col("bj") + F.lit(1) + F.col("bi"))  # never equal to bi
+    cells = cells.join(sets, "k").select("fam", "bi", "bj", "own", "k", "n", "own_set")
+    found = C.materialize(edges.unionByName(C.run_groups(cells, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])))
+    C.release(edges, rows, open_)
     return found
 
 
@@ -217,9 +274,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     is the same for all sets is sound). Sets that link share a shingle of their prefixes in that order, so a set
     with a prefix of its own drops out. Sets with identical prefixes and size are one group; pairs of groups that
     share a prefix shingle are filtered by size and position, then expanded to members and verified exactly.
-    Shingles that the prefixes of more than LISTED documents hold list no pairs: their documents, in families
-    held together by such shingles alone, are verified in blocks of bounded size, which give a spanning forest of
-    their links. Components are drawn over verified links only. Shingles are compared by 64-bit hashes.
+    Shingles that the prefixes of more than LISTED documents hold list no pairs: as only components are wanted, their
+    documents are compared with one of them in each round, and only what stays outside the largest component of such a
+    shingle's documents is compared with all of them, in blocks of bounded size. Components are drawn over verified links only. Shingles are compared by 64-bit hashes.
     """
     return text_components(docs, doc_id, text, size, percent).drop("x")
 

@@ -136,3 +136,54 @@ def test_near_vectors_of_real_width(spark):
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
     assert linked.sum() > 500 and all(got[i] <= n for i, n in enumerate(linked.sum(1)))
     assert sum(got.values()) >= 0.99 * linked.sum()
+
+
+def counted_cells(monkeypatch):
+    """Rows that meet in cells of verification, by stage."""
+    seen, plain = [], common.run_groups
+
+    def counting(df, *args, **more):
+        seen.append(df.count())
+        return plain(df, *args, **more)
+
+    monkeypatch.setattr(common, "run_groups", counting)
+    return seen
+
+
+@pytest.mark.parametrize(("heads", "rounds", "block"), [(8, 12, 256), (1, 1, 3), (2, 3, 4), (8, 0, 5)])
+def test_lists_of_several_clusters(spark, monkeypatch, heads, rounds, block):
+    """Boilerplate of six kinds that share most of their text, in clusters, chains and single documents."""
+    for name, value in (("LISTED", 2), ("HEADS", heads), ("ROUNDS", rounds), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(12)
+    common_part = [f"c{i}" for i in range(40)]
+    texts = []
+    for kind in range(6):
+        base = [*common_part, *(f"k{kind}w{i}" for i in range(18))]
+        for i in range(14):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(0, len(w)))] = f"x{rng.integers(0, 40)}"
+            texts.append(" ".join(w[: int(rng.integers(46, 59))]))
+    texts += [" ".join(rng.permutation(common_part)) for _ in range(8)]
+    sets = [shingles(t, 2) for t in texts]
+    comp = closure(range(len(sets)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert 8 < len(set(comp.values())) < len(texts) - 20
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2, percent=80).collect()}
+    assert got == comp
+
+
+def test_copies_of_one_licence_text_stay_few(spark, monkeypatch):
+    """6,000 documents of one text with words of their own: sets meet in cells a bounded number of times, not with each other."""
+    seen = counted_cells(monkeypatch)
+    base = [f"w{i}" for i in range(200)]
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(6000):
+        w = list(base)
+        for j in rng.integers(0, 200, 2):
+            w[j] = f"x{rng.integers(0, 300)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=3, percent=80).collect()
+    assert len(got) == 6000 and {r.component_id for r in got} == {0}
+    assert len(seen) == 2 and sum(seen) < 16 * 6000, seen  # one round
