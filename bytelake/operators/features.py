@@ -49,9 +49,16 @@ def ngram_extractor(n: int, k: int, strategy: str = "frequency", frequencies: Da
     extract.__name__ = f"ngram({n}, {k}, {strategy})"
     if strategy != "tfidf":
         extract.values = values
+        extract.prefixes = ("ngram_",)
     return extract
 
 
+def apart(*groups: list[Extractor]) -> bool:
+    """Whether extractors of different groups never emit one name, as far as they declare what their names begin with."""
+    named = [[p for f in g for p in getattr(f, "prefixes", ("",))] for g in groups]
+    return not any(x.startswith(y) or y.startswith(x) for i, a in enumerate(named) for b in named[i + 1 :] for x in a for y in b)
+
+
 @dataclass
 class FeaturePipeline:
     """Extractors take a blob table and return blob_id, emit_idx, feature, value; a user's own are of the same form."""
@@ -64,9 +71,10 @@ class FeaturePipeline:
     def extract(self, blobs: DataFrame, last: bool = False) -> DataFrame:
         """blob_id, extractor_idx, emit_idx, feature, value of all extractors; with last, only the last value of a name.
 
-        Those that have `values` (a function of a blob's bytes) share one pass of a helper, to which those that have
-        `array` (a column of rows) give theirs: content is read once, and the last value of a name is known where the blob
-        is read. Others run by themselves; only with them does last need a shuffle.
+        Those that have `values` (a function of a blob's bytes) share one pass of a helper, those that have `array` (a
+        column of rows) one projection: content is read twice at most, and the last value of a name is known where the blob
+        is read. Where names of the two kinds may be equal, by the `prefixes` that extractors declare, the projection's rows
+        go through the helper. Others run by themselves; only with them does last need a shuffle.
         """
         if not self.extractors:
             raise ValueError("a pipeline needs an extractor")
@@ -84,11 +92,17 @@ class FeaturePipeline:
                 rows = f(rows, f"_rows{i}")
             all_rows = F.concat(*[F.transform(f"_rows{i}", lambda r, i=i: F.struct(F.lit(i).alias("extractor_idx"), r["emit_idx"].cast("int").alias("emit_idx"), r["feature"].alias("feature"), r["value"].cast("double").alias("value"))) for i, _ in arrays])
             rows = rows.select("blob_id", "content", all_rows.alias("_rows"))
-            parts.append(stats.feature_rows(rows, helped, last, "_rows") if helped or last else rows.select("blob_id", F.inline_outer("_rows")))
-        elif helped:
+            of = lambda held: [self.extractors[i] for i, _ in held]
+            if last and not (apart(*([f] for f in of(arrays))) and apart(of(arrays), of(helped))):
+                parts.append(stats.feature_rows(rows, helped, last, "_rows"))
+                helped = []
+            else:
+                parts.append(rows.select("blob_id", F.inline_outer("_rows")))
+        if helped:
             parts.append(stats.feature_rows(blobs, helped, last))
         rows = functools.reduce(DataFrame.unionByName, parts)
-        return resolved(rows) if last and len(parts) > 1 else rows
+        own = sum(hasattr(f, "values") or hasattr(f, "array") for f in self.extractors)
+        return resolved(rows) if last and own < len(self.extractors) and len(parts) > 1 else rows
 
     def describe(self) -> str:
         return "\n".join(f"{i + 1}. {f.__name__}" for i, f in enumerate(self.extractors))

@@ -87,6 +87,17 @@ def _merge(b: np.ndarray, n: int, found: list[Counted]) -> Counted:
     return key[new], np.add.reduceat(c, new) if len(new) else c, first[new]
 
 
+def _distinct(key: np.ndarray, n: int) -> Counted:
+    """Distinct keys, counts and first places. Short n-grams are sorted together with their places, as one number."""
+    if n > 5 or len(key) > 1 << 20 or not len(key):
+        u, first, c = np.unique(key, return_index=True, return_counts=True)
+        return u, c, first
+    both = np.sort(key << 20 | np.arange(len(key)))
+    key = both >> 20
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.diff(np.append(new, len(key))), both[new] & (1 << 20) - 1
+
+
 def _chunk(b: np.ndarray, n: int, at: int, part: int, parts: int) -> Counted:
     """Distinct n-grams that begin in the chunk at a place, of one part of the keys."""
     key = _keys(b[at : at + CHUNK + n - 1], n)
@@ -95,7 +106,7 @@ def _chunk(b: np.ndarray, n: int, at: int, part: int, parts: int) -> Counted:
         place = np.flatnonzero((key.view(np.uint64) * _FACTOR >> np.uint64(33)) % np.uint64(parts) == part)
         key = key[place]
     if n <= PACKED:
-        u, first, c = np.unique(key, return_index=True, return_counts=True)
+        u, c, first = _distinct(key, n)
     else:
         u, first, back, c = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         of = at + (np.arange(len(key)) if place is None else place)

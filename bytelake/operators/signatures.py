@@ -230,6 +230,7 @@ def enhanced_signature_features(blobs: DataFrame, signatures: tuple[Signature, .
 
 
 enhanced_signature_features.array = enhanced_array
+enhanced_signature_features.prefixes = ("signature_",)
 
 
 def load_address_array(blobs: DataFrame, name: str) -> DataFrame:
@@ -262,6 +263,7 @@ def load_address_features(blobs: DataFrame) -> DataFrame:
 
 
 load_address_features.array = load_address_array
+load_address_features.prefixes = ("load_addr_",)
 
 
 def signature_report(found: DataFrame, blobs: DataFrame | None = None) -> DataFrame:

@@ -114,6 +114,7 @@ def entropy_features(blobs: DataFrame, window: int = 256, nonfinite: str = "keep
 
 
 entropy_features.values = entropy_values
+entropy_features.prefixes = ("global_entropy", "min_window", "max_window", "mean_window", "std_window")
 
 
 def length_array(blobs: DataFrame, name: str) -> DataFrame:
@@ -128,6 +129,7 @@ def length_features(blobs: DataFrame) -> DataFrame:
 
 
 length_features.array = length_array
+length_features.prefixes = ("root_length_",)
 
 
 def bigram_counts(blobs: DataFrame) -> DataFrame:
@@ -184,6 +186,7 @@ def bigram_features(blobs: DataFrame, top: int = 16) -> DataFrame:
 
 
 bigram_features.values = bigram_values
+bigram_features.prefixes = ("bigram_",)
 
 
 def corpus_markov(blobs: DataFrame, name: str | None = None) -> DataFrame:

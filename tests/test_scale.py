@@ -216,6 +216,14 @@ def test_last_value_of_a_name_without_a_shuffle(spark, blobs):
     assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
     show = lambda df: sorted(map(str, df.select("blob_id", "feature", "value").collect()))
     assert show(rows) == show(features.resolve_features(pipeline.extract(blobs)))
+    # An array of a name that the helper emits too, before and after it.
+    clash = lambda blobs, name: blobs.withColumn(name, F.array(F.struct(F.lit(0).alias("emit_idx"), F.lit("global_entropy").alias("feature"), F.lit(-2.0).alias("value"))))
+    loud = lambda blobs: clash(blobs, "r").select("blob_id", F.inline("r"))
+    loud.array = clash
+    for both in (pipeline.add(loud), features.FeaturePipeline([loud, *pipeline.extractors]), features.FeaturePipeline([loud, loud])):
+        rows = both.extract(blobs, last=True)
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert show(rows) == show(features.resolve_features(both.extract(blobs)))
     own = pipeline.add(lambda b: b.select("blob_id", F.lit(0).alias("emit_idx"), F.lit("global_entropy").alias("feature"), F.lit(-1.0).alias("value")))
     assert show(own.extract(blobs, last=True)) == show(features.resolve_features(own.extract(blobs)))
 
