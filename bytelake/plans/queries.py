@@ -235,10 +235,11 @@ def ngram_counts(spark, sf_dir):
     return grams.ngram_counts(documents(spark, sf_dir), 2).drop("n")
 
 
-@query(f"WITH {_grams(8)} SELECT blob_id, gram, cnt, first_pos FROM c")
+@query(f"WITH {_grams(8).replace('FROM documents', "FROM (SELECT conv_id || '_' || turn AS doc_id, text FROM conversations)")} SELECT blob_id, gram, cnt, first_pos FROM c")
 def ngram_counts_8(spark, sf_dir):
-    """From 8 bytes on n-grams are binary, not packed."""
-    return grams.ngram_counts(documents(spark, sf_dir), 8).drop("n")
+    """From 8 bytes on n-grams are binary, not packed; here those of all turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("id"), "text")
+    return grams.ngram_counts(blobs_from_column(turns, "id", "text"), 8).drop("n")
 
 
 @query(f"WITH {_grams(16)}, r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY cnt DESC, first_pos) AS rank FROM c) SELECT blob_id, gram, cnt, first_pos, rank FROM r WHERE rank <= 16")
