@@ -186,14 +186,14 @@ def _links(near: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     expanded = expanded.where("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     expanded = C.materialize(expanded)
     sets = near.select("k", "n", "own_set")
-    edges = C.materialize(_partners(expanded, sets, percent))
+    edges = C.materialize(partner_links(expanded, sets, percent))
     if seen["many"]:
-        edges = _common_links(many.select("h", "g"), members.select("g", "k", "n"), sets, edges, percent)
+        edges = common_links(many.select("h", "g"), members.select("g", "k", "n"), sets, edges, percent)
     C.release(members, posts, pairs, expanded)
     return edges
 
 
-def _partners(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def partner_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by cells of one set a and CELL partners at most."""
     chunks = F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("chunks")
     size = pairs.groupBy("a").agg(chunks)
@@ -203,7 +203,7 @@ def _partners(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.run_groups(cells, ["a", "chunk"], _verify_partners(percent), "a long, b long", ["a", "b"])
 
 
-def _common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """edges (which it releases) with what joins the sets that share a common prefix shingle, from many(h, g) and
     members(g, k, n).
 
@@ -234,7 +234,7 @@ def _common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: D
         fits = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
         pairs = open_.join(heads, "h").where((F.col("c") != F.col("head.c")) & fits).select(F.col("head.k").alias("a"), F.col("k").alias("b")).distinct()
         pairs = C.materialize(pairs)
-        new = C.materialize(edges.unionByName(_partners(pairs, sets, percent)))
+        new = C.materialize(edges.unionByName(partner_links(pairs, sets, percent)))
         C.release(edges, open_, pairs)
         edges, before = new, n
         open_, n = opened(edges)

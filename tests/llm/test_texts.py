@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 from bytelake.llm import common, decontaminate, language_id, language_model, packing, quality, sharding, substring_dedup, url_filter
 from tests.llm.conftest import prose
@@ -282,28 +282,53 @@ def test_repeats_of_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text or "") for r in out) == [(1, line), (2, line), (2, "short"), (3, "rest"), (3, "rest"), (4, "")]
 
 
-@pytest.mark.parametrize("others", [3, 20])
+def buckets(spark, sets, keys):
+    """members and sets of near_paragraphs, from sets {p: shingles} and keys {key: paragraphs}."""
+    members = spark.createDataFrame([(key, p, len(ps)) for key, ps in keys.items() for p in ps], "key long, p long, c long")
+    rows = [(p, len(w), bytearray(np.array(sorted(w), np.uint64).tobytes())) for p, w in sets.items()]
+    return members, spark.createDataFrame(rows, "k long, n long, own_set binary")
+
+
+def joined(edges):
+    """Components of edges (a, b) as sets of two or more."""
+    return {frozenset(r.ids) for r in common.components(edges).groupBy("component").agg(F.collect_set("id").alias("ids")).collect()}
+
+
+@pytest.mark.parametrize("others", [3, 30])
 def test_unlike_head_hides_no_pair(spark, others):
     """Two near paragraphs in a bucket whose least paragraph is like neither; a small bucket and a large one."""
-    rng = np.random.default_rng(8)
-    salt = np.random.default_rng(11).integers(1, 2**62, substring_dedup.BANDS).astype(np.uint64)[0]
-    hashes = common.WordHashes()
-    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
-    hashed = lambda text: common.hash_words(" ".join(text), hashes)
-    value = lambda text: int(common.mix(common.roll(hashed(text), 5) ^ salt).min())
-    digest = lambda text: np.uint64(xxhash.xxh3_64_intdigest(hashed(text).tobytes())).view(np.int64)
-    # Five words whose shingle has the least hash of 20,000 are the least of all texts that begin with them.
-    core = min((words(5) for _ in range(20_000)), key=value)
-    first = [*core, *words(15)]
-    near = [*first[:-1], *words(1)]
-    drawn = [[*core, *words(15)] for _ in range(400)]
-    below = [t for t in drawn if digest(t) < min(digest(first), digest(near))]
-    assert below
-    texts = [first, near, below[0], *[t for t in drawn if t != below[0]][: others - 1]]
-    assert {value(t) for t in texts} == {value(core)}  # one bucket
-    assert (len(texts) > substring_dedup.PAIRED) == (others == 20)
-    got = {r.doc_id: r for r in substring_dedup.judge_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
-    assert [i for i in sorted(got) if got[i].repeats] == [1] and got[1].removed_words == 20
+    near = {100: range(1000, 1020), 101: range(1001, 1021)}
+    unlike = {p: range(5000 + 50 * p, 5020 + 50 * p) for p in range(others)}
+    sets = near | unlike
+    assert min(sets) == 0 and (len(sets) > substring_dedup.PAIRED) == (others == 30)
+    assert joined(substring_dedup.near_paragraphs(*buckets(spark, sets, {7: list(sets)}))) == {frozenset([100, 101])}
+
+
+def test_buckets_equal_brute_force(spark):
+    """Buckets of all sizes that overlap, of near and unlike sets: edges join nothing but what near pairs join, and all near pairs of a bucket."""
+    rng = np.random.default_rng(12)
+    sets = {}
+    for p in range(240):
+        start = 1000 * int(rng.integers(0, 12))
+        sets[p] = set(range(start, start + 30)) - set(rng.integers(start, start + 30, 3).tolist()) | set(rng.integers(10**6, 10**9, int(rng.integers(0, 5))).tolist())
+    keys = {k: sorted(set(rng.integers(0, 240, n).tolist())) for k, n in enumerate((2, 3, 5, 9, 16, 17, 40, 60, 120))}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    comp = list(range(240))
+    for a, b in ((a, b) for a in sets for b in range(a) if near(a, b)):
+        comp = [comp[b] if c == comp[a] else c for c in comp]
+    edges = substring_dedup.near_paragraphs(*buckets(spark, sets, keys))
+    assert all(comp[r.a] == comp[r.b] for r in edges.collect())
+    of = {p: x for x in joined(edges) for p in x}
+    links = {(a, b) for ps in keys.values() for a in ps for b in ps if a < b and near(a, b)}
+    assert len(links) > 50 and all(b in of.get(a, ()) for a, b in links)
+
+
+def test_common_line_with_variants_lists_few_pairs(spark):
+    """3,000 variants of one line in one bucket are one component by a few comparisons each, not by all pairs."""
+    rng = np.random.default_rng(13)
+    sets = {p: set(range(60)) - {int(rng.integers(0, 60))} | {10**6 + p} for p in range(3000)}
+    edges = substring_dedup.near_paragraphs(*buckets(spark, sets, {1: list(sets)}))
+    assert edges.count() < 12 * len(sets) and joined(edges) == {frozenset(sets)}
 
 
 def test_paragraphs_stand_anywhere():
