@@ -215,17 +215,18 @@ def common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: Da
     """
     rows = C.materialize(many.join(members, "g").select("h", "k", "n").distinct())
 
-    def opened(edges: DataFrame) -> tuple[DataFrame, int]:
+    def opened(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
         """(h, k, n, c, main) of the lists that hold several components c, and the rows outside the largest one, main."""
         labels = C.components(edges).select(F.col("id").alias("k"), F.col("component").alias("c"))
-        own = C.materialize(rows.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k")))
+        own = C.materialize(rows.select("h", "k", "n").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k")))
         sizes = own.groupBy("h", "c").agg(F.count("*").alias("m"))
         main = sizes.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
         found, seen = C.materialize(own.join(main, "h"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("n"))
         C.release(labels, own)
         return found, seen["n"]
 
-    (open_, n), before = opened(edges), None
+    (open_, n), before = opened(rows, edges), None
+    C.release(rows)
     for turn in range(ROUNDS):
         if not n or (before is not None and 4 * n > 3 * before):
             break
@@ -235,11 +236,12 @@ def common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: Da
         pairs = open_.join(heads, "h").where((F.col("c") != F.col("head.c")) & fits).select(F.col("head.k").alias("a"), F.col("k").alias("b")).distinct()
         pairs = C.materialize(pairs)
         new = C.materialize(edges.unionByName(partner_links(pairs, sets, percent)))
-        C.release(edges, open_, pairs)
-        edges, before = new, n
-        open_, n = opened(edges)
+        C.release(edges, pairs)
+        edges, before, last = new, n, open_
+        open_, n = opened(last, edges)  # a list of one component stays so
+        C.release(last)
     if not n:
-        C.release(rows, open_)
+        C.release(open_)
         return edges
     # Lists that share a set are one family; in it, sets outside the largest component meet all others.
     heads = open_.groupBy("h").agg(F.min("k").alias("head"))
@@ -255,7 +257,7 @@ def common_links(many: DataFrame, members: DataFrame, sets: DataFrame, edges: Da
     cells = every.unionByName(outside.select(*every.columns)).withColumn("bj", F.col("bj") + F.lit(1) + F.col("bi"))  # never equal to bi
     cells = cells.join(sets, "k").select("fam", "bi", "bj", "own", "k", "n", "own_set")
     found = C.materialize(edges.unionByName(C.run_groups(cells, ["fam", "bi", "bj"], verify(percent), "a long, b long", ["a", "b"])))
-    C.release(edges, rows, open_)
+    C.release(edges, open_)
     return found
 
 
