@@ -169,29 +169,35 @@ def instruction_table(blobs: DataFrame, entries: frozenset[int] = frozenset(), d
     """blob_id, addr, offset, len, opcode, operand, kind by a linear sweep of each blob (see sweep); no shuffle.
 
     Columns entries and data of blobs (see with_spans) hold a blob's own addresses and spans, beside those of the
-    parameters, which hold for all."""
+    parameters, which hold for all. Rows are sent back some ROWS at a time, however many blobs a batch holds."""
     sizes, own = sizes_table(), [c for c in ("entries", "data") if c in blobs.columns]
 
+    def send(rb: pa.RecordBatch, of: list[int], found: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        col = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+        blob = rb.column(0).take(pa.array(np.repeat(of, [len(f["offset"]) for f in found])))
+        maybe = lambda c: pa.array(col[c].astype(np.int32), mask=col[c] < 0)
+        kind = pa.array(["data", "code"]).take(pa.array((col["opcode"] >= 0).astype(np.int8)))
+        out = pa.RecordBatch.from_arrays(
+            [blob, *(pa.array(col[c].astype(np.int32)) for c in ("addr", "offset", "len")), maybe("opcode"), maybe("operand"), kind],
+            ["blob_id", "addr", "offset", "len", "opcode", "operand", "kind"],
+        )
+        yield from (out.slice(at, ROWS) for at in range(0, out.num_rows, ROWS))
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            given = {c: rb.column(2 + i).to_pylist() for i, c in enumerate(own)}
-            found = []
+            of, found, rows = [], [], 0
             for i, b in enumerate(content_of(rb)):
-                marks = sorted(entries | {x for x in (given["entries"][i] or ()) if x is not None}) if "entries" in given else sorted(entries)
-                spans = (*data, *((s["start"], s["end"]) for s in given["data"][i] or ())) if "data" in given else data
+                given = {c: rb.column(2 + k)[i].as_py() or () for k, c in enumerate(own)}
+                marks = sorted(entries | {x for x in given.get("entries", ()) if x is not None})
+                spans = (*data, *((s["start"], s["end"]) for s in given.get("data", ())))
+                of.append(i)
                 found.append(sweep(b, sizes, np.array(marks, np.int64), spans))
-            if not found:
-                continue
-            col = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
-            blob = rb.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f["offset"]) for f in found])))
-            code = col["opcode"] >= 0
-            maybe = lambda c: pa.array(col[c].astype(np.int32), mask=col[c] < 0)
-            kind = pa.array(np.where(code, "code", "data").astype(object), pa.string())
-            out = pa.RecordBatch.from_arrays(
-                [blob, *(pa.array(col[c].astype(np.int32)) for c in ("addr", "offset", "len")), maybe("opcode"), maybe("operand"), kind],
-                ["blob_id", "addr", "offset", "len", "opcode", "operand", "kind"],
-            )
-            yield from (out.slice(at, ROWS) for at in range(0, out.num_rows, ROWS))
+                rows += len(found[-1]["offset"])
+                if rows >= ROWS:
+                    yield from send(rb, of, found)
+                    of, found, rows = [], [], 0
+            if found:
+                yield from send(rb, of, found)
 
     return blobs.select("blob_id", "content", *own).mapInArrow(go, "blob_id string, addr int, offset int, len int, opcode int, operand int, kind string")
 

@@ -4,13 +4,15 @@ import math
 import re
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bytelake.operators import classifier, features, grams, stats
+from bytelake.operators import classifier, features, grams, machine, stats
 from bytelake.sources import blobs_from_column
 
 RNG = np.random.default_rng(3)
@@ -81,6 +83,7 @@ def test_small_batches_and_binary_grams(spark, blobs, monkeypatch):
 _MEMORY = """
 import resource, sys
 import numpy as np
+import pyarrow as pa
 from bytelake.operators import grams, stats
 size = 160 << 20
 b = np.random.default_rng(1).integers(0, 256, 1 << 20, np.uint8)
@@ -233,3 +236,30 @@ def test_markov_lines(spark, blobs, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert len(lines) == 258 and all(line.count(",") == 255 for line in lines)
     assert sum(map(int, lines[0].split(","))) == sum(map(int, lines[-1].split(","))) == sum(map(bool, BLOBS))
+
+
+class Tapped:
+    """Stands for a table whose helper is run here, on batches at hand."""
+
+    columns = ("blob_id", "content")
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, helper, _):
+        return helper
+
+
+def test_instructions_of_a_batch_of_many_blobs_are_sent_back_in_parts():
+    raw = [RNG.integers(0, 256, 600, np.uint8).tobytes() for _ in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(raw))]), pa.array(raw)], ["blob_id", "content"])
+    helper, seen = machine.instruction_table(Tapped()), Counter()
+    tracemalloc.start()
+    for out in helper(iter([batch])):
+        seen.update(out.column(0).to_pylist()[:: out.num_rows - 1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {"0", "2999"} <= set(seen) and peak < 60e6
+    alone = [r for b in raw[:3] for r in zip(*(machine.sweep(b, machine.sizes_table(), np.empty(0, np.int64))[c].tolist() for c in ("offset", "addr", "len")), strict=True)]
+    first = next(helper(iter([batch.slice(0, 3)])))
+    assert list(zip(*(first.column(c).to_pylist() for c in ("offset", "addr", "len")), strict=True)) == alone
