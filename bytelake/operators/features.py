@@ -73,14 +73,16 @@ class FeaturePipeline:
 
         Those that have `values` (a function of a blob's bytes) share one pass of a helper, those that have `array` (a
         column of rows) one projection: content is read twice at most, and the last value of a name is known where the blob
-        is read. Where names of the two kinds may be equal, by the `prefixes` that extractors declare, the projection's rows
+        is read. Of those with `values`, the ones with `fixed` names that no other extractor emits go as arrays. Where names of the two kinds may be equal, by the `prefixes` that extractors declare, the projection's rows
         go through the helper. Others run by themselves; only with them does last need a shuffle.
         """
         if not self.extractors:
             raise ValueError("a pipeline needs an extractor")
-        parts, helped, arrays = [], [], []
+        parts, helped, arrays, fixed = [], [], [], []
         for i, f in enumerate(self.extractors):
-            if hasattr(f, "values"):
+            if hasattr(f, "fixed") and (not last or apart([f], self.extractors[:i] + self.extractors[i + 1 :])):
+                fixed.append((i, f.fixed))
+            elif hasattr(f, "values"):
                 helped.append((i, f.values))
             elif hasattr(f, "array"):
                 arrays.append((i, f.array))
@@ -98,8 +100,8 @@ class FeaturePipeline:
                 helped = []
             else:
                 parts.append(rows.select("blob_id", F.inline_outer("_rows")))
-        if helped:
-            parts.append(stats.feature_rows(blobs, helped, last))
+        if helped or fixed:
+            parts.append(stats.feature_rows(blobs, helped, last, fixed=fixed))
         rows = functools.reduce(DataFrame.unionByName, parts)
         own = sum(hasattr(f, "values") or hasattr(f, "array") for f in self.extractors)
         return resolved(rows) if last and own < len(self.extractors) and len(parts) > 1 else rows

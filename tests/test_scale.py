@@ -263,3 +263,32 @@ def test_instructions_of_a_batch_of_many_blobs_are_sent_back_in_parts():
     alone = [r for b in raw[:3] for r in zip(*(machine.sweep(b, machine.sizes_table(), np.empty(0, np.int64))[c].tolist() for c in ("offset", "addr", "len")), strict=True)]
     first = next(helper(iter([batch.slice(0, 3)])))
     assert list(zip(*(first.column(c).to_pylist() for c in ("offset", "addr", "len")), strict=True)) == alone
+
+
+@pytest.mark.parametrize("name", ["full", "ngram"])
+def test_presets_with_a_histogram_need_no_shuffle(blobs, name):
+    rows = features.preset(name).extract(blobs, last=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.replace("REPARTITION_BY_NUM", "") and "Aggregate" not in plan
+    got = {(r.blob_id, r.feature): (r.extractor_idx, r.emit_idx, r.value) for r in rows.collect()}
+    want = features.resolved(features.preset(name).extract(blobs)).collect()
+    assert len(want) == len(got) == rows.count()
+    for r in want:
+        x, e, value = got[r.blob_id, r.feature]
+        assert (x, e) == (r.extractor_idx, r.emit_idx) and (value == r.value or math.isnan(value) and math.isnan(r.value))
+
+
+def test_names_of_a_histogram_that_others_emit_too(blobs):
+    own = lambda b: (["b_7"], [-1.0])
+    other = features.ngram_extractor(1, 1)
+    other.values, other.prefixes = own, ("b_",)
+    for order, want in (([stats.histogram, other], {-1.0}), ([other, stats.histogram], None)):
+        rows = features.FeaturePipeline(order).extract(blobs, last=True)
+        values = [r.value for r in rows.where("feature = 'b_7'").collect()]
+        assert len(values) == len(BLOBS) and rows.count() == 256 * len(BLOBS) and (set(values) == want if want else -1.0 not in values)
+
+
+def test_the_first_of_equal_values():
+    for k in (0, 1, 3, 50, 400, 500):
+        value, first = RNG.integers(0, 9, 400).astype(float), RNG.permutation(400)
+        assert grams._first_of(value, first, k).tolist() == np.lexsort((first, -value))[:k].tolist()
