@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from bytelake.operators.hashing import ALGORITHMS
 
+#: Bytes and rows of archives' entries that are sent back at once.
+SENT_BYTES, SENT_ROWS = 1 << 23, 10_000
 BLOBS = "blob_id string, name string, path string, length long, content binary, label string"
 
 # Extensions and names of files that aren't taken for binaries of the corpus.
@@ -69,12 +71,16 @@ def blobs_from_column(df: DataFrame, id_col: str, content_col: str, label_col: s
 
 def expand_zips(blobs: DataFrame, max_entry: int | None = None) -> DataFrame:
     """Blobs, with each .zip replaced by its entries (path zip#inner). Directories, entries larger than max_entry
-    (none by default), archives and entries that can't be read give no rows; archives inside archives stay as they are."""
+    (none by default), archives and entries that can't be read give no rows; archives inside archives stay as they are. Entries are sent back
+    some SENT_BYTES at a time, however many a batch of archives holds."""
     is_zip = F.lower("name").endswith(".zip")
 
+    def sent(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["blob_id", "name", "path", "length", "content", "label"])
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for r in pdf.itertuples():
                 try:
                     z = zipfile.ZipFile(BytesIO(bytes(r.content)))
@@ -88,7 +94,11 @@ def expand_zips(blobs: DataFrame, max_entry: int | None = None) -> DataFrame:
                     except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
                         continue
                     rows.append((f"{r.blob_id}#{e.filename}", e.filename.rpartition("/")[2], f"{r.path}#{e.filename}", len(data), data, r.label))
-            yield pd.DataFrame(rows, columns=["blob_id", "name", "path", "length", "content", "label"])
+                    held += len(data)
+                    if held >= SENT_BYTES or len(rows) >= SENT_ROWS:
+                        yield sent(rows)
+                        rows, held = [], 0
+            yield sent(rows)
 
     return blobs.where(~is_zip | is_zip.isNull()).unionByName(blobs.where(is_zip).mapInPandas(entries, BLOBS))
 

@@ -1,11 +1,15 @@
 """The hash store, the manifest, whole-table hashes, own sniffers and the table function."""
 
 import hashlib
+import io
 import os
+import zipfile
 import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from bytelake import sources
 from bytelake.operators import hashing, machine, sniff
 from bytelake.plans import queries
 from bytelake.sources import blobs_from_column, manifest, scan_corpus, store
@@ -125,3 +129,28 @@ def test_table_function(spark):
     got = spark.sql("SELECT b.blob_id, i.* FROM swept_blobs b, LATERAL swept(b.content) i").collect()
     want = machine.instruction_table(blobs).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3
+
+
+def test_entries_of_many_archives_are_sent_back_in_parts(spark, monkeypatch):
+    seen = []
+
+    class Tapped:
+        def where(self, _):
+            return self
+
+        def mapInPandas(self, helper, _):
+            seen.append(helper)
+            return self
+
+        unionByName = where
+
+    monkeypatch.setattr(sources, "SENT_BYTES", 1_000)
+    sources.expand_zips(Tapped())
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(5):
+            z.writestr(f"{i}.txt", bytes([65 + i]) * 400)
+    rows = [(f"a{k}.zip", f"a{k}.zip", f"a{k}.zip", 0, held.getvalue(), None) for k in range(20)]
+    parts = list(seen[0](iter([pd.DataFrame(rows, columns=["blob_id", "name", "path", "length", "content", "label"])])))
+    assert max(p["length"].sum() for p in parts) <= 1_400
+    assert [p for x in parts for p in x["path"]] == [f"a{k}.zip#{i}.txt" for k in range(20) for i in range(5)]
