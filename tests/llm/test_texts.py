@@ -146,6 +146,47 @@ def test_lm_learns_order(spark):
     assert all(r.score < r.base_score for k, r in got.items() if k >= 10_000)
 
 
+def test_lm_tells_rarer_words_apart():
+    """Words beyond the 1,022 most frequent ones have symbols and an order of their own; words that aren't told apart have
+    that of their class."""
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(1, 1 << 64, 2000, np.uint64)
+    counts = np.concatenate([np.sort(rng.integers(64, 500, 1500))[::-1], np.full(500, 5)])
+    index = language_model.Index(hashes, counts)
+    symbols, held = index(np.append(hashes, [np.uint64(0), np.uint64(12345)]))
+    assert symbols[:1500].tolist() == list(range(1500)) and held[:2000].tolist() == counts.tolist() and held[-1] == -1
+    assert len(set(symbols[1500:2000].tolist())) > 50 and ((symbols[1500:2000] >= 1500) & (symbols[1500:2000] < index.stop)).all()
+    assert symbols[-2] == index.stop and symbols[-1] == 1500
+    sizes = np.append(counts[:1500], np.full(index.stop - 1499, 40)).astype(float)
+    model, cycle = language_model.Model(sizes), np.tile(np.arange(1470, 1500), 100)
+    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.params]
+    context = language_model.contexts(cycle, np.array([0]), index.stop)
+    before = model.log_probabilities(cycle, context)[2:]
+    for _ in range(60):
+        model.train(cycle, context, seen, rng)
+    after = model.log_probabilities(cycle, context)[2:]
+    other = model.log_probabilities(rng.permutation(cycle), context)[2:]
+    assert after.mean() > before.mean() / 2 and after.mean() > other.mean() + 2
+
+
+def test_tokens_are_the_words_of_split_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    parts = ["a", "A", "b", " ", "\t", "\n", "\x0b", "\x1c", "\u00a0", "é", "É", "日本", "x" * 64, "x" * 65, "X" * 70, ""]
+    texts = [None, "", " ", "a", *("".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(2000)), None]
+    seen = {}
+    for array, own in ((pa.array(texts), texts), (pa.array(texts).slice(3, 500), texts[3:503]), (pa.array(["", None]), ["", None]), (pa.array([], pa.string()), [])):
+        h, starts = language_model.hash_tokens(array)
+        words = [[*common.split_words(t), None] for t in own]
+        assert starts.tolist() == np.cumsum([0, *map(len, words)])[:-1].tolist()
+        flat = [w for ws in words for w in ws]
+        assert len(h) == len(flat)
+        for w, x in zip(flat, h.tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) and seen[None] == language_model.END
+
+
 def test_quality(spark):
     import random
 
