@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +16,19 @@ from bytelake.operators import grams, signatures, stats
 Extractor = Callable[[DataFrame], DataFrame]
 
 
+#: The n-grams counted last in this worker: n, the blob's bytes and the parts, of a blob of one chunk.
+_last: list = [0, None, None]
+
+
+def _parts(b: np.ndarray, n: int) -> Iterable[grams.Counted]:
+    """counted_parts, counted once for extractors of equal n that follow one another."""
+    if len(b) > grams.CHUNK:
+        return grams.counted_parts(b, n)
+    if _last[0] != n or _last[1] is not b:
+        _last[:] = n, b, list(grams.counted_parts(b, n))
+    return _last[2]
+
+
 def ngram_extractor(n: int, k: int, strategy: str = "frequency", frequencies: DataFrame | None = None, documents: int = 0) -> Extractor:
     """ngram_total_count, _unique_count, _diversity, _distribution and the k n-grams that the strategy (frequency,
     entropy or tfidf) selects: ngram_<key> and, but for tfidf, ngram_<key>_norm. Blobs shorter than n have none."""
@@ -28,7 +41,7 @@ def ngram_extractor(n: int, k: int, strategy: str = "frequency", frequencies: Da
         total = len(b) - n + 1
         if total <= 0:
             return [], []
-        (_, _, first), score, norm, distinct, squares = grams.best_of(b, n, k, strategy)
+        (_, _, first), score, norm, distinct, squares = grams.best_of_parts(_parts(b, n), total, k, strategy)
         found, out = list(names), [float(total), float(distinct), distinct / total, squares]
         for i, x, y in zip(first.tolist(), score.tolist(), norm.tolist(), strict=True):
             key = "ngram_" + b[i : i + n].tobytes().hex("_")

@@ -292,3 +292,40 @@ def test_the_first_of_equal_values():
     for k in (0, 1, 3, 50, 400, 500):
         value, first = RNG.integers(0, 9, 400).astype(float), RNG.permutation(400)
         assert grams._first_of(value, first, k).tolist() == np.lexsort((first, -value))[:k].tolist()
+
+
+def test_ngrams_of_one_length_are_counted_once(monkeypatch):
+    """Two extractors of a preset that follow one another take the same n-grams."""
+    from bytelake.operators import features, grams
+
+    lengths, counted = [], grams.counted_parts
+    monkeypatch.setattr(grams, "counted_parts", lambda b, n: lengths.append(n) or counted(b, n))
+    blob = np.frombuffer(b"some bytes of a blob, some bytes of it twice", np.uint8)
+    found = [f.values(blob) for f in features.preset("streamlined").extractors if hasattr(f, "values")]
+    assert lengths == [1, 2, 3, 4] and all(names for names, _ in found)
+
+
+def test_picked_ngrams_are_sent_back_some_at_a_time():
+    """The rows of a batch of blobs don't wait for its last blob."""
+    import pyarrow as pa
+
+    from bytelake.operators import grams
+
+    class Blobs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, go, _):
+            return go
+
+    go = grams._picked(Blobs(), 16, lambda b: grams.best_of(b, 16, 16, "frequency")[0], [])
+    texts = [f"{i:05}" * 10 + "a text of some length" * (i % 3) for i in range(3000)]
+    rb = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(3000)]), pa.array([t.encode() for t in texts], pa.binary())], ["blob_id", "content"])
+    sent = list(go(iter([rb])))
+    assert max(x.num_rows for x in sent) < grams.PICKED_ROWS + 16 and len(sent) > 1
+    rows = [r for x in sent for r in x.to_pylist()]
+    for i in (0, 1, 1499, 2999):
+        own = [r for r in rows if r["blob_id"] == str(i)]
+        (_, c, first), *_ = grams.best_of(np.frombuffer(texts[i].encode(), np.uint8), 16, 16, "frequency")
+        assert [(r["cnt"], r["first_pos"], r["rank"]) for r in own] == list(zip(c.tolist(), first.tolist(), range(1, len(c) + 1), strict=True))
+        assert all(r["packed"] == texts[i].encode()[r["first_pos"] : r["first_pos"] + 16] for r in own)
