@@ -187,3 +187,14 @@ def test_copies_of_one_licence_text_stay_few(spark, monkeypatch):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=3, percent=80).collect()
     assert len(got) == 6000 and {r.component_id for r in got} == {0}
     assert len(seen) == 2 and sum(seen) < 16 * 6000, seen  # one round
+
+
+def test_a_rounds_pairs_grow_with_the_sets(spark):
+    """200 sets in each of 50 lists make no more than HEADS pairs each, not HEADS for each list."""
+    rows = [(h, k, 100, k, 0) for h in range(50) for k in range(200)]
+    open_ = spark.createDataFrame(rows, "h long, k long, n long, c long, main long")
+    pairs = jaccard_join.head_pairs(open_, 80, 0, False)
+    found = pairs.collect()
+    assert len({r.b for r in found}) == 200 and len(found) <= 200 * jaccard_join.HEADS
+    assert len({r.a for r in found}) <= jaccard_join.HEADS
+    assert jaccard_join.head_pairs(open_, 80, 0, True).count() > 40 * len(found)
