@@ -1,6 +1,7 @@
 """Operators on single texts, against brute force, round trips and held-out labels."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -316,6 +317,36 @@ def test_near_paragraphs_equal_brute_force(spark):
             assert sum(total[g] > 1 for g in runs) >= 0.6 * len(runs)
 
 
+def test_only_documents_with_spans_are_moved(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(str(rng.random()) for _ in range(40))) for i in range(400)]
+    texts += [(400, texts[7][1] + " tail"), (None, texts[7][1])]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"))
+        got = {r.doc_id: r.text for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+    def written(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan") or "QueryStage" in plan.nodeName():
+            return written(plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.plan())
+        own = [plan.metrics().get("shuffleRecordsWritten").get().value()] if plan.nodeName() == "Exchange" else []
+        return own + [n for i in range(plan.children().size()) for n in written(plan.children().apply(i))]
+
+    moved = written(df._jdf.queryExecution().executedPlan())
+    assert moved and max(moved) < 10
+    assert len(got) == 402 and got[400] == "" and all(got[k] == t for k, t in texts if k != 400)
+
+
+def test_split_by_bitmap(spark):
+    df = spark.range(-500, 500).selectExpr("IF(id = 9, null, id) AS k", "id AS bit_word")
+    near, rest = common.split_by_bitmap(df, "k", spark.createDataFrame([(-129,), (63,), (400,), (None,)], "k long"), 1 << 10)
+    assert {r.k for r in near.collect()} == {-129, 63, 400} and near.columns == rest.columns == ["k", "bit_word"]
+    assert {r.k for r in rest.collect()} == {*range(-500, 500), None} - {-129, 63, 400, 9}
+
+
 def test_repeats_of_one_id_with_two_texts(spark):
     line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     df = spark.createDataFrame([(1, line), (2, line), (2, "short"), (3, line + "\nrest"), (3, line + "\nrest"), (4, None)], "doc_id long, text string")
