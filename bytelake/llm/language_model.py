@@ -24,6 +24,8 @@ WIDTH, CONTEXT = 8, 2
 BATCH, NOISE, RATE = 8_192, 8, 0.1
 #: Tokens scored at once.
 SCORED = 8_192
+#: Tokens that a copy trains on, on average at least, for each output of the model: what the copies send grows with the tokens.
+PER_ROW = 64
 #: Rows of the model that are averaged and sent together.
 BLOCK = 1_024
 #: Words whose counts all tasks hold (12 bytes each); counts of rarer words come by a join.
@@ -274,9 +276,11 @@ def fit(docs: DataFrame, index, counts: np.ndarray) -> Model:
     """A model trained on all tokens of all texts (column t), once.
 
     Each task trains a copy on its own texts, from one start; the copies' rows, as far as a task's texts met them, are
-    then averaged, weighted by how many tokens trained them, by grouped aggregation. Only the averaged rows, no more
-    than twice HELD, reach the driver.
+    then averaged, weighted by how many tokens trained them, by grouped aggregation. A task reads so many partitions that
+    there is no more than a copy for PER_ROW tokens an output: as outputs end at HELD and CLASSES, a task's tokens are
+    bounded, and rows sent are in proportion to the tokens. Only the averaged rows, no more than twice HELD, reach the driver.
     """
+    copies = max(1, int(counts.sum() / (PER_ROW * len(counts))))
     begun = Model(counts)
     start = docs.sparkSession.sparkContext.broadcast(begun)
 
@@ -316,7 +320,7 @@ def fit(docs: DataFrame, index, counts: np.ndarray) -> Model:
         return {"part": np.array([i]), "at": out[0], "vec": out[1]}
 
     names = ["part", "at", "vec"]
-    sent = docs.select("t").mapInArrow(go, "part long, block long, at binary, n binary, vec binary")
+    sent = docs.select("t").coalesce(copies).mapInArrow(go, "part long, block long, at binary, n binary, vec binary")
     got = C.run_groups(sent, ["part", "block"], mean, "part long, at binary, vec binary", names).toArrow()
     model = begun.copy()
     for i, at, vec in zip(*(got[c].to_pylist() for c in names), strict=True):

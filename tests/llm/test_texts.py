@@ -170,6 +170,22 @@ def test_lm_tells_rarer_words_apart():
     assert after.mean() > before.mean() / 2 and after.mean() > other.mean() + 2
 
 
+def test_lm_copies_grow_with_tokens_not_partitions(spark, monkeypatch):
+    sent, real = [], common.run_groups
+
+    def spy(df, *rest):
+        sent.append(df)
+        return real(df, *rest)
+
+    monkeypatch.setattr(common, "run_groups", spy)
+    texts = [(i, " ".join(f"w{(i * j) % 50}" for j in range(400))) for i in range(64)]
+    out = language_model.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(16)).collect()
+    tokens = sum(401 for i, _ in texts if zlib.crc32(str(i).encode()) % 7 != 2)
+    copies = [np.frombuffer(r.n, np.int64) for r in sent[0].where("part = 1").collect()]  # a row a copy
+    assert 1 < len(copies) <= tokens / (64 * 65) < 8  # 64 classes and the end at least are outputs
+    assert sum(n[0] for n in copies) == tokens and len(out) == 64
+
+
 def test_tokens_are_the_words_of_split_words():
     import pyarrow as pa
 
