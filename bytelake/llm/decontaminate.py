@@ -14,7 +14,9 @@ BROADCAST_WINDOWS = 1 << 19
 # Units, as they follow numbers.
 UNITS = "km m cm mm mi miles mile ft feet inches kg g mg lb lbs pounds oz l ml s sec seconds minutes hours days weeks months years mph kmh usd eur gbp dollars euros cents percent % $ € £ °".split()
 _NAMES = r"\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
-_TOKEN = rf"\p{{N}}+(?:[.,]\p{{N}}+)*|{_NAMES}(?:\s+{_NAMES})*|[\p{{L}}\p{{M}}]+|[%$€£°]"
+# Groups repeat possessively: Java's matcher recurses once a repetition otherwise, so that a run of some thousand names or
+# a number of as many parts overflows a task's stack. Nothing follows them, so they match the same.
+_TOKEN = rf"\p{{N}}+(?:[.,]\p{{N}}+)*+|{_NAMES}(?:\s+{_NAMES})*+|[\p{{L}}\p{{M}}]+|[%$€£°]"
 _NUMBER, _NAME, _UNIT = "<number>", "<name>", "<unit>"
 
 

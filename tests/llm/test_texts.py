@@ -289,6 +289,17 @@ def test_leaks_by_readings_names_and_figures(spark):
     assert share[10, 1] == share[18, 1] == 1 and 0.5 <= share[11, 1] < 1
 
 
+def test_long_runs_of_names_and_figures(spark):
+    """A name of 20,000 words and a number of 20,000 parts are a token each, without a deep stack."""
+    item = "how many red apples are left when the old man takes some of them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, "Stea " * 20000 + item), (2, "1.2," * 20000 + item), (3, "Stea " * 20000), (4, "Ünder\t\n" * 20000 + "1,5 kg")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = docs.select("doc_id", F.size(decontaminate.tokens(F.col("text"))).alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {1: 15, 2: 15, 3: 1, 4: 3}
+    assert {r.doc_id for r in decontaminate.judge_documents(docs, bench).collect() if r.contaminated} == {1, 2}
+
+
 def test_repeats(docs, rows, none):
     got = {r.doc_id: r for r in substring_dedup.judge_documents(docs).collect()}
     assert not got[75].repeats and all(got[i].repeats and 30 <= got[i].removed_words <= 80 for i in range(76, 80))
